@@ -4,24 +4,15 @@ from __future__ import annotations
 
 import importlib
 
-from stavework.session import release_shared
-
-AREAS = ["rhythm"]
+AREAS = ["rhythm", "grid"]
 
 
 def _modules():
     return [importlib.import_module(f"stavework.catalog.{a}") for a in AREAS]
 
 
-def _fresh(fn):
-    def run(spark, sf_dir):
-        release_shared()
-        return fn(spark, sf_dir)
-    return run
-
-
 def all_queries() -> dict:
-    return {k: _fresh(v) for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def all_oracles() -> dict:

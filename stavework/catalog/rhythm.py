@@ -9,7 +9,7 @@ from stavework import binding as B
 from stavework.catalog import sql as S
 from stavework.functions import rhythm as R
 from stavework.session import share
-from stavework.operators import chance, figures, quantise as Q, votes as V
+from stavework.operators import quantise as Q, votes as V
 
 DAY = B.DAY
 SEC = ["track_id", "section"]
@@ -97,9 +97,8 @@ def choose_slots(spark, sf):
 SELECT track_id, section, string_agg(CASE WHEN NOT (3 * k > n AND k >= 2) THEN '-' WHEN 2 * m > k THEN 'x' ELSE 'S' END, '' ORDER BY slot) AS vote
 FROM c GROUP BY 1, 2""")
 def slot_majority(spark, sf):
-    t = V.vote_totals(bars_of(spark, sf))
-    v = V.majority(F.col("slots"), F.col("n"))
-    return t.withColumn("v", v).select(*SEC, R.cells(F.col("v.strike"), F.col("v.mute"), F.col("width")).alias("vote"))
+    v = V.section_majority(bars_of(spark, sf))
+    return v.select(*SEC, R.cells(F.col("vote_strike"), F.col("vote_mute"), F.col("width")).alias("vote"))
 
 
 @query("topped_vote", f"""WITH {S.UNITS}, {S.vote('units', 'v')}
@@ -163,8 +162,7 @@ def loo(u: str = "units", v1: str = "v") -> str:
 @query("majority_loo", f"""WITH {S.UNITS}, {S.vote('units', 'v')}, {loo()}
 SELECT u.track_id, u.section, round(avg({S.jac('u.', 'r.')}), 6) AS score FROM units u JOIN rest r USING (track_id, section, pos) GROUP BY 1, 2""")
 def majority_loo(spark, sf):
-    bars = bars_of(spark, sf)
-    return V.majority_loo(bars, V.section_vote(bars)).select(*SEC, r6("score_majority", "score"))
+    return V.majority_loo(bars_of(spark, sf)).select(*SEC, r6("score_majority", "score"))
 
 
 def medoid_sql(u: str, out: str) -> str:

@@ -10,7 +10,7 @@ TRACKS = "tracks AS (SELECT DISTINCT user_id AS track_id FROM events)"
 def bars(slots: int = 8) -> str:
     return TRACKS + f""",
 bars AS (SELECT track_id, CASE WHEN bar < 7 THEN 0 WHEN bar < 14 THEN 1 WHEN bar < 21 THEN 2 ELSE 3 END AS section, bar,
-  bar * 86400.0 AS start, (bar + 1) * 86400.0 AS "end", {slots} AS width
+  bar * 86400e0 AS start, (bar + 1) * 86400e0 AS "end", {slots} AS width
   FROM (SELECT track_id, CAST(unnest(range(30)) AS INTEGER) AS bar FROM tracks))"""
 
 
@@ -82,12 +82,12 @@ LABEL = """CASE WHEN event_type = 'signup' THEN 'N' ELSE
 SPANS = EV + f""",
 spans AS (SELECT * FROM (SELECT track_id, event_id AS span_id, t AS start,
   lead(t) OVER (PARTITION BY track_id ORDER BY t, event_id) AS "end", {LABEL} AS label FROM ev) WHERE "end" IS NOT NULL)"""
-RBEATS = """rbeats AS (SELECT track_id, i, i * 21600.0 AS start, (i + 1) * 21600.0 AS "end", i // 4 AS bar, i % 4 AS beat
+RBEATS = """rbeats AS (SELECT track_id, i, i * 21600e0 AS start, (i + 1) * 21600e0 AS "end", i // 4 AS bar, i % 4 AS beat
   FROM (SELECT track_id, unnest(range(120)) AS i FROM tracks))"""
 FRAMES = """frames AS (SELECT l_suppkey AS track_id, CASE l_returnflag WHEN 'A' THEN 'guitar' WHEN 'R' THEN 'bass' ELSE 'mix' END AS stem,
   CAST(datediff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t, l_orderkey * 16 + l_linenumber AS frame,
   l_quantity AS n_samples, l_extendedprice AS sumsq, l_discount AS low_power, l_discount + l_tax AS total_power FROM lineitem)"""
-FBARS = """fbars AS (SELECT track_id, bar // 7 AS section, bar, bar * 90.0 AS start, (bar + 1) * 90.0 AS "end", 8 AS width
+FBARS = """fbars AS (SELECT track_id, bar // 7 AS section, bar, bar * 90e0 AS start, (bar + 1) * 90e0 AS "end", 8 AS width
   FROM (SELECT track_id, CAST(unnest(range(28)) AS INTEGER) AS bar FROM (SELECT DISTINCT l_suppkey AS track_id FROM lineitem)))"""
 CHROMA = """chroma AS (SELECT CAST(label AS BIGINT) AS track_id, vec_id,
   list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS chroma FROM embeddings)"""

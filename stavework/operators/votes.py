@@ -33,99 +33,71 @@ def units_of_bars(bars: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
     return with_position(bars, keys, ["bar"], BAR_CHUNK)
 
 
-def vote_totals(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
-    """Per group: n, per-slot (strikes, mutes) and the histogram of strikes per unit."""
-    items = F.concat(
-        F.transform(
-            slot_list(F.col("width")),
-            lambda j: F.struct(
-                F.lit(0).alias("kind"), j.alias("idx"), bit(F.col("strike"), j).alias("a"), bit(F.col("mute"), j).alias("b")
-            ),
-        ),
-        F.array(F.struct(
-            F.lit(1).alias("kind"), F.bit_count("strike").cast("int").alias("idx"),
-            F.lit(1).cast("long").alias("a"), _zero().alias("b"),
-        )),
-    )
-    folded = (
-        units.select(*keys, "width", F.explode(items).alias("i"))
-        .groupBy(*keys, "width", "i.kind", "i.idx")
-        .agg(F.sum("i.a").alias("a"), F.sum("i.b").alias("b"))
-    )
-    packed = folded.groupBy(*keys, "width").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "idx", "a", "b"))).alias("items")
-    )
-    slots = F.transform(
-        F.filter("items", lambda x: x["kind"] == 0),
-        lambda x: F.struct(x["idx"].alias("slot"), x["a"].alias("k"), x["b"].alias("m")),
-    )
-    hist = F.transform(
-        F.filter("items", lambda x: x["kind"] == 1), lambda x: F.struct(x["idx"].alias("v"), x["a"].alias("c"))
-    )
-    return packed.select(
-        *keys, "width", slots.alias("slots"), hist.alias("hist"),
-        F.aggregate(hist, _zero(), lambda acc, x: acc + x["c"]).alias("n"),
+def slot_counts(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+    """Per group and slot: n units, k strikes, m mutes, folded map-side."""
+    return (
+        units.select(*keys, "width", "strike", "mute", F.explode(slot_list(F.col("width"))).alias("slot"))
+        .groupBy(*keys, "width", "slot")
+        .agg(
+            F.count("*").alias("n"), F.sum(bit(F.col("strike"), F.col("slot"))).alias("k"),
+            F.sum(bit(F.col("mute"), F.col("slot"))).alias("m"),
+        )
     )
 
 
-def hist_median(hist: Column, n: Column) -> Column:
-    """The interpolating median of a (value, count) histogram sorted by value."""
-    low, high = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
-    none = F.lit(None).cast("int")
-    return F.aggregate(
-        hist,
-        F.struct(_zero().alias("cum"), none.alias("lo"), none.alias("hi")),
-        lambda a, x: F.struct(
-            (a["cum"] + x["c"]).alias("cum"),
-            F.coalesce(a["lo"], F.when(a["cum"] + x["c"] >= low, x["v"])).alias("lo"),
-            F.coalesce(a["hi"], F.when(a["cum"] + x["c"] >= high, x["v"])).alias("hi"),
-        ),
-        lambda a: (a["lo"] + a["hi"]) / 2.0,
+def strike_histogram(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+    """Units per strike count: at most width + 1 rows per group."""
+    return units.groupBy(*keys, F.bit_count("strike").cast("int").alias("strikes")).agg(F.count("*").alias("c"))
+
+
+def density_floor(hist: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE) -> DataFrame:
+    """The least number of struck slots: half-even rounding of a share of the median strikes."""
+    return hist.groupBy(*keys).agg(
+        F.bround(p.density_floor * F.percentile("strikes", 0.5, F.col("c")), 0).cast("int").alias("floor")
     )
 
 
-def kept_slot(x: Column, n: Column, p: VoteParams, min_support: Column | int | None = None) -> Column:
+def is_kept(p: VoteParams = VOTE, min_support: Column | int | None = None) -> Column:
     support = p.min_slot_support if min_support is None else min_support
-    return (x["k"] * p.strike_share_inverse > n) & (x["k"] >= support)
-
+    return (F.col("k") * p.strike_share_inverse > F.col("n")) & (F.col("k") >= support)
 
-def _mask(items: Column) -> Column:
-    return F.aggregate(items, _zero(), lambda acc, x: acc.bitwiseOR(one_at(x["slot"])))
 
+def vote_of(
+    counts: DataFrame, by: Sequence[str], p: VoteParams = VOTE, min_support: Column | int | None = None
+) -> DataFrame:
+    """The topped vote per group of slot counts carrying `floor` (0 for the plain majority).
 
-def majority(slots: Column, n: Column, p: VoteParams = VOTE, min_support: Column | int | None = None) -> Column:
-    """struct(strike, mute): slots struck in over a third of the units, muted where most strikes are."""
-    kept = F.filter(slots, lambda x: kept_slot(x, n, p, min_support))
-    return F.struct(
-        _mask(kept).alias("strike"), _mask(F.filter(kept, lambda x: x["m"] * 2 > x["k"])).alias("mute")
+    Slots struck in over a third of the units are kept (muted when most strikes are); then the
+    highest-rate free slots, the earlier on a tie, fill up to the floor. A group here has at most
+    `width` rows, so its window is small whatever the group's size was.
+    """
+    whole = Window.partitionBy(*by)
+    free_first = whole.orderBy("kept", F.col("k").desc(), "slot")
+    ranked = (
+        counts.withColumn("kept", is_kept(p, min_support))
+        .withColumn("rank", F.row_number().over(free_first))
+        .withColumn("n_kept", F.count_if("kept").over(whole))
+    )
+    struck = F.col("kept") | (F.col("rank") <= F.col("floor") - F.col("n_kept"))
+    muted = F.col("kept") & (F.col("m") * 2 > F.col("k"))
+    return ranked.groupBy(*by, "width").agg(
+        F.first("n").alias("n"),
+        F.bit_or(F.when(struck, one_at(F.col("slot"))).otherwise(_zero())).alias("vote_strike"),
+        F.bit_or(F.when(muted, one_at(F.col("slot"))).otherwise(_zero())).alias("vote_mute"),
     )
 
 
-def topped(
-    slots: Column, hist: Column, n: Column, p: VoteParams = VOTE, min_support: Column | int | None = None
-) -> Column:
-    """The majority topped up with the highest-rate free slots until the density floor is met."""
-    base = majority(slots, n, p, min_support)
-    floor = F.bround(p.density_floor * hist_median(hist, n), 0).cast("int")
-    free = F.array_sort(F.transform(
-        F.filter(slots, lambda x: ~kept_slot(x, n, p, min_support)),
-        lambda x: F.struct((-x["k"]).alias("rate"), x["slot"].alias("slot")),
-    ))
-    missing = F.greatest(floor - F.bit_count(base["strike"]).cast("int"), F.lit(0))
-    return F.struct(
-        base["strike"].bitwiseOR(_mask(F.slice(free, F.lit(1), missing))).alias("strike"), base["mute"].alias("mute")
-    )
+def section_majority(units: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE) -> DataFrame:
+    """The plain slot majority, without topping up."""
+    return vote_of(slot_counts(units, keys).withColumn("floor", F.lit(0)), keys, p)
 
 
 def section_vote(
     units: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE, min_support: Column | int | None = None
 ) -> DataFrame:
     """Per group: n, width and the topped vote as `vote_strike`, `vote_mute`."""
-    return (
-        vote_totals(units, keys)
-        .withColumn("v", topped(F.col("slots"), F.col("hist"), F.col("n"), p, min_support))
-        .select(*keys, "width", "n", "slots", "hist", F.col("v.strike").alias("vote_strike"), F.col("v.mute").alias("vote_mute"))
-    )
+    floors = density_floor(strike_histogram(units, keys), keys, p)
+    return vote_of(slot_counts(units, keys).join(floors, list(keys)), keys, p, min_support)
 
 
 def vote_figures(units: DataFrame, votes: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
@@ -198,25 +170,35 @@ def medoid(sums: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
 
 
 def majority_loo(
-    units: DataFrame, votes: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE,
-    min_support: Column | int | None = None,
+    units: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE, min_support: Column | int | None = None
 ) -> DataFrame:
-    """Mean agreement of each unit with the topped vote of the others, from totals minus its own counts."""
+    """Mean agreement of each unit with the topped vote of the others (of itself when alone).
+
+    The others' counts are the group's totals minus the unit's own, per distinct pattern; the
+    others' median depends only on the unit's strike count.
+    """
+    hist = strike_histogram(units, keys)
+    own = hist.select(*keys, F.col("strikes").alias("own"), F.col("c").alias("own_c"))
+    alone = Window.partitionBy(*keys, "own")
+    others = (
+        own.join(hist, list(keys))
+        .withColumn("total", F.sum("c").over(alone))
+        .withColumn("c", F.when((F.col("strikes") == F.col("own")) & (F.col("total") > 1), F.col("c") - 1).otherwise(F.col("c")))
+        .where("c > 0")
+    )
+    floors = density_floor(others, [*keys, "own"], p)
+    counts = slot_counts(units, keys)
     pats = units.groupBy(*keys, "strike", "mute").agg(F.count("*").alias("c"))
-    joined = pats.join(votes, list(keys))
-    own = F.bit_count("strike").cast("int")
-    slots = F.transform("slots", lambda x: F.struct(
-        x["slot"].alias("slot"), (x["k"] - bit(F.col("strike"), x["slot"])).alias("k"),
-        (x["m"] - bit(F.col("mute"), x["slot"])).alias("m"),
-    ))
-    hist = F.transform("hist", lambda x: F.struct(
-        x["v"].alias("v"), (x["c"] - F.when(x["v"] == own, 1).otherwise(0)).alias("c")
-    ))
-    rest = topped(slots, hist, F.col("n") - 1, p, min_support)
-    whole = F.struct(F.col("vote_strike").alias("strike"), F.col("vote_mute").alias("mute"))
-    joined = joined.withColumn("v", F.when(F.col("n") == 1, whole).otherwise(rest))
-    j = agreement(F.col("strike"), F.col("mute"), F.col("v.strike"), F.col("v.mute"))
-    return joined.groupBy(*keys).agg((F.sum(j * F.col("c")) / F.sum("c")).alias("score_majority"))
+    lone = F.col("n") == 1
+    left = (
+        pats.withColumn("own", F.bit_count("strike").cast("int")).join(floors, [*keys, "own"]).join(counts, list(keys))
+        .withColumn("k", F.when(lone, F.col("k")).otherwise(F.col("k") - bit(F.col("strike"), F.col("slot"))))
+        .withColumn("m", F.when(lone, F.col("m")).otherwise(F.col("m") - bit(F.col("mute"), F.col("slot"))))
+        .withColumn("n", F.when(lone, F.col("n")).otherwise(F.col("n") - 1))
+    )
+    rest = vote_of(left, [*keys, "strike", "mute", "c"], p, min_support)
+    j = agreement(F.col("strike"), F.col("mute"), F.col("vote_strike"), F.col("vote_mute"))
+    return rest.groupBy(*keys).agg((F.sum(j * F.col("c")) / F.sum("c")).alias("score_majority"))
 
 
 def best_pair(units: DataFrame, sums: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
@@ -298,7 +280,7 @@ def choose_from(
         *keys, F.col("score_medoid").alias("med_score"), F.col("medoid_strike").alias("med_strike"),
         F.col("medoid_mute").alias("med_mute"),
     )
-    loo = majority_loo(voted, votes, keys, p, min_support)
+    loo = majority_loo(voted, keys, p, min_support)
     dims = phases.select(*keys, "unit", "phase", F.col("n").alias("n_bars"), F.col("width").alias("slots_per_bar"))
     out = dims.join(votes.select(*keys, F.col("n").alias("n_units"), "vote_strike", "vote_mute"), list(keys))
     out = out.join(med, list(keys)).join(loo, list(keys))

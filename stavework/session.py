@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_SHARED: list[DataFrame] = []
+_OWN: dict[str, str] = {}
 
 
 def build_session(app: str = "stavework", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,27 +27,27 @@ def build_session(app: str = "stavework", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of `df`, for loops that would otherwise grow their plan each round.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: the cluster's `spark.checkpoint.dir`.
 
-    The cluster names a shared folder in `spark.checkpoint.dir`; only a session without one
-    (a test) gets a folder of its own.
+    Only a session without one (a test) gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stavework-checkpoint-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if "folder" not in _OWN:
+        _OWN["folder"] = tempfile.mkdtemp(prefix="stavework-")
+    return _OWN["folder"]
 
 
 def share(df: DataFrame) -> DataFrame:
-    """Keep a table several branches of one job read. Lazy, spills to disk, and a lost executor's
-    part is recomputed from the lineage; `release_shared` drops what earlier jobs kept."""
-    _SHARED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return _SHARED[-1]
-
+    """A table several branches of one job read, written once to the shared folder and read back.
 
-def release_shared() -> None:
-    while _SHARED:
-        _SHARED.pop().unpersist()
+    It ends the lineage, so plans stay flat and a lost executor costs no recomputation; readers
+    prune its columns and see its real size. The written tables belong to the job: they are left
+    for the folder's own clean-up, because lazy results may still read them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stavework-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
