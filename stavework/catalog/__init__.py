@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["rhythm", "grid"]
+AREAS = ["rhythm", "grid", "harmony"]
 
 
 def _modules():
