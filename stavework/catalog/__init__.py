@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["rhythm", "grid", "harmony"]
+AREAS = ["rhythm", "grid", "harmony", "strums"]
 
 
 def _modules():

@@ -8,7 +8,7 @@ a third of all rows shrinks to at most 3^width patterns before it meets a shuffl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,32 +121,44 @@ def bar_repeat(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
     )
 
 
-def distinct_patterns(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+MASKS = ("strike", "mute")
+
+
+def mask_agreement(left: str, right: str) -> Column:
+    """Agreement of two units given the prefixes of their mask columns."""
+    return agreement(*[F.col(f"{side}{c}") for side in (left, right) for c in MASKS])
+
+
+def distinct_patterns(units: DataFrame, keys: Sequence[str] = SECTION, cols: Sequence[str] = MASKS) -> DataFrame:
     """Patterns with their multiplicity at even and odd places and their first place."""
     even = F.col("pos") % 2 == 0
-    return units.groupBy(*keys, "width", "strike", "mute").agg(
+    return units.groupBy(*keys, "width", *cols).agg(
         F.count_if(even).alias("c_even"), F.count_if(~even).alias("c_odd"), F.min("pos").alias("first_pos")
     )
 
 
-def agreement_sums(units: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+def agreement_sums(
+    units: DataFrame, keys: Sequence[str] = SECTION, cols: Sequence[str] = MASKS,
+    agree: Callable[[str, str], Column] = mask_agreement,
+) -> DataFrame:
     """Per distinct pattern: its summed agreement with the group's even and odd units.
 
     Patterns meet patterns, not units units; a group with many patterns is cut into blocks so
     its candidates spread over tasks, and the sums are folded map-side.
     """
-    pats = distinct_patterns(units, keys).withColumn(
-        "_blocks", F.ceil(F.count("*").over(Window.partitionBy(*keys)) / BLOCK).cast("int")
-    ).withColumn("n", F.sum(F.col("c_even") + F.col("c_odd")).over(Window.partitionBy(*keys)))
-    mine = pats.withColumn("_b", F.pmod(F.hash("strike", "mute"), F.col("_blocks"))).drop("_blocks")
+    whole = Window.partitionBy(*keys)
+    pats = distinct_patterns(units, keys, cols).withColumn(
+        "_blocks", F.ceil(F.count("*").over(whole) / BLOCK).cast("int")
+    ).withColumn("n", F.sum(F.col("c_even") + F.col("c_odd")).over(whole))
+    mine = pats.withColumn("_b", F.pmod(F.hash(*cols), F.col("_blocks"))).drop("_blocks")
     other = pats.select(
         *keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"),
-        F.col("strike").alias("o_strike"), F.col("mute").alias("o_mute"),
+        *[F.col(c).alias(f"o_{c}") for c in cols],
         F.col("c_even").alias("o_even"), F.col("c_odd").alias("o_odd"),
     )
-    j = agreement(F.col("strike"), F.col("mute"), F.col("o_strike"), F.col("o_mute"))
+    j = agree("", "o_")
     return mine.join(other, [*keys, "_b"]).groupBy(
-        *keys, "width", "n", "strike", "mute", "c_even", "c_odd", "first_pos"
+        *keys, "width", "n", *cols, "c_even", "c_odd", "first_pos"
     ).agg(F.sum(j * F.col("o_even")).alias("s_even"), F.sum(j * F.col("o_odd")).alias("s_odd"))
 
 
@@ -158,14 +170,33 @@ def unit_means(sums: DataFrame) -> DataFrame:
     )
 
 
-def medoid(sums: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+def medoid(sums: DataFrame, keys: Sequence[str] = SECTION, cols: Sequence[str] = MASKS) -> DataFrame:
     """The unit agreeing best with the others, the earliest on a tie."""
     top = unit_means(sums).groupBy(*keys, "n", "width").agg(
-        F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("first_pos")).alias("f"), "strike", "mute", "score")).alias("m")
+        F.max_by(F.struct(*cols, "score", "first_pos"), F.struct(F.round("score", 9), -F.col("first_pos"))).alias("m")
     )
     return top.select(
-        *keys, "n", "width", (-F.col("m.f")).alias("medoid_pos"), F.col("m.score").alias("score_medoid"),
-        F.col("m.strike").alias("medoid_strike"), F.col("m.mute").alias("medoid_mute"),
+        *keys, "n", "width", F.col("m.first_pos").alias("medoid_pos"), F.col("m.score").alias("score_medoid"),
+        *[F.col(f"m.{c}").alias(f"medoid_{c}") for c in cols],
+    )
+
+
+def two_best(sums: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+    """The best unit by mean agreement with the others, then the best whose pattern differs (the
+    same pattern again when every unit is alike; none for a lone unit). `place` is 1 or 2."""
+    scored = unit_means(sums)
+    best = scored.groupBy(*keys, "width", "n").agg(
+        F.max_by(F.struct("strike", "mute", "s_even", "s_odd"), F.struct(F.round("score", 9), -F.col("first_pos"))).alias("b")
+    )
+    rest = scored.join(best.select(*keys, "b"), list(keys)).where(
+        (F.col("strike") != F.col("b.strike")) | (F.col("mute") != F.col("b.mute"))
+    ).groupBy(*keys).agg(
+        F.max_by(F.struct("strike", "mute", "s_even", "s_odd"), F.struct(F.round("score", 9), -F.col("first_pos"))).alias("r")
+    )
+    both = best.join(rest, list(keys), "left").withColumn("r", F.coalesce("r", F.when(F.col("n") > 1, F.col("b"))))
+    rows = F.array(F.struct(F.lit(1).alias("place"), F.col("b").alias("u")), F.struct(F.lit(2).alias("place"), F.col("r").alias("u")))
+    return both.select(*keys, "width", "n", F.inline(rows)).where("u is not null").select(
+        *keys, "width", "place", "u.strike", "u.mute", ((F.col("u.s_even") + F.col("u.s_odd")) / F.col("n")).alias("mean_agreement")
     )
 
 
@@ -201,9 +232,11 @@ def majority_loo(
     return rest.groupBy(*keys).agg((F.sum(j * F.col("c")) / F.sum("c")).alias("score_majority"))
 
 
-def best_pair(units: DataFrame, sums: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+def best_pair(
+    units: DataFrame, sums: DataFrame, keys: Sequence[str] = SECTION, cols: Sequence[str] = MASKS
+) -> DataFrame:
     """The two-bar medoid: the consecutive pair that, alternating, agrees best with the other bars."""
-    scored = units.join(sums.select(*keys, "strike", "mute", "n", "s_even", "s_odd"), [*keys, "strike", "mute"])
+    scored = units.join(sums.select(*keys, *cols, "n", "s_even", "s_odd"), [*keys, *cols])
     nxt = with_neighbour(
         scored, keys, ["pos"], BAR_CHUNK,
         {"n_even": "s_even", "n_odd": "s_odd", "n_strike": "strike"}, ahead=True,
@@ -299,4 +332,45 @@ def choose_from(
         F.when(use_medoid, "medoid").otherwise("majority").alias("candidate"),
         "score_majority", F.col("med_score").alias("score_medoid"),
         aligned("med_strike", "vote_strike").alias("strike"), aligned("med_mute", "vote_mute").alias("mute"),
+        F.when(use_medoid, F.col("med_strike")).otherwise(F.col("vote_strike")).alias("raw_strike"),
+        F.when(use_medoid, F.col("med_mute")).otherwise(F.col("vote_mute")).alias("raw_mute"),
+    )
+
+
+def candidate_margin(units: DataFrame, phases: DataFrame, chosen: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE) -> DataFrame:
+    """The printed pattern's score less its best different rival's, and that rival.
+
+    Candidates: majority and medoid per unit length, then the two best voted units; each scored
+    by its mean agreement with the units it comes from. At most six rows per group.
+    """
+    def of(unit_table: DataFrame, sums: DataFrame, suffix: str, rank: int) -> DataFrame:
+        vote = section_vote(unit_table, keys, p)
+        fig = vote_figures(unit_table, vote, keys).select(*keys, F.col("confidence").alias("score"))
+        major = vote.join(fig, list(keys)).select(
+            *keys, F.lit(rank).alias("ord"), F.lit(f"majority_{suffix}").alias("name"), "width",
+            F.col("vote_strike").alias("strike"), F.col("vote_mute").alias("mute"), "score")
+        top = two_best(sums, keys).where("place = 1").select(
+            *keys, F.lit(rank + 1).alias("ord"), F.lit(f"medoid_{suffix}").alias("name"), "width", "strike", "mute",
+            F.col("mean_agreement").alias("score"))
+        return major.unionByName(top)
+
+    sums = share(agreement_sums(units, keys))
+    pairs = share(pair_units(units, phases.where("unit = 2"), keys))
+    pair_sums = share(agreement_sums(pairs, keys))
+    twos = phases.where("unit = 2").select(*keys)
+    voted = two_best(sums, keys).join(twos, list(keys), "left_anti").unionByName(two_best(pair_sums, keys))
+    named = F.when(F.col("place") == 1, "bar_best").otherwise("bar_second")
+    cands = of(units, sums, "1", 0).unionByName(of(pairs, pair_sums, "2", 2)).unionByName(
+        voted.select(*keys, (F.col("place") + 3).alias("ord"), named.alias("name"), "width", "strike", "mute", F.col("mean_agreement").alias("score"))
+    )
+    mine = chosen.select(*keys, (F.col("slots_per_bar") * F.col("unit")).alias("p_width"), "raw_strike", "raw_mute")
+    same = (F.col("width") == F.col("p_width")) & (F.col("strike") == F.col("raw_strike")) & (F.col("mute") == F.col("raw_mute"))
+    rival = F.struct(F.round("score", 9), -F.col("ord"))
+    t = cands.join(mine, list(keys)).withColumn("same", same).groupBy(*keys).agg(
+        F.max(F.when(F.col("same"), F.col("score"))).alias("printed_score"),
+        F.max_by(F.struct("score", "strike", "mute", "width", "name"), F.when(~F.col("same"), rival)).alias("rival"),
     )
+    has = F.col("rival.score").isNotNull() & t["rival"].isNotNull()
+    return t.select(*keys, F.when(has, F.col("printed_score") - F.col("rival.score")).alias("margin"),
+                    F.col("rival.name").alias("rival_name"), F.col("rival.strike").alias("rival_strike"),
+                    F.col("rival.mute").alias("rival_mute"), F.col("rival.width").alias("rival_width"))
