@@ -137,11 +137,14 @@ def pitch_midi(name: Column) -> Column:
     return (12 * (octave + 1) + base + shift).cast("int")
 
 
-def octave_shift(notes: Column) -> Column:
-    """The whole-octave shift in -2..2 with most pitches in range, the smaller, then the positive."""
-    def inside(s: int) -> Column:
-        return F.size(F.filter(notes, lambda m: (m + 12 * s).between(RANGE_LO, RANGE_HI)))
-    ranked = F.array(*[F.struct((-inside(s)).alias("miss"), F.lit(abs(s)).alias("size"), F.lit(-s).alias("neg")) for s in range(-2, 3)])
+def shift_counts(midi: Column) -> list[Column]:
+    """Aggregates counting the pitches each whole-octave shift brings into range."""
+    return [F.count_if((midi + 12 * s).between(RANGE_LO, RANGE_HI)).alias(f"in_{s + 2}") for s in range(-2, 3)]
+
+
+def octave_shift() -> Column:
+    """From `shift_counts`: the shift with most pitches in range, the smaller, then the positive."""
+    ranked = F.array(*[F.struct((-F.col(f"in_{s + 2}")).alias("miss"), F.lit(abs(s)).alias("size"), F.lit(-s).alias("neg")) for s in range(-2, 3)])
     return (-F.array_min(ranked)["neg"]).cast("int")
 
 
