@@ -47,7 +47,7 @@ def scored(spark, sf):
     return share(lab.join(rec, ["track_id", "bar"]).select("track_id", "bar", F.col("label").isin("rest", "tail").alias("truth"), F.col("rests").alias("pred")))
 
 
-@query("range_label_expand", f"WITH {REST} SELECT track_id, bar, truth, pred FROM sc")
+@query("range_label_expand", f"WITH {REST} SELECT track_id, CAST(bar AS INTEGER) AS bar, truth, pred FROM sc")
 def range_label_expand(spark, sf):
     return scored(spark, sf)
 
@@ -95,7 +95,7 @@ def flag_precision_recall(spark, sf):
 FIGS = ["D-DU-UDU", "D---D---", "DxDU-xDU", "-U-U-U-U"]
 PRINT = f"""{REST}, units AS (SELECT track_id, section, 8 AS width, strike, mute FROM rec), {S.vote('units', 'v')},
 cf AS (SELECT u.track_id, u.section, avg({S.jac('u.', 'v.')}) AS c FROM units u JOIN v USING (track_id, section) GROUP BY 1, 2),
-pr AS (SELECT r.track_id, r.section, r.bar, r.rests, CASE WHEN rests THEN 0 ELSE v.strike END AS ps, CASE WHEN rests THEN 0 ELSE v.mute END AS pm, NOT rests AND c < 0.3 AS uncertain FROM rec r JOIN v USING (track_id, section) JOIN cf USING (track_id, section))"""
+pr AS (SELECT r.track_id, r.section, r.bar, r.rests, CASE WHEN rests THEN 0 ELSE v.strike END AS ps, CASE WHEN rests THEN 0 ELSE v.mute END AS pm, NOT rests AND round(c, 9) < 0.3 AS uncertain FROM rec r JOIN v USING (track_id, section) JOIN cf USING (track_id, section))"""
 
 
 def printed(spark, sf):
@@ -105,7 +105,7 @@ def printed(spark, sf):
     zero = F.lit(0).cast("long")
     j = rec.join(votes.select(*SEC, "vote_strike", "vote_mute"), SEC).join(conf, SEC)
     return share(j.select(*SEC, "bar", "width", "strike", "mute", "rests", F.when(F.col("rests"), zero).otherwise(F.col("vote_strike")).alias("p_strike"),
-                          F.when(F.col("rests"), zero).otherwise(F.col("vote_mute")).alias("p_mute"), (~F.col("rests") & (F.col("confidence") < 0.3)).alias("uncertain")))
+                          F.when(F.col("rests"), zero).otherwise(F.col("vote_mute")).alias("p_mute"), (~F.col("rests") & (F.round("confidence", 9) < 0.3)).alias("uncertain")))
 
 
 def truth_patterns(spark, sf):
@@ -248,7 +248,7 @@ def rollup_view(spark, sf):
 
 GATE = f"""{FS}, sg AS (SELECT track_id, section, section * 7 AS a, section * 7 + 7 AS b, sum(bass_low_power) / nullif(sum(mix_low_power), 0) - 0.5 <= 0.25 AND sum(guitar_low_power) / (sum(guitar_total_power) + 1e-12) >= 0.40 AS fired FROM bs GROUP BY 1, 2),
 tr AS (SELECT l_suppkey AS track_id, l_orderkey * 16 + l_linenumber AS line, l_orderkey % 25 AS s, l_orderkey % 25 + 1 + l_linenumber AS e, l_returnflag = 'R' AS positive FROM lineitem),
-rg AS (SELECT t.track_id, t.line, any_value(positive) AS positive, bool_or(fired) AS fired FROM tr t JOIN sg ON sg.track_id = t.track_id AND sg.a < t.e AND t.s < sg.b GROUP BY 1, 2)"""
+rg AS (SELECT t.track_id, t.line, bool_or(positive) AS positive, bool_or(fired) AS fired FROM tr t JOIN sg ON sg.track_id = t.track_id AND sg.a < t.e AND t.s < sg.b GROUP BY 1, 2)"""
 
 
 @query("gate_counts", f"""WITH {GATE} SELECT track_id, count(*) FILTER (fired AND positive) AS true_pos, count(*) FILTER (fired AND NOT positive) AS false_pos, count(*) FILTER (positive AND NOT coalesce(fired, false)) AS missed FROM rg GROUP BY 1""")
