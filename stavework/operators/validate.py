@@ -39,3 +39,19 @@ def grid_constraints(beats: DataFrame, downbeats: DataFrame, bars: DataFrame, se
         _rule(edges.where("first_start <> 0"), "sections do not start at bar 0"),
         _rule(edges.where("last_end is null or last_end <> n_bars"), "sections do not end at the last bar"),
     ])
+
+
+def slot_constraints(rows: DataFrame, slots: int) -> DataFrame:
+    """Rows whose vector has not `slots` cells or whose strokes name a slot outside it."""
+    out_of_range = F.exists("slots", lambda s: ~s.between(0, slots - 1))
+    checked = rows.select("event_id", (F.length("cells") != slots).alias("bad_width"), out_of_range.alias("bad_slot"))
+    return checked.where("bad_width or bad_slot")
+
+
+def plan_differences(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Per track the first planned section that differs from what the inputs give now, and how many do."""
+    a, b = stored.withColumn("_a", F.lit(True)), current.withColumn("_b", F.lit(True))
+    b = b.withColumnsRenamed({"start_bar": "n_start", "end_bar": "n_end"})
+    j = a.join(b, ["track_id", "k"], "full")
+    same = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("start_bar") == F.col("n_start")) & (F.col("end_bar") == F.col("n_end"))
+    return j.where(~F.coalesce(same, F.lit(False))).groupBy("track_id").agg(F.min("k").alias("first_difference"), F.count("*").alias("differences"))
