@@ -135,7 +135,9 @@ def _local_count(ready: DataFrame, keys: Sequence[str], width: int, p: VoteParam
         return out
 
     schema = StructType([*[ready.schema[k] for k in keys], StructField("at_least", LongType())])
-    return ready.groupBy(*keys).applyInPandas(count, schema)
+    # little data, much work: a set number of partitions, which run-time coalescing leaves alone
+    spread = ready.repartition(ready.sparkSession.sparkContext.defaultParallelism * 4, *keys)
+    return spread.groupBy(*keys).applyInPandas(count, schema)
 
 
 def _folded_count(ready: DataFrame, keys: Sequence[str], width: int, p: VoteParams) -> DataFrame:

@@ -19,9 +19,11 @@ def artifact_scan(spark: SparkSession, paths: str | list[str], schema: StructTyp
     The schema is given, never inferred; fields an older file lacks read as null.
     """
     full = StructType([*schema.fields, StructField(BAD, StringType())])
-    raw = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", BAD).json(paths)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    text = spark.read.option("wholetext", True).text(paths)  # one artifact per file
     path = F.col("_metadata.file_path")
-    rows = raw.select("*", path.alias("path"), F.element_at(F.split(path, "/"), -slug_depth).alias("slug"))
+    raw = text.select(F.from_json("value", full, options).alias("a"), path.alias("path")).select("a.*", "path")
+    rows = raw.withColumn("slug", F.element_at(F.split("path", "/"), -slug_depth))
     return rows.where(F.col(BAD).isNull()).drop(BAD), rows.where(F.col(BAD).isNotNull()).select("path", F.col(BAD).alias("text"))
 
 
