@@ -86,3 +86,10 @@ def fill_silent_bars(
     kept = split.join(gone, ["track_id", "event", "piece"], "left_anti").select(
         "track_id", "start", "end", "label", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("filled"))
     return kept.unionByName(fills.select("track_id", "start", "end", "label", "confidence", F.lit(True).alias("filled")))
+
+
+def masked_mean(chroma: DataFrame, keep: str) -> DataFrame:
+    """Mean chroma over the kept bars of a track, over all of them when none is kept; long form (pc, v)."""
+    pcs = chroma.select("track_id", keep, F.posexplode("chroma").alias("pc", "x")).groupBy("track_id", "pc").agg(
+        F.avg(F.when(F.col(keep), F.col("x"))).alias("kept"), F.avg("x").alias("every"))
+    return pcs.select("track_id", "pc", F.coalesce("kept", "every").alias("v"))

@@ -103,22 +103,52 @@ def double_beats(beats: DataFrame, chunk: float, tie: str = "event_id") -> DataF
     return own.unionByName(mid)
 
 
-def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: float) -> DataFrame:
+LONG_RUN = 65536  # longer runs of close points are followed by pointers instead of folded in a row
+
+
+def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: float, long_run: int = LONG_RUN) -> DataFrame:
     """Greedy thinning: keep the first point, then each point at least `gap` after the last kept.
 
-    A point that far from its predecessor is always kept, so a track falls apart into runs of
-    close points that are folded independently; no run is longer than a stretch without one
-    wide interval.
+    A point that far from its predecessor is always kept, so a track falls apart into runs of close
+    points that are thinned independently: short runs in one row each, long ones by doubling pointers.
     """
     near = with_neighbour(points, keys, [x], chunk, {"_prev": x})
     starts = F.when(F.col("_prev").isNull() | (F.col(x) - F.col("_prev") >= gap), 1).otherwise(0)
-    runs = with_running_sum(near, keys, [x], chunk, {"_run": starts})
-    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.col(x).cast("double"))).alias("_xs"))
+    runs = share(with_running_sum(near, keys, [x], chunk, {"_run": starts}))
+    by = [*keys, "_run"]
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("_size"))
+    long_ = sizes.where(F.col("_size") > long_run).select(*by)
+    folded = runs.join(sizes.where(F.col("_size") <= long_run).select(*by), by, "left_semi").groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.col(x).cast("double"))).alias("_xs"))
     kept = F.aggregate(
         "_xs", F.array().cast("array<double>"),
         lambda acc, v: F.when((F.size(acc) == 0) | (v - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(v))).otherwise(acc),
     )
-    return folded.select(*keys, F.explode(kept).alias(x))
+    out = folded.select(*keys, F.explode(kept).alias(x))
+    if long_.isEmpty():
+        return out
+    return out.unionByName(_follow(runs.join(long_, by, "left_semi").select(*by, F.col(x).cast("double").alias("x")), by, gap, chunk).select(*keys, F.col("x").alias(x)))
+
+
+def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float) -> DataFrame:
+    """The points reached from each run's first by jumping to the first point `gap` further on.
+
+    Jumps double every round, so a run of n kept points takes log2(n) rounds of two joins.
+    """
+    line = points.select(*by, (F.col("x") + gap).alias("at"), F.lit(0).alias("kind"), F.col("x").alias("src"), F.lit(None).cast("double").alias("hit")).unionByName(
+        points.select(*by, F.col("x").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("src"), F.col("x").alias("hit")))
+    found = with_last_known(line, by, ["at", "kind"], chunk, {"hit": "hit"}, ahead=True).where("kind = 0 and hit is not null")
+    jump = share(found.select(*by, F.col("src").alias("x"), "hit"))
+    kept = share(points.groupBy(*by).agg(F.min("x").alias("x")))
+    for _ in range(48):
+        new = kept.join(jump, [*by, "x"]).select(*by, F.col("hit").alias("x")).join(kept, [*by, "x"], "left_anti")
+        new = share(new.distinct())
+        if new.isEmpty():
+            break
+        kept = share(kept.unionByName(new))
+        then = jump.withColumnsRenamed({"x": "hit", "hit": "hit2"})
+        jump = share(jump.join(then, [*by, "hit"]).select(*by, "x", F.col("hit2").alias("hit")))
+    return kept
 
 
 def normalise_octave(beats: DataFrame, downbeats: DataFrame, target_period: float, chunk: float, tol: float = 0.75) -> DataFrame:

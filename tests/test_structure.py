@@ -72,3 +72,18 @@ def test_segmentation_reports_every_bar_once(spark):
     out = T.segment_bars(df, ["track_id"])
     assert out.count() == 60 and out.select("track_id", "bar").distinct().count() == 60
     assert F
+
+
+def test_thinning_long_runs_by_pointers_equals_folding_them(spark):
+    rng = random.Random(4)
+    rows = sorted({(t, round(rng.uniform(0, 60), 3)) for t in range(3) for _ in range(150)})
+    df = spark.createDataFrame(rows, "track_id int, x double")
+    want = []
+    for t in range(3):
+        last = None
+        for x in (x for u, x in rows if u == t):
+            if last is None or x - last >= 1.5:
+                want.append((t, x))
+                last = x
+    for limit in (10_000, 3):
+        assert sorted(map(tuple, G.thin(df, ["track_id"], "x", 1.5, 10.0, long_run=limit).collect())) == want
