@@ -146,7 +146,7 @@ def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float) -> D
         if new.isEmpty():
             break
         kept = share(kept.unionByName(new))
-        then = jump.withColumnsRenamed({"x": "hit", "hit": "hit2"})
+        then = jump.select(*by, F.col("hit").alias("hit2"), F.col("x").alias("hit"))
         jump = share(jump.join(then, [*by, "hit"]).select(*by, "x", F.col("hit2").alias("hit")))
     return kept
 
