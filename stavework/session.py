@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,16 +31,24 @@ def build_session(app: str = "stavework", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: the cluster's `spark.checkpoint.dir`.
 
-    Only a session without one (a test) gets a temporary folder of its own.
+    Only a session in one process, as in tests, gets a temporary folder where none is named; on a
+    cluster that would be another disk on every machine, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "folder" not in _OWN:
         _OWN["folder"] = tempfile.mkdtemp(prefix="stavework-")
     return _OWN["folder"]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/stavework-{uuid.uuid4().hex}"
+
+
 def share(df: DataFrame) -> DataFrame:
     """A table several branches of one job read, written once to the shared folder and read back.
 
@@ -47,7 +56,6 @@ def share(df: DataFrame) -> DataFrame:
     prune its columns and see its real size. The written tables belong to the job: they are left
     for the folder's own clean-up, because lazy results may still read them.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stavework-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
