@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from stavework.llm import words as W
 from stavework.session import share
@@ -19,7 +20,7 @@ MOST = 3
 LEVELS, LEVEL_BITS = 4, 12
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _word_count(texts: pa.Array) -> pa.Array:
     out = []
     for piece in W.slices(texts):

@@ -87,6 +87,7 @@ class _Shard:
 
 def _write_tasks(folder: str, roll: int):
     names = [c.split()[0] for c in MANIFEST.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, refers, at = None, {}, object()
@@ -97,7 +98,8 @@ def _write_tasks(folder: str, roll: int):
                 if shard is None or shard.shard != number:
                     if shard is not None:
                         shard.close()
-                        yield pa.record_batch([pa.array(x) for x in zip(*shard.done)], names=names)
+                    if shard is not None and shard.done:
+                        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*shard.done), kinds)], names=names)
                     shard = _Shard(folder, number, roll)
                 if key != at:
                     refers, at = {}, key
@@ -108,7 +110,7 @@ def _write_tasks(folder: str, roll: int):
         if shard is not None:
             shard.close()
             if shard.done:
-                yield pa.record_batch([pa.array(x) for x in zip(*shard.done)], names=names)
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*shard.done), kinds)], names=names)
 
     return run
 
