@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -59,3 +60,13 @@ def share(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished tables now.
+
+    Its cleaner removes them once the driver has collected the plans that made them, which a driver with
+    much free memory may not do for half an hour; a job of several large shuffles would hold all their files till then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
