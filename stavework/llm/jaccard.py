@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stavework.llm import words as W
 from stavework.llm.graph import components
-from stavework.session import share
+from stavework.session import release, share
 
 SHORT, OVERLAP = 250, 200
 BUCKET_TOKENS = 2_000_000
@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame, text_col: str, width: int, buckets: int) -> Da
 
 
 def zone_rows(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(cls, level, n, z, token): the zone tokens of every text, z their number."""
+    """(cls, zone, token) of every zone token; `zone` packs set size, zone size and level, so that rows stay narrow."""
     def run(batches):
         seen: set = set()
         for batch in batches:
@@ -128,23 +128,31 @@ def zone_rows(docs: DataFrame, text_col: str, width: int) -> DataFrame:
                                            pa.array([r[2] for r in rows], pa.int64()), lists], names=["cls", "level", "n", "tokens"])
 
     arrays = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, level int, n long, tokens array<long>")
-    return arrays.select("cls", "level", "n", F.size("tokens").alias("z"), F.explode("tokens").alias("token"))
+    return arrays.select("cls", F.shiftleft("n", 33).bitwiseOR(F.shiftleft(F.size("tokens").cast("long"), 1)).bitwiseOR(F.col("level")).alias("zone"), F.explode("tokens").alias("token"))
 
 
-def postings(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, cls, n, before): the rarest zone tokens of each text, as many as a linked text can't all lack.
+def heads(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cls, level, n, head): the rarest zone tokens of each text, as many as a linked text can't all lack.
 
     Of z zone tokens at most n // 5 may be missing in a linked text, so one of the n // 5 + 1 rarest
-    is common. Tokens that one text alone holds come first in the order and need no posting.
+    is common. Tokens that one text alone holds come first in the order and are not listed.
     """
-    shared = rows.join(counts, "token").groupBy("cls", "level", "n", "z").agg(F.collect_set(F.struct("df", "token")).alias("held"))
-    misses = F.floor(F.col("n") / 5)
-    keep = (misses + 1 - (F.col("z") - F.size("held"))).cast("int")
-    alive = shared.withColumn("keep", keep).where("keep > 0")
+    shared = rows.join(counts, "token").groupBy("cls", "zone").agg(F.collect_set(F.struct("df", "token")).alias("held"))
+    shared = shared.select("cls", "held", (F.col("zone").bitwiseAND(F.lit(1))).cast("int").alias("level"), F.shiftright("zone", 33).alias("n"), F.shiftright("zone", 1).bitwiseAND(F.lit((1 << 32) - 1)).alias("z"))
+    keep = (F.floor(F.col("n") / 5) + 1 - (F.col("z") - F.size("held"))).cast("int")
     ordered = F.slice(F.array_sort("held"), F.lit(1), F.greatest("keep", F.lit(0)))
-    heads = alive.select("cls", "n", F.transform(ordered, lambda s: s["token"]).alias("head"))
-    return heads.select("cls", "n", "head", F.posexplode("head").alias("place", "token")).select(
-        "token", "cls", "n", F.when(F.col("place") > 0, F.slice("head", F.lit(1), F.greatest("place", F.lit(1)))).otherwise(F.array().cast("array<long>")).alias("before"))
+    return shared.withColumn("keep", keep).where("keep > 0").select("cls", "level", "n", F.transform(ordered, lambda s: s["token"]).alias("head"))
+
+
+def _common_needed(n: Column, m: Column, percent: int) -> Column:
+    """How many tokens the heads of two linked texts of n and m shingles share at least.
+
+    A linked pair has o = ceil(p (n + m) / (1 + p)) shingles in common, so n - o of one text are missing in the other. A head holds
+    n // 5 + 1 tokens with those of one text alone; of the head that ends first in the order, all tokens but the missing ones are in the other.
+    """
+    o = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    one = lambda x: F.floor(x / 5) + 1 - (x - o)
+    return F.greatest(F.least(one(n), one(m)), F.lit(1))
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: DataFrame) -> DataFrame:
@@ -186,42 +194,54 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * percent).select("u", "v")
 
 
-def _labelled(posts: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Postings with the component known so far, and per list its commonest component, where a list holds several."""
+def _likely(pairs: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with sizes whose heads share as many tokens as those of linked texts must."""
+    left = tops.select(F.col("cls").alias("u"), "level", F.col("n").alias("nu"), F.col("head").alias("a"))
+    right = tops.select(F.col("cls").alias("v"), "level", F.col("n").alias("nv"), F.col("head").alias("b"))
+    joined = pairs.join(left, "u").join(right, ["v", "level"])
+    return joined.where(F.size(F.array_intersect("a", "b")) >= _common_needed(F.col("nu"), F.col("nv"), percent)).select("u", "v", "nu", "nv").distinct()
+
+
+def _labelled(tops: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Posting lists (token, cls, n, comp, main): members with the component known so far and the list's commonest one, where a list holds several."""
     if edges is None:
-        known = posts.withColumn("comp", F.col("cls"))
+        known = tops.withColumn("comp", F.col("cls"))
     else:
         found = components(edges)
-        known = posts.join(found, posts["cls"] == found["node"], "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
-    main = known.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    return known.join(main, "token")
+        known = tops.join(found, tops["cls"] == found["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
+    posts = known.select("cls", "level", "n", "comp", F.explode("head").alias("token"))
+    main = posts.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    return posts.join(main, "token")
 
 
-def links(posts: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3) -> DataFrame:
+def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3) -> DataFrame:
     """Verified links (u, v) that connect exactly the classes that all links connect.
 
     `rounds` times each posting list compares its members with one member of its commonest component;
     the last round compares every member outside that component with all of other components, each
     pair at its first common token. Pairs within a known component are never formed, so the last
-    round is exact and the ones before only make it small.
+    round is exact and the ones before only make it small. Pairs are counted in full only if their heads agree enough.
     """
     edges = None
     for turn in range(rounds):
-        lists = share(_labelled(posts.select("token", "cls", "n"), edges))
+        lists = share(_labelled(tops, edges))
         if lists.isEmpty():
             return edges if edges is not None else lists.select(F.col("cls").alias("u"), F.col("cls").alias("v"))
         hub = lists.where("comp = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)), F.col("cls").alias("hub"), F.col("n").alias("hn"))).alias("h")).select("token", "h.hub", "h.hn")
         pairs = lists.join(hub, "token").where((F.col("comp") != F.col("main")) & _similar(F.col("n"), F.col("hn"), percent))
-        pairs = pairs.select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v"),
-                             F.when(F.col("cls") < F.col("hub"), F.col("n")).otherwise(F.col("hn")).alias("nu"), F.when(F.col("cls") < F.col("hub"), F.col("hn")).otherwise(F.col("n")).alias("nv")).distinct()
-        found = linked(pairs, parts, percent)
+        pairs = pairs.select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct()
+        found = linked(_likely(pairs, tops, percent), parts, percent)
         edges = share(found if edges is None else edges.union(found))
-    lists = share(_labelled(posts, edges))
+        release(tops.sparkSession)
+    lists = share(_labelled(tops, edges))
     if lists.isEmpty():
         return edges
-    a = lists.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("before").alias("ba"))
-    b = lists.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("before").alias("bb"), (F.col("comp") != F.col("main")).alias("outside"))
-    once = (F.col("ca") != F.col("cb")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & _similar(F.col("na"), F.col("nb"), percent) & ~F.arrays_overlap("ba", "bb")
+    full = lists.join(tops.select("cls", "level", "head"), ["cls", "level"])
+    a = full.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("head").alias("ha"))
+    b = full.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), (F.col("comp") != F.col("main")).alias("outside"))
+    same = F.array_intersect("ha", "hb")
+    once = (F.col("ca") != F.col("cb")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & _similar(F.col("na"), F.col("nb"), percent)
+    once = once & (F.size(same) >= _common_needed(F.col("na"), F.col("nb"), percent)) & (F.get(same, F.lit(0)) == F.col("token"))
     pairs = a.join(b, "token").where(once)
     pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nu"),
                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv")).distinct()
@@ -244,12 +264,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = signed.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(0, (int(total) // BUCKET_TOKENS)).bit_length()
     full = docs.where(F.col(text_col).isNotNull())
-    counts = token_counts(full, text_col, width, buckets)
-    posts = share(postings(zone_rows(full, text_col, width), counts))
-    alive = posts.select("cls").distinct()
+    counts = share(token_counts(full, text_col, width, buckets))
+    release(docs.sparkSession)
+    tops = share(heads(zone_rows(full, text_col, width), counts))
+    release(docs.sparkSession)
+    token = tops.select("cls", F.explode("head").alias("token"))
+    several = token.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token")
+    alive = token.join(several, "token", "left_semi").select("cls").distinct()
     reps = signed.where("n > 0").join(alive, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "rep")).alias("r")).select("cls", "r.id", "r.rep")
-    parts = share(segments(full, id_col, text_col, width, reps))
-    found = components(links(posts, parts, percent))
+    parts = share(segments(full, id_col, text_col, width, share(reps)))
+    release(docs.sparkSession)
+    found = components(links(tops, parts, percent))
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(found, classes["cls"] == found["node"], "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     groups = classes.groupBy("root").agg(F.min("least").alias("component_id"))
