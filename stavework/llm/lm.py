@@ -16,7 +16,7 @@ from stavework.session import share
 
 CUTOFF = 3
 BIGRAM, UNIGRAM = 0.6, 0.35
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES, LEAST_BUCKETS = 2_000_000, 64
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def cross_entropy_difference(docs: DataFrame, target: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.expr(target).cast("boolean"), F.lit(False)).alias("target"), F.xxhash64(text_col).alias("code"))
     words = Vocabulary(counts := share(word_counts(rows)), vocabulary)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, int(total) // BUCKET_ENTRIES)
+    buckets = max(LEAST_BUCKETS, int(total) // BUCKET_ENTRIES)
     model = share(model_shards(rows, words, buckets))
     sums = text_losses(rows, model, words, buckets)
     mean = lambda c: F.round(F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)), 6)
