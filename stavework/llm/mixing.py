@@ -98,7 +98,8 @@ def thresholds(docs: DataFrame, source_col: str) -> DataFrame:
 
     A target is so many whole copies of its source and a rest. The rest is shared by size class in proportion, each class
     gets its threshold, and the documents at the thresholds are taken from the largest on while they fit. What is then still
-    missing moves the threshold of one class, the smallest that can hold it, so a source misses its target by about one short document.
+    missing moves the threshold of one class, the smallest that can hold it, so a source of many documents misses its
+    target by about one short document, and any source by at most half of its longest.
     """
     rows = share(docs.select(F.col(source_col).alias("source"), "_size", "_class", "_u"))
     sums = share(rows.groupBy("source", "_class").agg(F.sum("_size").alias("total")))
