@@ -213,18 +213,18 @@ def unique_name(spark, sf):
     return L.unique_names(m, "slug", "page_id", 65536).select("page_id", "name")
 
 
-@query("video_id", r"""SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'abcdefg' || lpad(CAST(page_id AS VARCHAR), 4, '0') END AS video_id FROM pages WHERE page_id < 10000""")
+@query("video_id", r"""SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') END AS video_id FROM pages""")
 def video_id(spark, sf):
-    i = F.concat(F.lit("abcdefg"), F.lpad(F.col("page_id").cast("string"), 4, "0"))
+    i = F.concat(F.lit("v"), F.lpad(F.col("page_id").cast("string"), 10, "0"))
     url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), i)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://youtu.be/"), i)).otherwise(F.concat(F.lit("https://notyoutube.com/live/"), i))
-    return read(spark, sf, "pages").where("page_id < 10000").select("page_id", T.video_id(url).alias("video_id"))
+    return read(spark, sf, "pages").select("page_id", T.video_id(url).alias("video_id"))
 
 
-@query("find_run", """WITH w AS (SELECT page_id, 'https://youtu.be/abcdefg' || lpad(CAST(page_id % 50 AS VARCHAR), 4, '0') AS source FROM pages), r AS (SELECT page_id AS run, CASE WHEN page_id % 2 = 0 THEN 'https://youtu.be/' ELSE 'https://x.com/?v=' END || 'abcdefg' || lpad(CAST(page_id AS VARCHAR), 4, '0') AS source, 'abcdefg' || lpad(CAST(page_id AS VARCHAR), 4, '0') AS vid FROM pages WHERE page_id % 50 < 40)
+@query("find_run", """WITH w AS (SELECT page_id, 'https://youtu.be/v' || lpad(CAST(page_id % 50 AS VARCHAR), 10, '0') AS source FROM pages), r AS (SELECT page_id AS run, CASE WHEN page_id % 2 = 0 THEN 'https://youtu.be/' ELSE 'https://x.com/?v=' END || 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS source, 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS vid FROM pages WHERE page_id % 50 < 40)
 SELECT page_id, CAST(coalesce((SELECT min(run) FROM r WHERE r.source = w.source), (SELECT min(run) FROM r WHERE r.vid = right(w.source, 11))) AS DOUBLE) AS run FROM w""")
 def find_run(spark, sf):
     p = read(spark, sf, "pages")
-    tag = lambda i: F.concat(F.lit("abcdefg"), F.lpad(i.cast("string"), 4, "0"))
+    tag = lambda i: F.concat(F.lit("v"), F.lpad(i.cast("string"), 10, "0"))
     w = p.select("page_id", F.concat(F.lit("https://youtu.be/"), tag(F.col("page_id") % 50)).alias("source"))
     runs = p.where("page_id % 50 < 40").select(F.col("page_id").alias("run"), F.concat(F.when(F.col("page_id") % 2 == 0, "https://youtu.be/").otherwise("https://x.com/?v="), tag(F.col("page_id"))).alias("source"), F.lit(None).cast("string").alias("video_id"))
     return L.find_run(w, runs).select("page_id", F.col("run").cast("double").alias("run"))

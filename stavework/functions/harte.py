@@ -68,10 +68,10 @@ def triad_quality(label: Column) -> Column:
 
 
 def to_triad(label: Column) -> Column:
-    """No chord and power chords stay; a known or unknown quality on a valid root becomes its triad."""
-    return F.when(
-        is_no_chord(label) | root(label).isNull() | (quality(label) == "5"), label
-    ).otherwise(F.concat(root(label), F.lit(":"), triad_quality(label)))
+    """No chord and power chords stay; any other quality on a valid root becomes its triad, an unreadable one the major triad."""
+    lead = F.nullif(F.regexp_extract(label, r"^([A-G][#b]*)(?:[:/].*)?$", 1), F.lit(""))
+    own = F.when(is_no_chord(label) | (quality(label) == "5"), label).when(root(label).isNotNull(), F.concat(root(label), F.lit(":"), triad_quality(label)))
+    return F.coalesce(own, F.concat(lead, F.lit(":maj")), label)
 
 
 def plain_major_root(label: Column) -> Column:

@@ -111,9 +111,10 @@ def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: floa
 
     A point that far from its predecessor is always kept, so a track falls apart into runs of close
     points that are thinned independently: short runs in one row each, long ones by doubling pointers.
+    Both compare a point with `last + gap`, so the two agree on points that lie exactly there.
     """
     near = with_neighbour(points, keys, [x], chunk, {"_prev": x})
-    starts = F.when(F.col("_prev").isNull() | (F.col(x) - F.col("_prev") >= gap), 1).otherwise(0)
+    starts = F.when(F.col("_prev").isNull() | (F.col(x) >= F.col("_prev") + gap), 1).otherwise(0)
     runs = share(with_running_sum(near, keys, [x], chunk, {"_run": starts}))
     by = [*keys, "_run"]
     sizes = runs.groupBy(*by).agg(F.count("*").alias("_size"))
@@ -122,7 +123,7 @@ def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: floa
         F.array_sort(F.collect_list(F.col(x).cast("double"))).alias("_xs"))
     kept = F.aggregate(
         "_xs", F.array().cast("array<double>"),
-        lambda acc, v: F.when((F.size(acc) == 0) | (v - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(v))).otherwise(acc),
+        lambda acc, v: F.when((F.size(acc) == 0) | (v >= F.element_at(acc, -1) + gap), F.concat(acc, F.array(v))).otherwise(acc),
     )
     out = folded.select(*keys, F.explode(kept).alias(x))
     if long_.isEmpty():
@@ -140,7 +141,7 @@ def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float) -> D
     found = with_last_known(line, by, ["at", "kind"], chunk, {"hit": "hit"}, ahead=True).where("kind = 0 and hit is not null")
     jump = share(found.select(*by, F.col("src").alias("x"), "hit"))
     kept = share(points.groupBy(*by).agg(F.min("x").alias("x")))
-    for _ in range(48):
+    while True:
         new = kept.join(jump, [*by, "x"]).select(*by, F.col("hit").alias("x")).join(kept, [*by, "x"], "left_anti")
         new = share(new.distinct())
         if new.isEmpty():

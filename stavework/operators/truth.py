@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stavework.functions.harte import pitch_class
 from stavework.functions import keys as K
 from stavework.functions.rhythm import agreement, mask_where, swap_distance
 from stavework.operators.intervals import overlap, point_in_span, within
@@ -186,8 +187,13 @@ def label_overlap(reference: DataFrame, estimate: DataFrame, bucket: float) -> D
 
     Both carry `start`, `end`, `triad` (N, X or root:triad); what the estimate leaves open counts as N.
     """
-    r = reference.select("track_id", "start", "end", F.col("triad").alias("ref"))
-    e = estimate.select("track_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("triad").alias("est"))
+    def sounding(c: str) -> Column:
+        """Roots by pitch class, so that C# and Db agree."""
+        name, kind = F.split_part(c, F.lit(":"), F.lit(1)), F.split_part(c, F.lit(":"), F.lit(2))
+        return F.when(F.col(c).isin("N", "X"), F.col(c)).otherwise(F.concat(pitch_class(name).cast("string"), F.lit(":"), kind))
+
+    r = reference.select("track_id", "start", "end", sounding("triad").alias("ref"))
+    e = estimate.select("track_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), sounding("triad").alias("est"))
     hits = overlap(r, e, KEYS, ("start", "end"), ("e_start", "e_end"), bucket)
     total = r.groupBy("track_id", "ref").agg(F.sum(F.col("end") - F.col("start")).alias("dur"))
     met = hits.groupBy("track_id", "ref", "est").agg(F.sum("overlap").alias("w"))
