@@ -69,8 +69,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(folds.learnable("id") & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    sizes = rows.groupBy("lang").count()
-    sample = share(rows.join(sizes, "lang").where(folds.thinned("id", F.col("count"), per_language)).select("id", "lang", "text"))
+    sizes = rows.groupBy("lang").count()  # one row a language, far less than the centroids that the driver holds later
+    sample = share(rows.join(F.broadcast(sizes), "lang").where(folds.thinned("id", F.col("count"), per_language)).select("id", "lang", "text"))
 
     def document_counts(batches):
         total, n = np.zeros(1 << BITS), 0
