@@ -5,11 +5,13 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+RELEASE_WAIT_S = 2
 
 
 def build_session(app: str = "stavework", master: str | None = None, **conf: str) -> SparkSession:
@@ -67,6 +69,9 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner removes them once the driver has collected the plans that made them, which a driver with
     much free memory may not do for half an hour; a job of several large shuffles would hold all their files till then.
+    Python tells the driver of dropped plans from a thread of its own, about once a second; without the wait the newest
+    plan would outlive the call, and its files the next step.
     """
     gc.collect()
+    time.sleep(RELEASE_WAIT_S)
     spark.sparkContext._jvm.System.gc()
