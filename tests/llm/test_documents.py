@@ -192,3 +192,17 @@ def test_cross_entropy_against_plain_counts(spark):
         w = [x if x in known else 0 for x in words(t)]
         want = [sum(m(a, b) for a, b in zip(["<s>", *w], w)) / len(w) if w else 0.0 for m in (target, background)]
         assert got[k] == pytest.approx(want, abs=2e-6)
+
+
+def test_cross_entropy_keeps_every_word_above_the_cutoff(spark):
+    import math
+    n = 70_000
+    texts = [(k, " ".join(f"w{(k * 1000 + j) % n}" for j in range(1000))) for k in range(n // 1000)] * lm.CUTOFF + [(900, "w5 w6")]
+    docs = rows(spark, [(i, t) for i, (_, t) in enumerate(texts)], {0: "t"})
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, "source = 't'").collect()}
+    total, rest = 3 * n + 2, (1 - lm.BIGRAM - lm.UNIGRAM) / (n + 1)
+    starts = 3 * n // 1000 + 1
+    short = [lm.BIGRAM / starts + lm.UNIGRAM * 4 / total + rest, lm.BIGRAM + lm.UNIGRAM * 4 / total + rest]
+    assert got[len(texts) - 1]["loss_background"] == pytest.approx(-sum(map(math.log2, short)) / 2, abs=2e-6)
+    plain = (-math.log2(lm.BIGRAM * 3 / starts + lm.UNIGRAM * 3 / total + rest) - 999 * math.log2(lm.BIGRAM + lm.UNIGRAM * 3 / total + rest)) / 1000
+    assert got[20]["loss_background"] == pytest.approx(plain, abs=2e-6)
