@@ -5,6 +5,9 @@ writes the symbol it stands on. Strings at a small edit distance give walks at a
 so equal symbols at a few sampled steps are likely. Symbols here are words (A-Z lower-cased). Item windows
 and document windows of one size are embedded `repeats` times; where all sampled steps of a repeat agree,
 the item is aligned to the text there and the edit distance is computed in full.
+
+Items under SHORTEST words allow no edit (up to four words) or one. They are looked up exactly: whole, and for
+one edit by their halves, one of which an edit leaves as it is.
 """
 
 from __future__ import annotations
@@ -86,8 +89,39 @@ def _walk(x: np.ndarray, starts: np.ndarray, size: int, repeat: int, filters: li
     return alive, key, partial
 
 
+def _runs(x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A key of the `size` words at each start."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(size):
+        out += x[starts + k] * W._PLACES[k]
+    return W.mix(out)
+
+
+class _Exact:
+    """Runs of `size` words of short items, (words, item, offset) each, found wherever they stand in a text."""
+
+    def __init__(self, size: int, entries: list[tuple[np.ndarray, int, int]]):
+        self.size = size
+        x = np.concatenate([e[0] for e in entries])
+        keys = _runs(x, size * np.arange(len(entries)), size)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.offset = keys[order], np.array([e[1] for e in entries])[order], np.array([e[2] for e in entries])[order]
+        self.begins, self.filter = _Filter(x[::size]), _Filter(keys)
+
+    def __call__(self, x: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, offset) of every run found, starts rising."""
+        starts = place[self.begins(x[place])]
+        keys = _runs(x, starts, self.size)
+        keep = self.filter(keys)
+        starts, keys = starts[keep], keys[keep]
+        lo, hi = np.searchsorted(self.keys, keys, side="left"), np.searchsorted(self.keys, keys, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.repeat(starts, n), self.item[at], self.offset[at]
+
+
 class Index:
-    """All windows of the items under all repeats."""
+    """All windows of the items under all repeats, and short items whole and by halves."""
 
     def __init__(self, texts: list[str]):
         hashes, starts, ends, first, _ = W.words(pa.array(texts, pa.string()))
@@ -117,20 +151,42 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 repeats.append(([_Filter(p) for p in partial], key[order], owner[order], offset[order]))
             self.sizes.append((size, _Filter(x[begin]), repeats))
-        self.widest = max((s for s, _, _ in self.sizes), default=0)
+        self.widest = max((s for s, _, _ in self.sizes), default=SHORTEST)
+        whole, halves = {}, {}
+        for i, words in enumerate(self.items):
+            if 0 < len(words) < SHORTEST:
+                whole.setdefault(len(words), []).append((words, i, 0))
+                if int(EDITS * len(words)):
+                    middle = len(words) // 2
+                    for offset, half in ((0, words[:middle]), (middle, words[middle:])):
+                        halves.setdefault(len(half), []).append((half, i, offset))
+        self.whole, self.halves = ([_Exact(n, e) for n, e in sorted(x.items())] for x in (whole, halves))
 
     def matches(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         """Per text the (item, distance, first word) of each item within the edit limit, at its best place."""
         hashes, _, _, first, _ = W.words(texts)
         n = len(first) - 1
         found: list[dict] = [{} for _ in range(n)]
-        if not self.sizes or not len(hashes):
+        if not (self.sizes or self.whole) or not len(hashes):
             return [[] for _ in range(n)]
         gap = 2 * self.widest + 2
         x = np.zeros(len(hashes) + gap * n, np.uint64)
         place = np.arange(len(hashes)) + gap * np.repeat(np.arange(n), np.diff(first))
         x[place] = np.where(hashes == _PAD, np.uint64(1), hashes)
         tried: set = set()
+        origins = first + gap * np.arange(len(first))
+        for exact in self.whole:
+            starts, item, _ = exact(x, place)
+            doc = np.searchsorted(origins, starts, side="right") - 1
+            _, once = np.unique(doc * len(self.items) + item, return_index=True)
+            for d, i, s in zip(doc[once].tolist(), item[once].tolist(), (starts - origins[doc])[once].tolist()):
+                found[d][i] = (0, s)
+        for exact in self.halves:
+            starts, item, offset = exact(x, place)
+            doc = np.searchsorted(origins, starts, side="right") - 1
+            for d, s, i, o in zip(doc.tolist(), starts.tolist(), item.tolist(), offset.tolist()):
+                if found[d].get(i, (1, 0))[0]:
+                    self._verify(x, s, i, o, gap, first, tried, found)
         for size, begins, repeats in self.sizes:
             starts = place[begins(x[place])]
             for r, (filters, keys, owner, offset) in enumerate(repeats):
@@ -179,7 +235,7 @@ def _index(texts: tuple) -> Index:
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """The items in blocks of about BLOCK_BYTES of text, each small enough for every task; items under SHORTEST words are not searched."""
+    """The items in blocks of about BLOCK_BYTES of text, each small enough for every task."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = rows.agg(F.sum(F.length("text") + 50)).first()[0] or 0
     blocks = int(size) // BLOCK_BYTES + 1
@@ -207,7 +263,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     An item is found where some part of the text is within 0.2 of its words in edit distance (words, A-Z lower-cased).
     Each hit is exact; the search reaches the recall that tests measure, and always finds verbatim passages.
-    Null, empty and blank texts match nothing; nor do null items or those under eight words. Repeated items and
+    Items under eight words are always found, within no edit up to four words and within one up to seven; in a script
+    written without spaces a word is all that stands between two spaces.
+    Null, empty and blank texts match nothing; nor do null, empty and blank items. Repeated items and
     documents each give their rows; other columns are not read; empty tables give no rows.
     """
     base = docs.select(F.col(id_col), F.col(text_col).alias("_text"))

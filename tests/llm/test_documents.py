@@ -206,3 +206,32 @@ def test_cross_entropy_keeps_every_word_above_the_cutoff(spark):
     assert got[len(texts) - 1]["loss_background"] == pytest.approx(-sum(map(math.log2, short)) / 2, abs=2e-6)
     plain = (-math.log2(lm.BIGRAM * 3 / starts + lm.UNIGRAM * 3 / total + rest) - 999 * math.log2(lm.BIGRAM + lm.UNIGRAM * 3 / total + rest)) / 1000
     assert got[20]["loss_background"] == pytest.approx(plain, abs=2e-6)
+
+
+def test_leaks_of_short_items(spark):
+    rnd = random.Random(7)
+    filler = [f"f{k}" for k in range(40)]
+    items = [(1, "Yes"), (2, "two words"), (4, "what is the capital"), (5, "what is the capital today"), (6, "a b c d e f"), (7, "g g h g g h i"), (10, "\u6771\u4eac\u306f\u3069\u3053"), (11, " ")]
+    known = [(i, words(t)) for i, t in items if words(t)]
+    texts = []
+    for i, w in known:
+        for edit in range(5):
+            for place in range(len(w) + 1):
+                got = {0: w, 1: w[:place] + ["x"] + w[place:], 2: w[:place] + w[place + 1 :], 3: w[:place] + ["x"] + w[place + 1 :], 4: w[:place] + ["x", "y"] + w[place + 2 :]}[edit]
+                texts.append((len(texts), " ".join(rnd.choices(filler, k=rnd.randrange(3)) + got + rnd.choices(filler, k=rnd.randrange(3))).upper()))
+    texts += [(5000, None), (5001, " "), (5002, "two"), (5003, "words two")]
+
+    def distance(item, text):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item):
+            new = [i + 1]
+            for j, y in enumerate(text):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {(d, i, distance(w, words(t))) for d, t in texts for i, w in known if words(t) and distance(w, words(t)) <= int(0.2 * len(w))}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated(rows(spark, texts), table).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(got) == len(want)
+    assert {r["doc_id"] for r in decontam.without_leaks(rows(spark, texts), table).collect()} == {d for d, _ in texts} - {d for d, _, _ in want}
