@@ -29,18 +29,31 @@ SYLLABLES = {
 
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _NAME_WORD = r"\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)?"
+# Words in front of a telephone number, in the languages served.
+_PHONE_WORD = "phone|mobile|cell|call|fax|tel|telefon|téléphone|teléfono|telefono|portable|móvil|mobil|handy|rufnummer|whatsapp"
+_H = "[0-9A-Fa-f]{1,4}"
+_PHONES = [
+    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![ .-]?\d)",
+    r"(?<!\d)\+\d(?:(?:[ ./-]|[ ./-]?\(|\)[ ./-]?)?\d){7,14}(?!\d)",
+    r"(?<![\d+(./-])0\d{1,4}(?<gap>[ .-])(?=(?:[ .-]?\d){5,10}(?!\d))\d{2,4}(?:\k<gap>\d{2,4}){2,4}(?![ .-]?\d)",
+    r"(?<![\d+(./-])(?:[6-9]\d{2}(?: \d{2}){3}|[89]\d \d{3}(?: \d{2}){2})(?![ .-]?\d)",
+    r"(?<![\d+(./-])(?:0\d{1,4}[ /-]|\(0\d{1,4}\)[ /-]?)\d{5,9}(?![\d.-]\d|\d)",
+    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
+    rf"(?=\d{{7}})(?<=(?iu:{_PHONE_WORD})(?iu: number| me| us| no\.?| nr\.?)?(?iu: at| on| is| unter| au| al)?\s?[.:]{{0,2}}\s{{0,2}})\d{{7,15}}(?!\d)",
+]
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
+    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)|"
+    rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[0-9A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|:(?::{_H}){{1,7}})(?![\p{{L}}\p{{N}}:])",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d])\+\d{8,15}(?!\d)",
+    "phone": "|".join(_PHONES),
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "secret": r"(?<![\p{L}\d])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![\p{L}\d])|(?<=(?:key|token|secret|passw(?:or)?d|KEY|TOKEN|SECRET|PASSWORD)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9/+_-]{8,}+",
+    "secret": r"(?<![\p{L}\d])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![\p{L}\d])|(?<=[=:\s\"'])(?<=(?i:key|token|secret|passw(?:or)?d)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9/+_-]{8,}+",
     "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())
-_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:key|token|secret|passw|KEY|TOKEN|SECRET|PASSW)"
+_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?i:key|token|secret|passw)"
 PLAIN_TRIES = 8
 
 
@@ -51,11 +64,12 @@ def mentions(text: Column) -> Column:
 
 def _kind(m: Column) -> Column:
     whole = {k: m.rlike(f"^(?:{PATTERNS[k]})$") for k in ("email", "ip", "card", "ssn", "phone", "iban", "name")}
+    whole["phone"] = whole["phone"] | m.rlike(r"^\d{7,15}$")
     return reduce(lambda rest, k: F.when(whole[k], k).otherwise(rest), ["name", "iban", "phone", "ssn", "card", "ip", "email"], F.lit("secret"))
 
 
 def _canonical(kind: Column, m: Column) -> Column:
-    return F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone", "iban"), F.regexp_replace(m, r"[^\p{L}\p{N}]", "")).otherwise(m)
+    return F.when((kind == "email") | ((kind == "ip") & F.contains(m, F.lit(":"))), F.lower(m)).when(kind.isin("card", "ssn", "phone", "iban"), F.regexp_replace(m, r"[^\p{L}\p{N}]", "")).otherwise(m)
 
 
 def _draw(digest: Column, at: Column, n: int | Column) -> Column:
@@ -71,8 +85,8 @@ def _char(ch: Column, i: Column, digest: Column, hexes: Column) -> Column:
 
 
 def _alike(text: Column, digest: Column) -> Column:
-    """Letters for letters and digits for digits; hexadecimal strings stay hexadecimal."""
-    hexes = text.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
+    """Letters for letters and digits for digits; hexadecimal strings and addresses stay hexadecimal."""
+    hexes = text.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+|[0-9a-f]*:[0-9a-f:]+)$")
     longer = F.concat(digest, F.sha2(digest, 256))
     return F.array_join(F.transform(F.split(text, ""), lambda ch, i: _char(ch, i, F.when(i < 31, digest).otherwise(F.sha2(F.concat(longer, F.floor(i / 31).cast("string")), 256)), hexes)), "")
 
@@ -99,7 +113,7 @@ def _candidate(kind: Column, canon: Column, digest: Column, key: str) -> Column:
     iban = F.concat(F.substring(canon, 1, 2), _alike(F.substr(canon, F.lit(3)), digest))
     secret = F.when(canon.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), _alike(F.substr(canon, F.lit(5)), digest))).otherwise(plain)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret)
+    return (F.when(kind == "email", email).when((kind == "ip") & F.contains(canon, F.lit(".")), ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret)
             .when(kind.isin("male", "female", "person", "family"), _name(script, kind, digest)).otherwise(plain))
 
 

@@ -235,3 +235,18 @@ def test_leaks_of_short_items(spark):
     got = decontam.contaminated(rows(spark, texts), table).collect()
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(got) == len(want)
     assert {r["doc_id"] for r in decontam.without_leaks(rows(spark, texts), table).collect()} == {d for d, _ in texts} - {d for d, _, _ in want}
+
+
+def test_surrogates_of_european_numbers_labels_and_addresses(spark):
+    phones = ["+33 1 23 45 67 89", "06 12 34 56 78", "06.12.34.56.78", "+49 30 12345678", "+49 170 1234567", "030 12345678", "030/12345678", "(030) 12345678", "0170 123 45 67", "+34 612 34 56 78", "612 34 56 78", "91 123 45 67", "+49 30 1234 567 89", "+1 (168) 555-5254"]
+    spoken = ["Phone: 5551234567", "Tel. 0612345678", "call me at 5551234568", "Téléphone : 0612345679", "TELEFON 03012345679"]
+    labels = ["Password: Abcdef1234", "Token = qrstuvwx99", "Secret=zyxwvut987", "aPI_kEY: lmnopqr765"]
+    addresses = ["2001:db8::8a2e:370:7334", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "fe80::1"]
+    same = ["on 06-12-2024 or 06.12.2024", "at 01.02.2024 10:30", "12:30:45", "a::b", "chapter 12 of 345", "id 5551234567 here"]
+    forms = [(f, f) for f in phones + addresses] + [(f, re.search(r"[A-Za-z0-9]+$", f)[0]) for f in spoken + labels]
+    got = {r["doc_id"]: r for r in pii.replaced(rows(spark, [(i, f"see {f}, then") for i, (f, _) in enumerate(forms)] + [(100 + i, t) for i, t in enumerate(same)]), "key").collect()}
+    for i, (form, secret) in enumerate(forms):
+        before, after = f"see {form}, then", got[i]["text"]
+        assert got[i]["_entities"] == 1 and secret not in after and len(after) == len(before), (form, after)
+        assert re.sub(r"[0-9A-Za-z]", "", after) == re.sub(r"[0-9A-Za-z]", "", before), (form, after)
+    assert [got[100 + i]["text"] for i in range(len(same))] == same
