@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stavework.catalog.common import Registry
-from stavework.llm import decontam, jaccard, langid, lm, mixing, pii, quality, topk, urls, warc
-from stavework.llm.sql import JACCARD, MIXING, TOPK, URLS, WARC
+from stavework.llm import decontam, jaccard, langid, lm, merkle, mixing, pii, quality, topk, urls, warc
+from stavework.llm.sql import JACCARD, MERKLE, MIXING, TOPK, URLS, WARC
 from stavework.session import new_folder
 
 query = Registry()
@@ -71,3 +71,8 @@ def op9(spark, sf):
 @query("op10_ngram_jaccard_join", JACCARD)
 def op10(spark, sf):
     return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
+@query("op13_merkle_manifest", MERKLE)
+def op13(spark, sf):
+    return merkle.merkle_manifest(table(spark, sf, "documents"))

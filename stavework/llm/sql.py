@@ -61,3 +61,43 @@ mix AS (SELECT doc_id, size, CAST(st AS BIGINT) AS source_size, round(target, 6)
 
 
 MIXING = f"WITH RECURSIVE {mixing_rows()} SELECT * FROM mix"
+
+
+def merkle_rows(levels: int = 6, tops: int = 4) -> str:
+    """The Merkle manifest for at most 16 ** levels rows a source and 16 ** tops sources."""
+    digits = "list_reduce([x] || [0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    crc = f"xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: {digits.replace('[x]', '[xor(c, b)]')}))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    def tree(name: str, first: str, depth: int) -> list[str]:
+        out = [f"{name}0 AS (SELECT s, n, r, h FROM {first})"]
+        for k in range(depth):
+            out.append(f"{name}s{k} AS (SELECT s, r, coalesce(string_agg(h, '') OVER (PARTITION BY s, r // 16 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') OVER (PARTITION BY s, r // 16 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {name}{k})")
+            out.append(f"{name}{k + 1} AS (SELECT s, n, r // 16 AS r, CASE WHEN n > {16**k} THEN sha256(string_agg(h, '' ORDER BY r)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY s, n, r // 16)")
+        return out
+
+    def walk(name: str, first: str, siblings: str, depth: int, key: str, place: str, size: str) -> list[str]:
+        out, before = [], first
+        for k in range(depth):
+            out.append(f"{name}{k} AS (SELECT x.* EXCLUDE (f, proof), CASE WHEN {size} > {16**k} THEN sha256(lft || f || rgt) ELSE f END AS f, CASE WHEN {size} > {16**k} THEN proof || lft || rgt ELSE proof END AS proof FROM {before} x JOIN {siblings}s{k} y ON x.{key} IS NOT DISTINCT FROM y.s AND x.{place} // {16**k} = y.r)")
+            before = f"{name}{k}"
+        return out
+
+    parts = [
+        f"l AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS found FROM documents)",
+        "d AS (SELECT *, source AS s, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM l)",
+        *tree("t", "d", levels),
+        f"u AS (SELECT 0 AS s, t.s AS source, h, row_number() OVER (ORDER BY encode(t.s) NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t{levels} t)",
+        *tree("v", "u", tops),
+        f"a AS (SELECT d.doc_id, d.leaf, d.source, d.r, d.n, u.s AS all_s, u.r AS sr, u.n AS sn, u.h AS subroot, coalesce(d.found, d.leaf) AS f, '' AS proof FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)",
+        *walk("w", "a", "t", levels, "source", "r", "x.n"),
+        *walk("z", f"w{levels - 1}", "v", tops, "all_s", "sr", "x.sn"),
+    ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, v.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = v.h AS verified FROM z{tops - 1}, v{tops} v"
+
+
+MERKLE = merkle_rows()
