@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stavework.catalog.common import Registry
-from stavework.llm import decontam, jaccard, langid, lm, merkle, mixing, pii, quality, simhash, topk, urls, warc
-from stavework.llm.sql import JACCARD, MERKLE, MIXING, TOPK, URLS, WARC
+from stavework.llm import decontam, jaccard, langid, lm, merkle, mixing, phrases, pii, quality, simhash, topk, urls, warc
+from stavework.llm.sql import JACCARD, MERKLE, MIXING, PHRASES, TOPK, URLS, WARC
 from stavework.session import new_folder
 
 query = Registry()
@@ -73,6 +73,11 @@ def op10(spark, sf):
     return jaccard.jaccard_components(table(spark, sf, "documents"))
 
 
+@query("op11_phrase_collocations", PHRASES)
+def op11(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 @query("op12_simhash_anchors")
 def op12(spark, sf):
     return simhash.simhash_components(table(spark, sf, "documents"))

@@ -101,3 +101,16 @@ def merkle_rows(levels: int = 6, tops: int = 4) -> str:
 
 
 MERKLE = merkle_rows()
+
+PHRASES = r"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+ unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:(i + k - 1)], ' '))) AS phrase FROM p, unnest(range(1, 6)) u(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n, CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+ FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[(cut + 1):], ' ') JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s) WHERE o = 1),
+i AS (SELECT DISTINCT lang, a, unnest(flatten(list_transform(range(2, k), lambda z: list_transform(range(1, k - z + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:(i + z - 1)], ' '))))) AS phrase FROM f WHERE k > 2)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m
+ WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = m.lang AND i.phrase = m.phrase AND 100 * i.a >= 100 * m.a)) WHERE rank <= 2000"""
