@@ -4,11 +4,11 @@ Every word occurrence is one row of lead-window columns: the word and the words
 all, padded at the piece's end. Only these longest windows are counted; Spark's ROLLUP over (lang, w1 .. w5) then sums
 successively shorter prefixes, which gives the count of all words of a language, of each word and of each phrase at once.
 
-A window is also padded from the first word or pair of neighbours on that can't be in a frequent phrase; a window
-without a word still counts for its language. Words and pairs are counted by hash slot before: a slot's count is at least
-that of each of its pairs, so what is cut off occurs fewer than `least` times and no prefix that matters changes. The
-slots take at most SLOTS bits however large the corpus; when it outgrows them fewer windows are cut, which costs time
-but changes no row.
+A window is also padded from the word on that makes its prefix too rare to be listed; a window without a word still
+counts for its language. For that, two passes count by hash slot: words and pairs, then longer n-grams whose pairs may be
+frequent. A slot's count is at least that of each of its n-grams, so what is cut off occurs fewer than `least` times
+and no prefix that matters changes. The slots take at most SLOTS bits however large the corpus; when it outgrows them
+fewer windows are cut, which costs time but changes no row.
 """
 
 from __future__ import annotations
@@ -93,35 +93,72 @@ def _sequences(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], int]]:
             carry = words[n:]
 
 
-def _slots(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of each pair of word hashes; a word alone is a pair with zero."""
-    own = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    return (W.mix((first ^ own) * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - bits)).astype(np.int64)
+class _Grams:
+    """The n-grams that start at each place of a run of words, one word longer at a time, with a hash code each."""
 
+    def __init__(self, met: _Words, lang: str, words: list[bytes], n: int) -> None:
+        ids = met.numbered(words)
+        self.ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
+        self.hashes = met.hashed()[self.ids]
+        self.at, self.length = np.flatnonzero(ids[:n] > 0), 1
+        self.codes = W.mix(self.hashes[self.at] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())))
 
-def frequent_slots(rows: DataFrame, bits: int, least: int) -> bytes:
-    """A bit per slot: whether the words and pairs of that slot occur `least` times or more, over the whole corpus.
+    def slots(self, bits: int) -> np.ndarray:
+        return (self.codes >> np.uint64(64 - bits)).astype(np.int64)
 
-    Tasks count into one array and send it in compressed ranges; each range is summed as it streams by.
+    def keep(self, which: np.ndarray) -> None:
+        self.at, self.codes = self.at[which], self.codes[which]
+
+    def longer(self) -> np.ndarray:
+        """Goes on with the next word where there is one; the places of that word."""
+        self.keep(self.ids[self.at + self.length] > 0)
+        after = self.at + self.length
+        self.codes = W.mix(self.codes * np.uint64(0x9E3779B97F4A7C15) + self.hashes[after])
+        self.length += 1
+        return after
+
+
+def _marks(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+
+
+def _short(grams: _Grams, marked: np.ndarray, bits: int) -> np.ndarray:
+    """Leaves the pairs of marked words in `grams` that are marked; whether the pair at each place is."""
+    grams.keep(marked[grams.slots(bits)])
+    grams.longer()
+    grams.keep(marked[grams.slots(bits)])
+    fine = np.zeros(len(grams.ids), bool)
+    fine[grams.at] = True
+    return fine
+
+
+def frequent_slots(rows: DataFrame, bits: int, least: int, shorter: bytes | None = None) -> bytes:
+    """A bit per slot: whether its n-grams occur `least` times or more together, over the whole corpus.
+
+    Counts words and pairs, or with the bits of those (`shorter`) the n-grams of three words and more whose pairs all have
+    their bit. Tasks count into one array and send it in compressed ranges; each range is summed as it streams by.
     """
     ranges = min(RANGES, (1 << bits) // 8)
     width = (1 << bits) // ranges
 
     def run(batches):
         met, total = _Words(), np.zeros(1 << bits, np.uint32)
+        marked = _marks(shorter) if shorter else None
         for batch in batches:
             for lang, words, n in _sequences(batch):
                 if len(met.ids) > _VOCABULARY:
                     met = _Words()
-                ids = met.numbered(words)
-                own = met.hashed()
-                pairs = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                pairs = pairs[pairs < n]
-                np.add.at(total, _slots(lang, own[ids[pairs]], own[ids[pairs + 1]], bits), 1)
-                single = np.bincount(ids[:n], minlength=1)
-                single[0] = 0
-                at = np.flatnonzero(single)
-                np.add.at(total, _slots(lang, own[at], np.uint64(0), bits), single[at].astype(np.uint32))
+                grams = _Grams(met, lang, words, n)
+                if marked is None:
+                    np.add.at(total, grams.slots(bits), 1)
+                    grams.longer()
+                    np.add.at(total, grams.slots(bits), 1)
+                    continue
+                fine = _short(grams, marked, bits)
+                while grams.length < LONGEST:
+                    grams.keep(fine[grams.at + grams.length - 1])
+                    grams.longer()
+                    np.add.at(total, grams.slots(bits), 1)
         codec = pa.Codec("zstd", 1)
         for k in range(ranges):
             part = total[k * width : (k + 1) * width]
@@ -138,16 +175,16 @@ def frequent_slots(rows: DataFrame, bits: int, least: int) -> bytes:
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], names=["part", "bits"])
 
     sent = rows.mapInArrow(run, "part int, counts binary").repartition("part")
-    out = bytearray(max(1, (1 << bits) // 8))
+    out = bytearray((1 << bits) // 8)
     for row in sent.mapInArrow(merge, "part int, bits binary").collect():
         out[row["part"] * width // 8 : row["part"] * width // 8 + len(row["bits"])] = row["bits"]
     return bytes(out)
 
 
-def windows(rows: DataFrame, frequent: bytes, bits: int) -> DataFrame:
+def windows(rows: DataFrame, shorter: bytes, longer: bytes, bits: int) -> DataFrame:
     """(lang, w1 .. w5, c): the windows with their counts; an empty word is padding."""
     def run(batches):
-        marked = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
+        short, long = _marks(shorter), _marks(longer)
         met, heads, tails, held = _Words(), defaultdict(list), defaultdict(list), 0
 
         def flush():
@@ -168,22 +205,22 @@ def windows(rows: DataFrame, frequent: bytes, bits: int) -> DataFrame:
 
         for batch in batches:
             for lang, words, n in _sequences(batch):
-                ids = met.numbered(words)
-                at = np.flatnonzero(ids[:n] > 0)
-                if not len(at):
+                grams = _Grams(met, lang, words, n)
+                starts = grams.at
+                if not len(starts):
                     continue
-                own = met.hashed()[ids]
-                fine = np.zeros(len(ids) + LONGEST, bool)
-                fine[: len(ids) - 1] = (ids[:-1] > 0) & (ids[1:] > 0) & marked[_slots(lang, own[:-1], own[1:], bits)]
-                ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-                going = marked[_slots(lang, own[at], np.uint64(0), bits)]
-                column = [np.where(going, ids[at], 0)]
-                for k in range(1, LONGEST):
-                    going = going & fine[at + k - 1]
-                    column.append(np.where(going, ids[at + k], 0))
+                column = np.zeros((LONGEST, len(grams.ids)), np.int64)
+                column[0, grams.at] = np.where(short[grams.slots(bits)], grams.ids[grams.at], 0)
+                _short(grams, short, bits)
+                column[1, grams.at] = grams.ids[grams.at + 1]
+                while grams.length < LONGEST:
+                    grams.longer()
+                    grams.keep(long[grams.slots(bits)])
+                    column[grams.length - 1, grams.at] = grams.ids[grams.at + grams.length - 1]
+                column = column[:, starts]
                 heads[lang].append(column[0] << _ID_BITS | column[1])
                 tails[lang].append(column[2] << 2 * _ID_BITS | column[3] << _ID_BITS | column[4])
-                held += len(at)
+                held += len(starts)
                 if held > _WINDOWS or len(met.ids) > _VOCABULARY:
                     yield from flush()
                     met, heads, tails, held = _Words(), defaultdict(list), defaultdict(list), 0
@@ -199,7 +236,8 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int) ->
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (min(max(size // BYTES_A_SLOT, LEAST_SLOTS), SLOTS) - 1).bit_length()
     names = [f"w{k + 1}" for k in range(LONGEST)]
-    counted = windows(rows, frequent_slots(rows, bits, least), bits).rollup("lang", *names).agg(F.sum("c").alias("a"))
+    shorter = frequent_slots(rows, bits, least)
+    counted = windows(rows, shorter, frequent_slots(rows, bits, least, shorter), bits).rollup("lang", *names).agg(F.sum("c").alias("a"))
     held = F.filter(F.array(*names), lambda w: w.isNotNull())  # a rolled-up column is null
     counted = counted.where("lang is not null").select("lang", held.alias("words"), "a")
     return counted.where((F.size("words") == 0) | (F.col("a") >= least) & (F.get("words", F.size("words") - 1) != ""))
