@@ -28,24 +28,25 @@ from stavework.llm import words as W
 from stavework.session import share
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-SLOTS, LEAST_SLOTS, RANGES, BYTES_A_SLOT = 1 << 24, 1 << 16, 1 << 10, 32
+SLOTS, LEAST_SLOTS, RANGES, BYTES_A_SLOT = 1 << 25, 1 << 16, 1 << 10, 32
 PARTS = 64
 _ID_BITS = 21
-_VOCABULARY, _WINDOWS = 1 << 19, 1 << 21
+RUN = 1 << 20
+_VOCABULARY, _WINDOWS = 1 << 18, 1 << 21
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_BREAKS + b"\t", b"." * len(_BREAKS) + b" ")
 _GAP = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
-    """The texts in runs of a few megabytes with a break between texts; a run that ends inside a long text says so."""
+    """The texts in runs of about a megabyte with a break between texts; a run that ends inside a long text says so."""
     held, size = [], 0
     for text in texts:
-        if size + len(text) > W.PIECE and held:
+        if size + len(text) > RUN and held:
             yield b".".join(held), False
             held, size = [], 0
         at = 0
-        while len(text) - at > W.PIECE and (cut := _GAP.search(text, at + W.PIECE)):
+        while len(text) - at > RUN and (cut := _GAP.search(text, at + RUN)):
             yield text[at : cut.start()], True
             at = cut.start()
         held.append(text[at:] if at else text)
@@ -181,28 +182,70 @@ def frequent_slots(rows: DataFrame, bits: int, least: int, shorter: bytes | None
     return bytes(out)
 
 
+def _packed(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return ids[0] << _ID_BITS | ids[1], ids[2] << 2 * _ID_BITS | ids[3] << _ID_BITS | ids[4]
+
+
+def _unpacked(head: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
+    mask = (1 << _ID_BITS) - 1
+    return [head >> _ID_BITS, head & mask, tail >> 2 * _ID_BITS, tail >> _ID_BITS & mask, tail & mask]
+
+
+def _tallied(head: np.ndarray, tail: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal windows once, their counts added."""
+    order = np.lexsort((tail, head))
+    head, tail = head[order], tail[order]
+    starts = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
+    return head[starts], tail[starts], np.add.reduceat(counts[order], starts)
+
+
+class _Windows:
+    """A task's windows: new ones by the numbers of the words met, tallied ones by those of the words that windows hold."""
+
+    def __init__(self) -> None:
+        self.names = defaultdict(count().__next__)
+        self.names[b""]
+        self.tallies: dict[str, tuple] = {}
+        self.new: dict[str, list] = defaultdict(list)
+        self.waiting = 0
+
+    def add(self, lang: str, ids: list[np.ndarray]) -> None:
+        self.new[lang].append(_packed(ids))
+        self.waiting += len(ids[0])
+
+    def tally(self, words: list[bytes]) -> None:
+        ones = lambda x: np.ones(len(x), np.int64)
+        for lang, parts in self.new.items():
+            head, tail = (np.concatenate(x) for x in zip(*parts))
+            head, tail, counts = _tallied(head, tail, ones(head))
+            ids = _unpacked(head, tail)
+            lookup = np.zeros(len(words), np.int64)
+            for i in np.unique(np.concatenate(ids)).tolist():
+                lookup[i] = self.names[words[i] if i else b""]
+            head, tail = _packed([lookup[x] for x in ids])
+            before = self.tallies.get(lang)
+            if before:
+                head, tail, counts = (np.concatenate(x) for x in zip(before, (head, tail, counts)))
+            self.tallies[lang] = _tallied(head, tail, counts)
+        self.new, self.waiting = defaultdict(list), 0
+
+    def full(self) -> bool:
+        return len(self.names) > _VOCABULARY or sum(len(t[0]) for t in self.tallies.values()) > _WINDOWS // 2
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        text = pa.array(list(self.names), pa.binary()).cast(pa.string())
+        for lang, (head, tail, counts) in self.tallies.items():
+            for a in range(0, len(head), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                columns = [text.take(pa.array(x)) for x in _unpacked(head[part], tail[part])]
+                yield pa.record_batch([pa.array([lang] * len(columns[0])), *columns, pa.array(counts[part])], names=["lang", "w1", "w2", "w3", "w4", "w5", "c"])
+
+
 def windows(rows: DataFrame, shorter: bytes, longer: bytes, bits: int) -> DataFrame:
     """(lang, w1 .. w5, c): the windows with their counts; an empty word is padding."""
     def run(batches):
         short, long = _marks(shorter), _marks(longer)
-        met, heads, tails, held = _Words(), defaultdict(list), defaultdict(list), 0
-
-        def flush():
-            text = pa.array([b"", *list(met.ids)[1:]], pa.binary()).cast(pa.string())
-            mask = (1 << _ID_BITS) - 1
-            for lang in heads:
-                head, tail = np.concatenate(heads[lang]), np.concatenate(tails[lang])
-                order = np.lexsort((tail, head))
-                head, tail = head[order], tail[order]
-                starts = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
-                counts = np.diff(np.append(starts, len(head)))
-                head, tail = head[starts], tail[starts]
-                ids = [head >> _ID_BITS, head & mask, tail >> 2 * _ID_BITS, tail >> _ID_BITS & mask, tail & mask]
-                for a in range(0, len(starts), 1 << 16):
-                    b = min(a + (1 << 16), len(starts))
-                    columns = [text.take(pa.array(x[a:b])) for x in ids]
-                    yield pa.record_batch([pa.array([lang] * (b - a)), *columns, pa.array(counts[a:b])], names=["lang", "w1", "w2", "w3", "w4", "w5", "c"])
-
+        met, found = _Words(), _Windows()
         for batch in batches:
             for lang, words, n in _sequences(batch):
                 grams = _Grams(met, lang, words, n)
@@ -210,21 +253,22 @@ def windows(rows: DataFrame, shorter: bytes, longer: bytes, bits: int) -> DataFr
                 if not len(starts):
                     continue
                 column = np.zeros((LONGEST, len(grams.ids)), np.int64)
-                column[0, grams.at] = np.where(short[grams.slots(bits)], grams.ids[grams.at], 0)
+                column[0, starts] = np.where(short[grams.slots(bits)], grams.ids[starts], 0)
                 _short(grams, short, bits)
                 column[1, grams.at] = grams.ids[grams.at + 1]
                 while grams.length < LONGEST:
                     grams.longer()
                     grams.keep(long[grams.slots(bits)])
                     column[grams.length - 1, grams.at] = grams.ids[grams.at + grams.length - 1]
-                column = column[:, starts]
-                heads[lang].append(column[0] << _ID_BITS | column[1])
-                tails[lang].append(column[2] << 2 * _ID_BITS | column[3] << _ID_BITS | column[4])
-                held += len(starts)
-                if held > _WINDOWS or len(met.ids) > _VOCABULARY:
-                    yield from flush()
-                    met, heads, tails, held = _Words(), defaultdict(list), defaultdict(list), 0
-        yield from flush()
+                found.add(lang, list(column[:, starts]))
+                if found.waiting > _WINDOWS or len(met.ids) > _VOCABULARY:
+                    found.tally(list(met.ids))
+                    met = _Words()
+                    if found.full():
+                        yield from found.rows()
+                        found = _Windows()
+        found.tally(list(met.ids))
+        yield from found.rows()
 
     counted = rows.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, w5 string, c long")
     return counted.groupBy("lang", "w1", "w2", "w3", "w4", "w5").agg(F.sum("c").alias("c"))

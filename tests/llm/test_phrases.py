@@ -61,7 +61,7 @@ def test_collocations_in_few_slots_and_small_pieces(spark, monkeypatch):
     assert sorted(map(tuple, got)) == plain(texts, 20, 2000)
     texts, whole = texts[-1:], [w for run in phrases._sequences(batch(texts[-1:])) for w in run[1][: run[2]]]
     for piece in (50, 7):
-        monkeypatch.setattr(phrases.W, "PIECE", piece)
+        monkeypatch.setattr(phrases, "RUN", piece)
         assert [w for run in phrases._sequences(batch(texts)) for w in run[1][: run[2]]] == whole
         runs = list(phrases._sequences(batch(texts)))
         assert len(runs) > 20 and all(len(w) - n in (0, phrases.LONGEST - 1) or n == 0 for _, w, n in runs)
@@ -78,3 +78,22 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: spark.createDataFrame(table, "lang string, words array<string>, a long"))
     got = phrases.collocations(rows(spark, [])).collect()
     assert [tuple(r) for r in got] == [("en", 1, "a b", big - 2, big, big - 1, 10 * big, 1000 * (big - 2) * 10 * big // (big * (big - 1)))]
+
+
+def test_windows_are_tallied_over_vocabularies(monkeypatch):
+    import numpy as np
+    from collections import Counter
+    monkeypatch.setattr(phrases, "_VOCABULARY", 3)
+    rnd, held, want, rows = random.Random(5), phrases._Windows(), Counter(), Counter()
+    for turn in range(30):
+        words = [b".", *{f"w{rnd.randrange(6)}".encode() for _ in range(4)}]
+        ids = np.array([[rnd.randrange(len(words)) for _ in range(8)] for _ in range(5)])
+        want.update(("en", *(words[i].decode() if i else "" for i in w)) for w in ids.T)
+        held.add("en", list(ids))
+        held.tally(words)
+        if held.full() or turn == 29:
+            for b in held.rows():
+                for *key, c in zip(*b.to_pydict().values()):
+                    rows[tuple(key)] += c
+            held = phrases._Windows()
+    assert rows == want
