@@ -64,14 +64,26 @@ def rest_regions(spark, sf):
     return T.regions(scored(spark, sf), "truth")
 
 
-@query("region_match")
+@query("region_match", f"""WITH RECURSIVE {REST}, t AS (SELECT track_id, min(bar) AS a, max(bar) AS b FROM (SELECT track_id, bar, bar - row_number() OVER (PARTITION BY track_id ORDER BY bar) AS g FROM sc WHERE truth) GROUP BY track_id, g),
+p AS (SELECT track_id, min(bar) AS a, max(bar) AS b FROM (SELECT track_id, bar, bar - row_number() OVER (PARTITION BY track_id ORDER BY bar) AS g FROM sc WHERE pred) GROUP BY track_id, g),
+ti AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS i FROM t), pj AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY a) AS j FROM p),
+c AS (SELECT ti.track_id, i, list(j ORDER BY j) FILTER (j IS NOT NULL) AS js FROM ti LEFT JOIN pj ON pj.track_id = ti.track_id AND abs(pj.a - ti.a) <= 1 AND abs(pj.b - ti.b) <= 1 GROUP BY 1, 2),
+w AS (SELECT track_id, 0::BIGINT AS i, []::BIGINT[] AS used FROM c GROUP BY 1 UNION ALL
+ SELECT c.track_id, c.i, CASE WHEN list_filter(coalesce(c.js, []), lambda x: NOT list_contains(w.used, x))[1] IS NULL THEN w.used ELSE list_append(w.used, list_filter(c.js, lambda x: NOT list_contains(w.used, x))[1]) END FROM w JOIN c ON c.track_id = w.track_id AND c.i = w.i + 1),
+m AS (SELECT track_id, max(len(used)) AS m FROM w GROUP BY 1), nt AS (SELECT track_id, count(*) AS n FROM t GROUP BY 1), np AS (SELECT track_id, count(*) AS n FROM p GROUP BY 1)
+SELECT track_id, coalesce(nt.n, 0) AS n_ref, coalesce(np.n, 0) AS n_est, CAST(coalesce(m, 0) AS BIGINT) AS matched, round(2 * coalesce(m, 0) / CAST(coalesce(nt.n, 0) + coalesce(np.n, 0) AS DOUBLE), 6) AS event_f
+ FROM nt FULL JOIN np USING (track_id) LEFT JOIN m USING (track_id)""")
 def region_match(spark, sf):
     s = scored(spark, sf)
     return T.region_match(T.regions(s, "truth"), T.regions(s, "pred")).select("track_id", "n_ref", "n_est", "matched", r6("event_f"))
 
 
-@query("event_f_measure", f"""WITH {S.EV}, r AS (SELECT track_id, event_id, t FROM ev WHERE event_type IN ('view', 'click', 'error')), e AS (SELECT track_id, event_id, t + (k % 5) * 0.02 AS t FROM ev WHERE event_type IN ('view', 'click', 'purchase')),
-m AS (SELECT r.track_id, count(DISTINCT r.event_id) AS m FROM r JOIN e ON r.track_id = e.track_id AND abs(r.t - e.t) <= 0.07 GROUP BY 1), a AS (SELECT track_id, count(*) AS n FROM r GROUP BY 1), b AS (SELECT track_id, count(*) AS n FROM e GROUP BY 1)
+@query("event_f_measure", f"""WITH RECURSIVE {S.EV}, r AS (SELECT track_id, event_id, t FROM ev WHERE event_type IN ('view', 'click', 'error')), e AS (SELECT track_id, event_id, t + (k % 5) * 0.02 AS t FROM ev WHERE event_type IN ('view', 'click', 'purchase')),
+ri AS (SELECT track_id, CAST(round(t * 1000000) AS BIGINT) AS x, row_number() OVER (PARTITION BY track_id ORDER BY t) AS i FROM r), ej AS (SELECT track_id, CAST(round(t * 1000000) AS BIGINT) AS x, row_number() OVER (PARTITION BY track_id ORDER BY t) AS j FROM e),
+w AS (SELECT DISTINCT track_id, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS m FROM ri UNION ALL
+ SELECT w.track_id, w.i + CASE WHEN ri.x <= ej.x + 70000 THEN 1 ELSE 0 END, w.j + CASE WHEN ej.x <= ri.x + 70000 THEN 1 ELSE 0 END, w.m + CASE WHEN abs(ri.x - ej.x) <= 70000 THEN 1 ELSE 0 END
+ FROM w JOIN ri ON ri.track_id = w.track_id AND ri.i = w.i JOIN ej ON ej.track_id = w.track_id AND ej.j = w.j),
+m AS (SELECT track_id, max(m) AS m FROM w GROUP BY 1), a AS (SELECT track_id, count(*) AS n FROM r GROUP BY 1), b AS (SELECT track_id, count(*) AS n FROM e GROUP BY 1)
 SELECT a.track_id, round(2 * coalesce(m, 0) / CAST(a.n + coalesce(b.n, 0) AS DOUBLE), 6) AS f FROM a LEFT JOIN b USING (track_id) LEFT JOIN m USING (track_id)""")
 def event_f_measure(spark, sf):
     ev = B.events(spark, sf)

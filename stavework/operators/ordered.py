@@ -1,10 +1,10 @@
 """Windows over a track's sequence that survive one track holding a third of all rows.
 
 A plain `partitionBy(track_id)` window sends a whole track to one task. Here every window
-runs inside a *chunk* of the track (the order column divided by a fixed width) and only a
-one-row-per-chunk summary is windowed over the whole track, then joined back on
-(track, chunk). The rows are shuffled once, by (track, chunk), and no task ever holds more
-than one chunk of rows or one track's chunk summaries.
+runs inside a *chunk* of the track and only a one-row-per-chunk summary is windowed over the
+whole track, then joined back on (track, chunk). No task ever holds more than one chunk of
+rows or one track's chunk summaries. A chunk is the order column divided by a fixed width, or
+for rows that went through `ranged` a range of (track, order) with as many rows as any other.
 """
 
 from __future__ import annotations
@@ -15,12 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stavework.session import share
+
 CHUNK = "_chunk"
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df`, written once, in chunks of about equal row counts that the windows here use in place of a width.
+
+    Rows are dealt by ranges of (keys, order), so a long track lies in as many chunks as its share of the rows asks
+    for and short ones share a range. `order` must tell a track's rows apart if the order of ties matters.
+    """
+    by = [*keys, *order]
+    cut = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return share(cut.withColumn(CHUNK, F.spark_partition_id().cast("long")))
+
+
 def chunked(df: DataFrame, order: str, width: float) -> DataFrame:
-    """`df` with the chunk number of each row: the first order column over a fixed width."""
-    return df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(width)).cast("long"))
+    """`df` with the chunk number of each row: the first order column over a fixed width, if it has none yet."""
+    return df if CHUNK in df.columns else df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(width)).cast("long"))
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):
@@ -47,7 +60,7 @@ def with_position(
     return (
         _join_back(rows.withColumn("_rn", F.row_number().over(inside)), summary, keys)
         .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
-        .drop("_rn", "_before", CHUNK)
+        .select(*[c for c in df.columns if c != name], name)
     )
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stavework.functions.harte import pitch_class
 from stavework.functions import keys as K
 from stavework.functions.rhythm import agreement, mask_where, swap_distance
-from stavework.operators.intervals import overlap, point_in_span, within
-from stavework.operators.ordered import with_neighbour, with_running_sum, with_runs
+from stavework.operators.intervals import overlap, point_in_span
+from stavework.operators.ordered import ranged, with_neighbour, with_position, with_running_sum, with_runs
 
 KEYS = ["track_id"]
 # The labels the truth files may hold.
@@ -20,6 +19,7 @@ VERDICTS = ["YES", "MOSTLY", "NO"]
 RIFF_LABELS = ["riff", "strum", "mixed", "dyad", "bleed"]
 REST_LABELS = ["rest", "play", "tail", "contested"]
 COLLAR = 1
+CHUNK_ROWS = 4096
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,48 +41,78 @@ def regions(bars: DataFrame, flag: str) -> DataFrame:
     return runs.groupBy("track_id", "run").agg(F.min("bar").alias("first"), F.max("bar").alias("last")).drop("run")
 
 
-def greedy_matches(pairs: DataFrame, reach: float) -> DataFrame:
-    """One-to-one matches, references in order, each taking its first free estimate.
+def unmatched(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, missing): how many references of each group stay without an estimate in a largest one-to-one matching.
 
-    `pairs` (track_id, ref, est): candidate positions. References farther apart than `reach` cannot
-    compete, so a track falls into short chains that are matched on their own.
+    Each reference may take any of a run of estimates, and runs move forward with the references. By Hall's theorem the
+    references left over are the most that any disjoint stretches of references have beyond the estimates in their reach.
+    `points` (keys, pos from 0, opens, value) holds two rows a reference: where its run opens, with the estimates before
+    it less the references before it, and where it closes, with the references up to it less the estimates up to there.
+    Walking along, `best` is the most so far outside a stretch and `held` the most inside one. A step is linear in
+    (max, +), so 4,096 rows fold to four numbers, and one row of a group's chunks to the answer.
     """
-    near = with_neighbour(pairs, KEYS, ["ref", "est"], 4096, {"before": "ref"})
-    chained = with_running_sum(near, KEYS, ["ref", "est"], 4096, {"chain": F.when(F.col("ref") - F.col("before") <= reach, 0).otherwise(1)})
-    chains = chained.groupBy("track_id", "chain").agg(F.array_sort(F.collect_list(F.struct("ref", "est"))).alias("p"))
+    low = F.lit(-(1 << 60)).cast("long")
+    zero = F.lit(0).cast("long")
 
-    def match(batches):
-        for pdf in batches:
-            counts = []
-            for pairs_ in pdf["p"]:
-                refs, ests = set(), set()
-                for x in pairs_:
-                    if x["ref"] not in refs and x["est"] not in ests:
-                        refs.add(x["ref"])
-                        ests.add(x["est"])
-                counts.append(len(refs))
-            yield pd.DataFrame({"track_id": pdf["track_id"], "matched": counts})
+    def walk(state: Column, p: Column) -> Column:
+        def moved(best: str, held: str) -> list[Column]:
+            return [F.when(p["opens"], state[best]).otherwise(F.greatest(state[best], state[held] + p["value"])).alias(best),
+                    F.when(p["opens"], F.greatest(state[held], state[best] + p["value"])).otherwise(state[held]).alias(held)]
+        return F.struct(*moved("ss", "sh"), *moved("hs", "hh"))
 
-    return chains.mapInPandas(match, "track_id bigint, matched bigint").groupBy("track_id").agg(F.sum("matched").alias("matched"))
+    start = F.struct(zero.alias("ss"), low.alias("sh"), low.alias("hs"), zero.alias("hh"))
+    rows = points.groupBy(*keys, F.floor(F.col("pos") / CHUNK_ROWS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "opens", "value"))).alias("rows"))
+    rows = rows.select(*keys, F.struct("chunk", F.aggregate("rows", start, walk).alias("m")).alias("step"))
+    whole = F.aggregate(
+        F.array_sort(F.collect_list("step")), F.struct(zero.alias("best"), low.alias("held")),
+        lambda a, x: F.struct(F.greatest(a["best"] + x["m"]["ss"], a["held"] + x["m"]["hs"]).alias("best"), F.greatest(a["best"] + x["m"]["sh"], a["held"] + x["m"]["hh"]).alias("held")))
+    return rows.groupBy(*keys).agg(whole["best"].alias("missing"))
 
 
 def region_match(reference: DataFrame, estimate: DataFrame, collar: int = COLLAR) -> DataFrame:
-    """Regions matched with both edges within the collar, and the F over both lists (null with none)."""
-    r = reference.select("track_id", F.col("first").alias("ref"), F.col("last").alias("r_last"))
-    e = estimate.select("track_id", F.explode(F.array(*[F.col("first") + d for d in range(-collar, collar + 1)])).alias("ref"), F.col("first").alias("est"), F.col("last").alias("e_last"))
-    pairs = r.join(e, ["track_id", "ref"]).where(F.abs(F.col("r_last") - F.col("e_last")) <= collar).select("track_id", "ref", "est")
+    """Regions matched one to one with both edges within the collar, and the F over both lists (null with none).
+
+    The regions of a list lie apart, as runs of consecutive bars do; with the collar of one bar the estimates that a region may
+    take then follow one another, and taking the first free one in turn is a largest matching.
+    """
+    r = with_position(reference.select("track_id", "first", "last"), KEYS, ["first", "last"], 4096, "i")
+    e = with_position(estimate.select("track_id", "first", "last"), KEYS, ["first", "last"], 4096, "j")
+    e = e.select("track_id", F.explode(F.sequence(F.col("first") - collar, F.col("first") + collar)).alias("first"), F.col("last").alias("e_last"), "j")
+    fits = F.abs(F.col("last") - F.col("e_last")) <= collar
+    runs = r.join(e, ["track_id", "first"], "left").groupBy("track_id", "i").agg(F.min(F.when(fits, F.col("j"))).alias("lo"), F.max(F.when(fits, F.col("j"))).alias("hi"))
+    alone = runs.where("lo is null").groupBy("track_id").agg(F.count("*").alias("alone"))
+    some = with_position(runs.where("lo is not null"), KEYS, ["i"], 4096, "n")
+    steps = F.array(F.struct((2 * F.col("n")).alias("pos"), F.lit(True).alias("opens"), (F.col("lo") - F.col("n")).alias("value")),
+                    F.struct((2 * F.col("n") + 1).alias("pos"), F.lit(False).alias("opens"), (F.col("n") - F.col("hi")).alias("value")))
+    missing = unmatched(some.select("track_id", F.inline(steps)), KEYS)
     n_ref = reference.groupBy("track_id").agg(F.count("*").alias("n_ref"))
     n_est = estimate.groupBy("track_id").agg(F.count("*").alias("n_est"))
-    counts = n_ref.join(n_est, KEYS, "full").join(greedy_matches(pairs, 2 * collar + 1), KEYS, "left").na.fill(0)
+    counts = n_ref.join(n_est, KEYS, "full").join(alone, KEYS, "left").join(missing, KEYS, "left").na.fill(0)
+    counts = counts.withColumn("matched", F.col("n_ref") - F.col("alone") - F.col("missing")).drop("alone", "missing")
     return counts.withColumn("event_f", 2 * F.col("matched") / (F.col("n_ref") + F.col("n_est")))
 
 
 def event_f(reference: DataFrame, estimate: DataFrame, tolerance: float) -> DataFrame:
-    """F of two event lists matched one to one within the tolerance; null without a reference."""
-    pairs = within(reference.select("track_id", F.col("t").alias("ref")), estimate.select("track_id", F.col("t").alias("est")), KEYS, "ref", "est", tolerance, "inner")
-    n_ref = reference.groupBy("track_id").agg(F.count("*").alias("n_ref"))
-    n_est = estimate.groupBy("track_id").agg(F.count("*").alias("n_est"))
-    c = n_ref.join(n_est, KEYS, "left").join(greedy_matches(pairs, 2 * tolerance), KEYS, "left").na.fill(0)
+    """F of two event lists (track_id, t) under a largest one-to-one matching within the tolerance; null without a reference.
+
+    Times count in whole microseconds. One walk in time order over the estimates and over both ends of each reference's
+    reach gives the counts that `unmatched` needs, so no pair is formed however many events share a moment.
+    """
+    micros = lambda c: F.round(c * 1_000_000).cast("long")
+    reach = round(tolerance * 1_000_000)
+    r = reference.where("t is not null").select("track_id", micros(F.col("t")).alias("at"))
+    e = estimate.where("t is not null").join(r.select("track_id").distinct(), KEYS, "left_semi").select("track_id", micros(F.col("t")).alias("at"), F.lit(1).alias("kind"))
+    ends = r.select("track_id", F.inline(F.array(F.struct((F.col("at") - reach).alias("at"), F.lit(0).alias("kind")), F.struct((F.col("at") + reach).alias("at"), F.lit(2).alias("kind")))))
+    line = ranged(ends.unionByName(e).withColumn("tie", F.monotonically_increasing_id()), KEYS, ["at", "kind", "tie"])
+    of = lambda kind: (F.col("kind") == kind).cast("long")
+    line = with_running_sum(line, KEYS, ["at", "kind", "tie"], 0, {"opened": of(0), "seen": of(1), "closed": of(2)})
+    opens = F.col("kind") == 0
+    value = F.when(opens, F.col("seen") - F.col("opened") + 1).otherwise(F.col("closed") - F.col("seen"))
+    points = line.where("kind <> 1").select("track_id", (F.col("opened") + F.col("closed") - 1).alias("pos"), opens.alias("opens"), value.alias("value"))
+    n_ref = r.groupBy("track_id").agg(F.count("*").alias("n_ref"))
+    n_est = e.groupBy("track_id").agg(F.count("*").alias("n_est"))
+    c = n_ref.join(n_est, KEYS, "left").join(unmatched(points, KEYS), KEYS, "left").na.fill(0)
+    c = c.withColumn("matched", F.col("n_ref") - F.col("missing")).drop("missing")
     return c.withColumn("f", 2 * F.col("matched") / (F.col("n_ref") + F.col("n_est")))
 
 
