@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stavework import binding as B
 from stavework.catalog import grid as GR, sql as S
 from stavework.catalog.common import Registry, r6
-from stavework.operators import grid as G, harmony_spans as H, structure as T
+from stavework.operators import grid as G, harmony_spans as H, segment as M, structure as T
 from stavework.params import HarmonyParams
 from stavework.session import share
 
@@ -147,6 +147,26 @@ def bar_features(spark, sf):
     return feats(spark, sf).select("track_id", "bar", "dim", r6("z"))
 
 
+APART = "round(list_sum(list_transform(list_zip({}, {}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9)"
+NEXT_SEED = """c{n} AS (SELECT * FROM c{k} UNION ALL SELECT track_id, {k} AS c, bar, f FROM (SELECT v.track_id, v.bar, v.f, min({apart}) AS d FROM v JOIN c{k} c ON c.track_id = v.track_id GROUP BY 1, 2, 3)
+ QUALIFY d > 0 AND row_number() OVER (PARTITION BY track_id ORDER BY d DESC, bar) = 1)"""
+SEEDS = f"""{FEAT}, v AS (SELECT track_id, bar, list(round(CASE WHEN sd > 1e-12 THEN (x - mu) / sd ELSE 0 END, 9) ORDER BY dim) AS f FROM fz GROUP BY 1, 2),
+c1 AS (SELECT track_id, 0 AS c, bar, f FROM v QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(list_sum(list_transform(f, lambda x: x * x)), 9) DESC, bar) = 1),
+""" + ",\n".join(NEXT_SEED.format(k=k, n=k + 1, apart=APART.format("v.f", "c.f")) for k in range(1, 6))
+
+
+@query("bar_seeds", f"WITH {SEEDS} SELECT track_id, CAST(c AS INTEGER) AS c, bar FROM c6")
+def bar_seeds(spark, sf):
+    return M.seeds(share(M.bar_vectors(feats(spark, sf), KEYS)), KEYS).select("track_id", F.posexplode("bars").alias("c", "bar"))
+
+
+@query("bar_assignment", f"""WITH {SEEDS}, d AS (SELECT v.track_id, k, v.bar, c, {APART.format("v.f", "c6.f")} AS d FROM v JOIN c6 ON c6.track_id = v.track_id, unnest(range(3, 7)) u(k) WHERE c < k AND k <= (SELECT count(*) FROM c6 s WHERE s.track_id = v.track_id))
+SELECT track_id, CAST(k AS INTEGER) AS k, bar, CAST(c AS INTEGER) AS cluster FROM d QUALIFY row_number() OVER (PARTITION BY track_id, k, bar ORDER BY d, c) = 1""")
+def bar_assignment(spark, sf):
+    vectors = share(M.bar_vectors(feats(spark, sf), KEYS))
+    return M.assigned(vectors, M.openings(vectors, KEYS), KEYS).select("track_id", "k", "bar", "cluster")
+
+
 @query("bar_segmentation")
 def bar_segmentation(spark, sf):
-    return T.segment_bars(feats(spark, sf), KEYS)
+    return M.segment_bars(feats(spark, sf), KEYS)

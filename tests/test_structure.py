@@ -111,15 +111,6 @@ def test_riff_votes_the_commonest_pitch_and_reports_support(spark):
     assert row["support"] == pytest.approx((1 + 2 / 3) / 2)
 
 
-def test_segmentation_reports_every_bar_once(spark):
-    rng = random.Random(2)
-    rows = [(t, b, d, (b // 10) * 3.0 + rng.random()) for t in range(2) for b in range(30) for d in range(3)]
-    df = spark.createDataFrame(rows, "track_id int, bar int, dim int, z double")
-    out = T.segment_bars(df, ["track_id"])
-    assert out.count() == 60 and out.select("track_id", "bar").distinct().count() == 60
-    assert F
-
-
 def test_thinning_long_runs_by_pointers_equals_folding_them(spark):
     rng = random.Random(4)
     rows = sorted({(t, round(rng.uniform(0, 60), 3)) for t in range(3) for _ in range(150)})
