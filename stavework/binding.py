@@ -10,7 +10,7 @@ from stavework.operators.ordered import with_neighbour
 DAY = 86400.0
 N_BARS = 30
 SLOTS = 8
-EVENT_CHUNK = 7 * DAY  # a track's events are chunked by week
+EVENT_CHUNK = None  # windows over events run in chunks of equal row counts
 
 # Fixed values of the binding: one bar per day, four sections per track.
 SECTIONS = [(0, "verse", 0, 7), (1, "chorus", 7, 14), (2, "verse", 14, 21), (3, "outro", 21, 30)]

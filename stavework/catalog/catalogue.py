@@ -57,10 +57,10 @@ def truth_ranges_read(spark, sf):
     return RC.read_labels(typed_lines(spark, sf, "labels")).select("event_id", "reject", "label")
 
 
-@query("truth_keys_read", f"""WITH {S.EV}, l AS (SELECT track_id, event_id, k, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS place FROM ev WHERE event_type = 'signup' AND event_id % 7 = 0)
+@query("truth_keys_read", f"""WITH {S.EV}, l AS (SELECT track_id, event_id, k, row_number() OVER (PARTITION BY track_id ORDER BY event_id) AS place FROM ev)
 SELECT track_id, event_id AS line, CASE WHEN place > 2 THEN 'expected at most two key lines' WHEN k % 5 = 0 THEN 'not a key: mode is not major or minor' END AS reject FROM l""")
 def truth_keys_read(spark, sf):
-    ev = B.events(spark, sf).where("event_type = 'signup' and event_id % 7 = 0")
+    ev = B.events(spark, sf)
     name = F.element_at(F.array(*map(F.lit, B.SHARPS)), (F.col("k") % 12 + 1).cast("int"))
     lines = ev.select("track_id", F.col("event_id").alias("line"), F.concat(name, F.when(F.col("k") % 5 == 0, " dorian").otherwise(" major"), F.lit(" book")).alias("record"))
     return RC.read_keys(lines, ["track_id"]).select("track_id", "line", "reject")
@@ -197,9 +197,9 @@ def resolve_credits(spark, sf):
 
 
 @query("score_credits", f"""WITH {RES} SELECT page_id, lower(song) = lower(regexp_replace(regexp_replace(title, ' ?\\((Official Video|2019 Remaster)\\)| ?\\[HD\\]|"', '', 'g'), CASE WHEN page_id % 6 = 0 THEN '^' || artist || ' - ' ELSE '^$' END, '')) OR page_id % 5 = 0 AS title_ok,
-  coalesce(lower(who) = lower(artist), false) AS artist_ok FROM r2 WHERE page_id % 6 IN (0, 1, 2, 5) OR page_id % 5 = 0""")
+  coalesce(lower(who) = lower(artist), false) AS artist_ok FROM r2""")
 def score_credits(spark, sf):
-    m = meta(spark, sf).where("page_id % 6 in (0, 1, 2, 5) or page_id % 5 = 0").withColumnsRenamed({"artist": "true_artist", "song": "true_title"})
+    m = meta(spark, sf).withColumnsRenamed({"artist": "true_artist", "song": "true_title"})
     r = T.resolve_credits(m)
     for name, source in (("t1", "true_title"), ("t2", "r_title"), ("a1", "true_artist"), ("a2", "r_artist")):
         r = T.with_credit(r, F.col(source), name)
@@ -220,13 +220,13 @@ def video_id(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.video_id(url).alias("video_id"))
 
 
-@query("find_run", """WITH w AS (SELECT page_id, 'https://youtu.be/v' || lpad(CAST(page_id % 50 AS VARCHAR), 10, '0') AS source FROM pages), r AS (SELECT page_id AS run, CASE WHEN page_id % 2 = 0 THEN 'https://youtu.be/' ELSE 'https://x.com/?v=' END || 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS source, 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS vid FROM pages WHERE page_id % 50 < 40)
+@query("find_run", """WITH w AS (SELECT page_id, 'https://youtu.be/v' || lpad(CAST(page_id % 50 AS VARCHAR), 10, '0') AS source FROM pages), r AS (SELECT page_id AS run, CASE WHEN page_id % 2 = 0 THEN 'https://youtu.be/' ELSE 'https://x.com/?v=' END || 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS source, 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS vid FROM pages)
 SELECT page_id, CAST(coalesce((SELECT min(run) FROM r WHERE r.source = w.source), (SELECT min(run) FROM r WHERE r.vid = right(w.source, 11))) AS DOUBLE) AS run FROM w""")
 def find_run(spark, sf):
     p = read(spark, sf, "pages")
     tag = lambda i: F.concat(F.lit("v"), F.lpad(i.cast("string"), 10, "0"))
     w = p.select("page_id", F.concat(F.lit("https://youtu.be/"), tag(F.col("page_id") % 50)).alias("source"))
-    runs = p.where("page_id % 50 < 40").select(F.col("page_id").alias("run"), F.concat(F.when(F.col("page_id") % 2 == 0, "https://youtu.be/").otherwise("https://x.com/?v="), tag(F.col("page_id"))).alias("source"), F.lit(None).cast("string").alias("video_id"))
+    runs = p.select(F.col("page_id").alias("run"), F.concat(F.when(F.col("page_id") % 2 == 0, "https://youtu.be/").otherwise("https://x.com/?v="), tag(F.col("page_id"))).alias("source"), F.lit(None).cast("string").alias("video_id"))
     return L.find_run(w, runs).select("page_id", F.col("run").cast("double").alias("run"))
 
 

@@ -152,7 +152,7 @@ def build_bars(spark, sf):
 def beat_positions(spark, sf):
     b, bars = built(spark, sf)
     bars = share(bars)
-    placed = I.point_in_span(b.select("track_id", "i", "t"), bars.select("track_id", "bar", "start", "end"), KEYS, "t", "start", "end", WEEK)
+    placed = I.point_in_span(b.select("track_id", "i", "t"), bars.select("track_id", "bar", "start", "end"), KEYS, "t", "start", "end", 7 * DAY)
     last = b.select("track_id", "i", "t").join(placed.select("track_id", "i", "bar"), ["track_id", "i"], "left")
     final = bars.groupBy("track_id").agg(F.max("bar").alias("last_bar"))
     last = last.join(final, KEYS).withColumn("bar", F.coalesce("bar", "last_bar")).drop("last_bar")
@@ -272,12 +272,12 @@ def boundaries_from_clusters(spark, sf):
     return G.cluster_boundaries(share(clusters(spark, sf)), 2)
 
 
-@query("trailing_silent_bars", f"""WITH {S.SPANS}, {S.BARS}, l AS (SELECT track_id, max("end") AS le FROM spans WHERE label <> 'N' AND start < 2000000 GROUP BY 1)
+@query("trailing_silent_bars", f"""WITH {S.SPANS}, {S.BARS}, l AS (SELECT track_id, max("end") AS le FROM spans WHERE label <> 'N' GROUP BY 1)
 SELECT track_id, CAST(least(coalesce(n, 0), 8) AS BIGINT) AS "drop" FROM tracks LEFT JOIN
   (SELECT b.track_id, count(*) AS n FROM bars b JOIN l USING (track_id) WHERE b.start >= le - 1e-6 GROUP BY 1) USING (track_id)""")
 def trailing_silent_bars(spark, sf):
     caps = B.tracks(spark, sf).withColumn("cap", F.lit(9))
-    return G.trailing_silent_bars(B.spans(spark, sf).where("start < 2000000"), B.bars(spark, sf), caps)
+    return G.trailing_silent_bars(B.spans(spark, sf), B.bars(spark, sf), caps)
 
 
 @query("sections_to_bar", f"""WITH {S.BARS}, {S.SECTIONS} SELECT b.track_id, b.bar, s.section, s.label FROM bars b JOIN sections s

@@ -8,7 +8,7 @@ from stavework import binding as B
 from stavework.catalog import sql as S
 from stavework.catalog.common import Registry, r6
 from stavework.operators import harmony_spans as H, intervals as I, riff as RF, signal as G
-from stavework.operators.ordered import with_neighbour
+from stavework.operators.ordered import with_position
 from stavework.session import share
 
 query = Registry()
@@ -109,11 +109,10 @@ notes AS (SELECT o.track_id, o.event_id, o.t, nn.note, CASE WHEN o.k % 5 <> 0 TH
 
 def notes(spark, sf):
     ev = share(B.events(spark, sf))
-    on = ev.select("track_id", F.col("event_id").alias("onset_id"), "t", "k")
-    for i in range(3):  # the third event after each onset
-        on = with_neighbour(on, KEYS, ["t", "onset_id"], B.EVENT_CHUNK, {f"n{i}": "t" if i == 0 else f"n{i - 1}"}, ahead=True)
-        on = share(on)
-    on = on.withColumn("note_end", F.least(F.coalesce("n2", F.col("t") + 86400), F.col("t") + 86400)).drop("n0", "n1", "n2")
+    on = share(with_position(ev.select("track_id", F.col("event_id").alias("onset_id"), "t", "k"), KEYS, ["t", "onset_id"], B.EVENT_CHUNK))
+    third = on.select("track_id", (F.col("pos") - 3).alias("pos"), F.col("t").alias("then"))  # the third event after each onset
+    on = on.join(third, ["track_id", "pos"], "left")
+    on = on.withColumn("note_end", F.least(F.coalesce("then", F.col("t") + 86400), F.col("t") + 86400)).drop("then", "pos")
     fr = ev.select("track_id", F.col("t").alias("ft"), F.when(F.col("event_type") != "signup", 40 + F.col("k") * 0.5).alias("midi"))
     return G.name_notes(on, fr, B.DAY, 72.0, 36.0).withColumn("root", F.when(F.col("k") % 5 != 0, F.col("k") % 12))
 

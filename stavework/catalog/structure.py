@@ -101,14 +101,14 @@ def chord_change_bars(spark, sf):
     return T.chord_change_bars(ends(spark, sf))
 
 
-@query("aligned_starts", f"""WITH RECURSIVE {ENDS}, {S.SECTIONS}, cc AS (SELECT * FROM cb WHERE NOT (bar % 2 = 0 AND (bar + track_id) % 3 > 0)),
+@query("aligned_starts", f"""WITH RECURSIVE {ENDS}, {S.SECTIONS}, cc AS (SELECT * FROM cb),
 ct AS (SELECT s.track_id, s.section, s.start_bar, s.end_bar, count(c.bar) AS n, count(c.bar) FILTER ((c.bar - s.start_bar) % 2 = 1) AS odd FROM sections s LEFT JOIN cc c ON c.track_id = s.track_id AND c.bar >= s.start_bar AND c.bar < s.end_bar GROUP BY ALL),
 wk AS (SELECT track_id, section, start_bar, end_bar, 0 AS shifted FROM ct WHERE section = 0 UNION ALL
  SELECT c.track_id, c.section, c.start_bar + CASE WHEN c.odd >= 4 AND c.odd >= 0.75 * c.n AND c.end_bar - c.start_bar - 1 >= 4 AND c.start_bar + 1 - w.start_bar >= 4 THEN 1 ELSE 0 END, c.end_bar,
    CASE WHEN c.odd >= 4 AND c.odd >= 0.75 * c.n AND c.end_bar - c.start_bar - 1 >= 4 AND c.start_bar + 1 - w.start_bar >= 4 THEN 1 ELSE 0 END FROM wk w JOIN ct c ON c.track_id = w.track_id AND c.section = w.section + 1)
 SELECT track_id, section, start_bar, CASE WHEN lead(shifted) OVER (PARTITION BY track_id ORDER BY section) = 1 THEN lead(start_bar) OVER (PARTITION BY track_id ORDER BY section) ELSE end_bar END AS end_bar, shifted FROM wk""")
 def aligned_starts(spark, sf):
-    ch = T.chord_change_bars(ends(spark, sf)).where("not (bar % 2 = 0 and (bar + track_id) % 3 > 0)")
+    ch = T.chord_change_bars(ends(spark, sf))
     return T.aligned_starts(B.sections(spark, sf).select(*SEC, "start_bar", "end_bar"), ch)
 
 

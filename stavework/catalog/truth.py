@@ -92,12 +92,12 @@ def event_f_measure(spark, sf):
     return T.event_f(ref, est, 0.07).select("track_id", r6("f"))
 
 
-@query("flag_precision_recall", f"""WITH {REST}, b AS (SELECT r.track_id, r.line, bool_or(bit_count(strike) >= 3) AS f FROM (SELECT track_id, line, unnest(range(start, "end")) AS bar FROM rng) r JOIN rec ON rec.track_id = r.track_id AND rec.bar = r.bar AND rec.bar < 27 GROUP BY 1, 2),
+@query("flag_precision_recall", f"""WITH {REST}, b AS (SELECT r.track_id, r.line, bool_or(bit_count(strike) >= 3) AS f FROM (SELECT track_id, line, unnest(range(start, "end")) AS bar FROM rng) r JOIN rec ON rec.track_id = r.track_id AND rec.bar = r.bar GROUP BY 1, 2),
 f AS (SELECT r.track_id, rlabel IN ('riff', 'mixed') AS hit, coalesce(b.f, start >= 21) AS fl FROM rng r LEFT JOIN b USING (track_id, line))
 SELECT track_id, round(count(*) FILTER (fl AND hit) / nullif(CAST(count(*) FILTER (fl) AS DOUBLE), 0), 6) AS "precision", round(count(*) FILTER (fl AND hit) / nullif(CAST(count(*) FILTER (hit) AS DOUBLE), 0), 6) AS recall,
  round(count(*) FILTER (NOT hit) / CAST(count(*) AS DOUBLE), 6) AS baseline_not_riff, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS baseline_riff FROM f GROUP BY 1""")
 def flag_precision_recall(spark, sf):
-    rec = records(spark, sf).where("bar < 27").select("track_id", "bar", (F.bit_count("strike") >= 3).alias("riff"))
+    rec = records(spark, sf).select("track_id", "bar", (F.bit_count("strike") >= 3).alias("riff"))
     pats = B.sections(spark, sf).withColumn("riff", F.col("section") == 3)
     r = ranges(spark, sf).drop("label").withColumnRenamed("rlabel", "label")
     out = T.flag_scores(r, rec, pats)

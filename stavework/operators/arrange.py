@@ -126,14 +126,14 @@ def choose_capo(scores: DataFrame) -> DataFrame:
         (F.max(F.when(F.col("r") == 2, F.col("score"))) - F.max(F.when(F.col("r") == 1, F.col("score")))).alias("margin"))
 
 
-def transitions(events: DataFrame, chunk: float) -> DataFrame:
+def transitions(events: DataFrame, chunk: float | None) -> DataFrame:
     """How often each label follows each, per track."""
     real = events.where(~H.is_no_chord(F.col("label")))
     nxt = with_neighbour(real, KEYS, ["start", "event"], chunk, {"next_label": "label"}, ahead=True).where("next_label is not null")
     return nxt.groupBy("track_id", "label", "next_label").agg(F.count("*").alias("times"))
 
 
-def voicing_cost(events: DataFrame, choice: DataFrame, chunk: float) -> DataFrame:
+def voicing_cost(events: DataFrame, choice: DataFrame, chunk: float | None) -> DataFrame:
     """The cost of a track's voicings: uses times cost plus a tenth of the movement between neighbours.
 
     `choice` (label, frets, base_fret, cost), at most one row per label of the vocabulary.

@@ -14,7 +14,7 @@ KEYS = ["track_id"]
 
 
 def chord_diagnostics(
-    spans: DataFrame, bars: DataFrame, bucket: float, chunk: float, tolerance: float, beat_share: float = 1.0
+    spans: DataFrame, bars: DataFrame, bucket: float, chunk: float | None, tolerance: float, beat_share: float = 1.0
 ) -> DataFrame:
     """No-chord time share, all-N bars, changes on a bar start, events shorter than a beat.
 

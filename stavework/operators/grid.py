@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from stavework.operators.intervals import best, within
 from stavework.operators.ordered import (
-    CHUNK, exact_median, with_halo, with_last_known, with_neighbour, with_position, with_running_sum, with_runs,
+    CHUNK, chunked, exact_median, with_halo, with_last_known, with_neighbour, with_position, with_running_sum, with_runs,
 )
 from stavework.params import GRID, GridParams
 from stavework.session import share
@@ -29,18 +29,19 @@ def end_of_clip(beats: DataFrame, durations: DataFrame) -> tuple[DataFrame, Data
     return kept.join(few, KEYS, "left_anti"), few
 
 
-def intervals(beats: DataFrame, chunk: float, tie: str = "event_id") -> DataFrame:
+def intervals(beats: DataFrame, chunk: float | None, tie: str = "event_id") -> DataFrame:
     """Beats with the previous beat's time and the gap to it (null on a track's first beat)."""
     return with_neighbour(beats, KEYS, ["t", tie], chunk, {"prev_t": "t"}).withColumn("gap", F.col("t") - F.col("prev_t"))
 
 
-def fill_gaps(beats: DataFrame, chunk: float, p: GridParams = GRID, tie: str = "event_id") -> DataFrame:
+def fill_gaps(beats: DataFrame, chunk: float | None, p: GridParams = GRID, tie: str = "event_id") -> DataFrame:
     """Evenly spaced beats where an interval exceeds the local median by the factor.
 
     The local median reads the interval and up to eight on either side, so the rows are chunked
     by position with an eight-row halo.
     """
-    placed = with_position(intervals(beats, chunk, tie), KEYS, ["t", tie], chunk)
+    line = chunked(beats, KEYS, ["t", tie], chunk)
+    placed = with_position(intervals(line, chunk, tie), KEYS, ["t", tie], chunk)
     near = Window.partitionBy("track_id", CHUNK).orderBy("pos").rowsBetween(-p.gap_half_window, p.gap_half_window)
     local = (
         with_halo(placed.where("gap is not null"), KEYS, "pos", p.gap_half_window)
@@ -57,7 +58,7 @@ def fill_gaps(beats: DataFrame, chunk: float, p: GridParams = GRID, tie: str = "
     return beats.select("track_id", "t", F.lit("detected").alias("origin")).unionByName(inserted)
 
 
-def tempo(beats: DataFrame, chunk: float, tie: str = "event_id") -> DataFrame:
+def tempo(beats: DataFrame, chunk: float | None, tie: str = "event_id") -> DataFrame:
     """60 over the median interval and 60 over the mean interval; tracks with two beats at least."""
     gaps = intervals(beats, chunk, tie).where("gap is not null")
     mean = gaps.groupBy("track_id").agg(F.avg("gap").alias("mean_gap"))
@@ -92,9 +93,9 @@ def nearest_beats(beats: DataFrame, downbeats: DataFrame, p: GridParams = GRID)
     return near.select("track_id", "i").distinct()
 
 
-def double_beats(beats: DataFrame, chunk: float, tie: str = "event_id") -> DataFrame:
+def double_beats(beats: DataFrame, chunk: float | None, tie: str = "event_id") -> DataFrame:
     """Beats and the midpoints between neighbours, with their new index."""
-    nxt = with_neighbour(beats, KEYS, ["t", tie], chunk, {"next_t": "t"}, ahead=True)
+    nxt = with_neighbour(chunked(beats, KEYS, ["t", tie], chunk), KEYS, ["t", tie], chunk, {"next_t": "t"}, ahead=True)
     nxt = with_position(nxt, KEYS, ["t", tie], chunk, "i")
     own = nxt.select("track_id", (F.col("i") * 2).alias("i"), "t")
     mid = nxt.where("next_t is not null").select(
@@ -106,16 +107,16 @@ def double_beats(beats: DataFrame, chunk: float, tie: str = "event_id") -> DataF
 LONG_RUN = 65536  # longer runs of close points are followed by pointers instead of folded in a row
 
 
-def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: float, long_run: int = LONG_RUN) -> DataFrame:
+def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: float | None, long_run: int = LONG_RUN) -> DataFrame:
     """Greedy thinning: keep the first point, then each point at least `gap` after the last kept.
 
     A point that far from its predecessor is always kept, so a track falls apart into runs of close
     points that are thinned independently: short runs in one row each, long ones by doubling pointers.
     Both compare a point with `last + gap`, so the two agree on points that lie exactly there.
     """
-    near = with_neighbour(points, keys, [x], chunk, {"_prev": x})
+    near = with_neighbour(chunked(points, keys, [x], chunk), keys, [x], chunk, {"_prev": x})
     starts = F.when(F.col("_prev").isNull() | (F.col(x) >= F.col("_prev") + gap), 1).otherwise(0)
-    runs = share(with_running_sum(near, keys, [x], chunk, {"_run": starts}))
+    runs = share(with_running_sum(near, keys, [x], chunk, {"_run": starts}).drop(CHUNK))
     by = [*keys, "_run"]
     sizes = runs.groupBy(*by).agg(F.count("*").alias("_size"))
     long_ = sizes.where(F.col("_size") > long_run).select(*by)
@@ -131,7 +132,7 @@ def thin(points: DataFrame, keys: Sequence[str], x: str, gap: float, chunk: floa
     return out.unionByName(_follow(runs.join(long_, by, "left_semi").select(*by, F.col(x).cast("double").alias("x")), by, gap, chunk).select(*keys, F.col("x").alias(x)))
 
 
-def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float) -> DataFrame:
+def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float | None) -> DataFrame:
     """The points reached from each run's first by jumping to the first point `gap` further on.
 
     Jumps double every round, so a run of n kept points takes log2(n) rounds of two joins.
@@ -152,7 +153,7 @@ def _follow(points: DataFrame, by: Sequence[str], gap: float, chunk: float) -> D
     return kept
 
 
-def normalise_octave(beats: DataFrame, downbeats: DataFrame, target_period: float, chunk: float, tol: float = 0.75) -> DataFrame:
+def normalise_octave(beats: DataFrame, downbeats: DataFrame, target_period: float, chunk: float | None, tol: float = 0.75) -> DataFrame:
     """Beats kept when every beat closer than tol * period to the last kept one is dropped.
 
     `beats` has (track_id, i, t), `downbeats` (track_id, i). A leading run of fast beats starts
@@ -167,8 +168,8 @@ def normalise_octave(beats: DataFrame, downbeats: DataFrame, target_period: floa
         F.count_if(F.col("i") % 2 == 1).alias("odd"), F.count_if(F.col("i") % 2 == 0).alias("even")
     )
     started = beats.join(lead, KEYS, "left").where(F.col("i") >= F.when(F.col("odd") > F.col("even"), 1).otherwise(0))
-    started = share(started)
-    kept = thin(started.select("track_id", "t"), KEYS, "t", gap, chunk)
+    started = share(chunked(started, KEYS, ["t"], chunk)) if chunk else chunked(started, KEYS, ["t"], chunk)
+    kept = thin(started.select("track_id", "t", CHUNK), KEYS, "t", gap, chunk)
     # a time is held by one beat here: beats are strictly increasing
     back = started.select("track_id", "i", "t").join(kept, ["track_id", "t"])
     flags = downbeats.select("track_id", "i", F.lit(True).alias("is_downbeat")).distinct()
@@ -248,7 +249,7 @@ def beat_positions(beats: DataFrame, bars: DataFrame, numerator: int) -> DataFra
     )
 
 
-def backbeat_ratio(beats: DataFrame, frames: DataFrame, numerator: int, chunk: float, peak: int = 2) -> DataFrame:
+def backbeat_ratio(beats: DataFrame, frames: DataFrame, numerator: int, chunk: float | None, peak: int = 2) -> DataFrame:
     """Mean peak flux on the backbeats over the mean on the strong beats; null under eight beats.
 
     `frames` (track_id, t, flux); a beat reads the peak of the frames around the first one at or
@@ -308,7 +309,7 @@ def vocal_runs(flags: DataFrame, p: GridParams = GRID) -> DataFrame:
     )
 
 
-def run_collapse(spans: DataFrame, order: Sequence[str], chunk: float, label: str = "label", share: str = "share") -> DataFrame:
+def run_collapse(spans: DataFrame, order: Sequence[str], chunk: float | None, label: str = "label", share: str = "share") -> DataFrame:
     """Consecutive equal labels merged; the share is the plain mean over the run."""
     return with_runs(spans, KEYS, order, chunk, label).groupBy("track_id", "run", label).agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.avg(share).alias("share"), F.count("*").alias("n")

@@ -71,13 +71,13 @@ def merge_onsets(base: DataFrame, extra: DataFrame, radius: float) -> DataFrame:
     return base.withColumn("added", F.lit(False)).unionByName(kept.withColumn("added", F.lit(True)))
 
 
-def splice(base: DataFrame, pieces: DataFrame, chunk: float) -> DataFrame:
+def splice(base: DataFrame, pieces: DataFrame, chunk: float | None) -> DataFrame:
     """Base and pieces in one stable time order (the base first at one time)."""
     both = base.withColumn("added", F.lit(False)).unionByName(pieces.withColumn("added", F.lit(True)))
     return with_position(both, KEYS, ["t", "added", "event_id"], chunk, "place")
 
 
-def note_ends(onsets: DataFrame, bars: DataFrame, chunk: float, bucket: float) -> DataFrame:
+def note_ends(onsets: DataFrame, bars: DataFrame, chunk: float | None, bucket: float) -> DataFrame:
     """The next onset of the track or the bar's end, whichever comes first."""
     nxt = with_neighbour(onsets, KEYS, ["t", "event_id"], chunk, {"next_t": "t"}, ahead=True)
     placed = point_in_span(nxt, bars.select("track_id", "bar", "start", "end"), KEYS, "t", "start", "end", bucket)

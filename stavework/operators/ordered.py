@@ -3,8 +3,11 @@
 A plain `partitionBy(track_id)` window sends a whole track to one task. Here every window
 runs inside a *chunk* of the track and only a one-row-per-chunk summary is windowed over the
 whole track, then joined back on (track, chunk). No task ever holds more than one chunk of
-rows or one track's chunk summaries. A chunk is the order column divided by a fixed width, or
-for rows that went through `ranged` a range of (track, order) with as many rows as any other.
+rows or one track's chunk summaries. Without a width a chunk is a range of (track, order) with
+as many rows as any other, see `ranged`; with one it is the order column divided by it, which
+suits columns that number rows, as bars do.
+
+Rows that have their chunks already, from `chunked`, keep them from one call to the next.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return share(cut.withColumn(CHUNK, F.spark_partition_id().cast("long")))
 
 
-def chunked(df: DataFrame, order: str, width: float) -> DataFrame:
-    """`df` with the chunk number of each row: the first order column over a fixed width, if it has none yet."""
-    return df if CHUNK in df.columns else df.withColumn(CHUNK, F.floor(F.col(order) / F.lit(width)).cast("long"))
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None) -> DataFrame:
+    """`df` with the chunk number of each row, unless it has one."""
+    if CHUNK in df.columns:
+        return df
+    return ranged(df, keys, order) if width is None else df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):
@@ -47,10 +52,10 @@ def _join_back(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float, name: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None, name: str = "pos"
 ) -> DataFrame:
     """0-based position of each row in its group."""
-    rows = chunked(df, order[0], width)
+    rows = chunked(df, keys, order, width)
     inside, across = _windows(keys, order)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
@@ -68,12 +73,12 @@ def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: float,
+    width: float | None,
     columns: Mapping[str, str | Column],
     ahead: bool = False,
 ) -> DataFrame:
     """The values of the previous row (the next one with `ahead`) under new names; null at the edge."""
-    rows = chunked(df, order[0], width)
+    rows = chunked(df, keys, order, width)
     inside, across = _windows(keys, order)
     held = F.struct(*[_col(c).alias(n) for n, c in columns.items()])
     by = F.struct(*[F.col(o) for o in order])
@@ -97,11 +102,11 @@ def with_running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: float,
+    width: float | None,
     sums: Mapping[str, str | Column],
 ) -> DataFrame:
     """Running totals up to and including each row."""
-    rows = chunked(df, order[0], width)
+    rows = chunked(df, keys, order, width)
     inside, across = _windows(keys, order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,13 +129,13 @@ def with_last_known(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: float,
+    width: float | None,
     columns: Mapping[str, str | Column],
     ahead: bool = False,
     inclusive: bool = True,
 ) -> DataFrame:
     """The last non-null value at or before each row (first at or after with `ahead`)."""
-    rows = chunked(df, order[0], width)
+    rows = chunked(df, keys, order, width)
     direction = [F.col(o).desc() for o in order] if ahead else [F.col(o).asc() for o in order]
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*direction).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
@@ -161,18 +166,19 @@ def with_runs(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: float,
+    width: float | None,
     value: str | Column,
     name: str = "run",
 ) -> DataFrame:
     """A run number that grows whenever `value` changes from one row to the next."""
+    line = chunked(df, keys, order, width)
     marked = with_neighbour(
-        df.withColumn("_now", _col(value)), keys, order, width, {"_was": F.struct("_now")}
+        line.withColumn("_now", _col(value)), keys, order, width, {"_was": F.struct("_now")}
     )
     change = F.when(F.col("_was").isNull(), 1).when(
         ~F.col("_was")["_now"].eqNullSafe(F.col("_now")), 1
     ).otherwise(0)
-    return with_running_sum(marked, keys, order, width, {name: change}).drop("_was", "_now")
+    return with_running_sum(marked, keys, order, width, {name: change}).select(*[c for c in df.columns if c != name], name)
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], pos: str, reach: int, size: int = 65536) -> DataFrame:

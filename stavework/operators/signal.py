@@ -93,7 +93,7 @@ def name_notes(onsets: DataFrame, frames: DataFrame, bucket: float, skip_in: flo
     return onsets.join(notes.select("track_id", "onset_id", named.alias("note")), ["track_id", "onset_id"], "left")
 
 
-def note_shares(notes: DataFrame, by: Sequence[str], order: Sequence[str], chunk: float) -> DataFrame:
+def note_shares(notes: DataFrame, by: Sequence[str], order: Sequence[str], chunk: float | None) -> DataFrame:
     """Pitch-change, on-root and named shares of a group's notes (null when nothing counts).
 
     `notes` carries `note` (midi) and `root` (pitch class), both nullable.
@@ -108,7 +108,7 @@ def note_shares(notes: DataFrame, by: Sequence[str], order: Sequence[str], chunk
     )
 
 
-def stroke_decay(onsets: DataFrame, frames: DataFrame, bucket: float, chunk: float, p: SignalParams = SIGNAL) -> DataFrame:
+def stroke_decay(onsets: DataFrame, frames: DataFrame, bucket: float, chunk: float | None, p: SignalParams = SIGNAL) -> DataFrame:
     """dB lost one slot after each stroke's peak frame; null when the next stroke or silence cuts it.
 
     `onsets` (track_id, onset_id, t, slot_seconds), `frames` (track_id, ft, level). The peak is the

@@ -20,7 +20,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def grid_constraints(beats: DataFrame, downbeats: DataFrame, bars: DataFrame, sections: DataFrame, chunk: float) -> DataFrame:
+def grid_constraints(beats: DataFrame, downbeats: DataFrame, bars: DataFrame, sections: DataFrame, chunk: float | None) -> DataFrame:
     """Beats (i, t) strictly increasing; downbeat indices in range; bars 0..n-1; sections from 0,
     contiguous, each at least a bar, ending at the last bar."""
     count = beats.groupBy("track_id").agg(F.count("*").alias("n_beats"))

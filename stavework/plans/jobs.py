@@ -17,7 +17,7 @@ from stavework.session import share
 KEYS = ["track_id"]
 
 
-def grid_job(beats: DataFrame, downbeats: DataFrame, durations: DataFrame, octave: DataFrame, numerator: int, chunk: float) -> DataFrame:
+def grid_job(beats: DataFrame, downbeats: DataFrame, durations: DataFrame, octave: DataFrame, numerator: int, chunk: float | None) -> DataFrame:
     """Bars of each track: clip filter, gap filling, octave repair where `octave` says half, modal phase.
 
     `beats` (track_id, event_id, t), `downbeats` (track_id, d_id, d), `octave` (track_id, octave).

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stavework.operators.ordered import with_position
 from stavework.operators.truth import REST_LABELS, RIFF_LABELS, VERDICTS
 
 
@@ -46,16 +47,15 @@ def read_labels(lines: DataFrame) -> DataFrame:
 
 
 def read_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """`tonic mode source`, at most two lines per file (`place` numbers a file's few lines)."""
-    from pyspark.sql.window import Window
+    """`tonic mode source`, at most two lines per file; `place` numbers a file's lines, however many there are."""
     f = F.split("record", r"\s+")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("line"))
     tonic, mode = F.get(f, F.lit(0)), F.get(f, F.lit(1))
     reject = (
         F.when(F.size(f) != 3, "expected 'tonic mode source'").when(F.col("place") > 2, "expected at most two key lines")
         .when(~F.regexp_like(tonic, F.lit(r"^[A-Ga-g][#b]?$")), "not a key").when(~mode.isin("major", "minor"), "not a key: mode is not major or minor")
     )
-    return lines.withColumn("place", place).select("*", tonic.alias("tonic"), mode.alias("mode"), reject.alias("reject"))
+    placed = with_position(lines, keys, ["line"], None, "place").withColumn("place", (F.col("place") + 1).cast("int"))
+    return placed.select("*", tonic.alias("tonic"), mode.alias("mode"), reject.alias("reject"))
 
 
 def read_credits(lines: DataFrame, keys: list[str]) -> DataFrame:
