@@ -53,7 +53,7 @@ STAGES = [
     ("mixing to target weights", mixed_sources),
 ]
 
-#: Learned scores and keyed draws are outside SQL; tests check each stage against a plain version.
+#: Learned scores and keyed draws are outside SQL; the stages' operators are tested one by one, the pipeline by its sizes and columns.
 ORACLE_SQL = None
 
 
