@@ -106,6 +106,11 @@ def transition_cost(spark, sf):
     return A.voicing_cost(ev, choice, B.EVENT_CHUNK).select("track_id", r6("cost"))
 
 
+@query("select_voicings")
+def select_voicings(spark, sf):
+    return A.select_voicings(share(events(spark, sf)), shapes(spark, sf), B.EVENT_CHUNK)
+
+
 PLACE = f"""{CE}, {S.BARS}, pl AS (SELECT c.track_id, c.event, c.label, c."end", b.bar, greatest(0, CAST(round_even((c.start - b.start) / (b."end" - b.start) * 8, 0) AS INTEGER)) AS raw FROM ce c JOIN bars b ON b.track_id = c.track_id AND c.start >= b.start - 1e-6 AND c.start < b."end" - 1e-6),
 p2 AS (SELECT track_id, event, label, "end", CASE WHEN raw >= 8 THEN bar + 1 ELSE bar END AS bar, CASE WHEN raw >= 8 THEN 0 ELSE raw END AS slot FROM pl),
 p3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, bar, slot ORDER BY event DESC) AS r FROM p2 WHERE bar < 30) WHERE r = 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from stavework.functions import harte as H
 from stavework.operators.intervals import best, point_in_span
 from stavework.operators.ordered import with_last_known, with_neighbour, with_runs
 from stavework.params import EPS_OVERLAP, HARMONY, HarmonyParams
+from stavework.session import share
 
 KEYS = ["track_id"]
 # Chord qualities as the shape dictionary spells them, and its root spellings.
@@ -133,6 +136,56 @@ def transitions(events: DataFrame, chunk: float | None) -> DataFrame:
     return nxt.groupBy("track_id", "label", "next_label").agg(F.count("*").alias("times"))
 
 
+def select_voicings(events: DataFrame, shapes: DataFrame, chunk: float | None = None, passes: int = 20) -> DataFrame:
+    """(track_id, label, pos, passes, converged): one shape per label of a track, settled by coordinate descent.
+
+    Each label starts on its cheapest shape. In turn, by first appearance, a label takes the shape with the least sum of its
+    cost times its uses and a tenth of the movement to and from its neighbours' shapes, the first of equal ones, until a pass
+    changes nothing. `events` (track_id, event, start, label); labels without a shape are left out before neighbours are told.
+    A track's group holds its distinct labels, the transitions between them and their shapes: what the dictionary bounds, however
+    long the track is.
+    """
+    cost = shape_cost(F.col("frets"), F.col("fingers"), F.col("base_fret"), F.col("barres"))
+    absolute = F.transform("frets", lambda f: F.when(f <= 0, f).otherwise(f + F.col("base_fret") - 1))
+    held = F.array_sort(F.collect_list(F.struct("pos", cost.alias("cost"), absolute.alias("at"))))
+    root, suffix = shape_key(F.col("label"))
+    labels = events.select("label").distinct().withColumn("root", root).withColumn("suffix", suffix)
+    known = share(labels.join(shapes.groupBy("root", "suffix").agg(held.alias("shapes")), ["root", "suffix"]).select("label", "shapes"))
+    played = share(events.join(known.select("label"), "label", "left_semi").select("track_id", "start", "event", "label"))
+    used = played.groupBy("track_id", "label").agg(F.count("*").alias("uses"), F.min(F.struct("start", "event")).alias("first"))
+    after = transitions(played, chunk).groupBy("track_id", "label").agg(F.collect_list(F.struct("next_label", "times")).alias("after"))
+    rows = used.join(known, "label").join(after, ["track_id", "label"], "left")
+    rows = rows.select("track_id", "label", "uses", F.col("first.start").alias("start"), F.col("first.event").alias("event"), "shapes", "after")
+    track, label, event = (rows.schema[c].dataType.simpleString() for c in ("track_id", "label", "event"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "event"]).reset_index(drop=True)
+        place = {name: i for i, name in enumerate(pdf["label"])}
+        costs = [np.array([s["cost"] for s in row]) * n for row, n in zip(pdf["shapes"], pdf["uses"])]
+        frets = [np.array([s["at"] for s in row]) for row in pdf["shapes"]]
+        near: list[dict] = [{} for _ in place]
+        for i, row in enumerate(pdf["after"]):
+            for x in row if row is not None else []:
+                j = place[x["next_label"]]
+                if i != j:
+                    near[i][j] = near[i].get(j, 0) + x["times"]
+                    near[j][i] = near[j].get(i, 0) + x["times"]
+        choice, turn, changed = [int(np.argmin(np.round(c, 9))) for c in costs], 0, True
+        while changed and turn < passes:
+            changed, turn = False, turn + 1
+            for i, own in enumerate(frets):
+                total = costs[i].copy()
+                for j, times in near[i].items():
+                    other = frets[j][choice[j]]
+                    total += 0.1 * times * np.where((own >= 0) & (other >= 0), np.abs(own - other), 0).sum(axis=1)
+                best_ = int(np.argmin(np.round(total, 9)))
+                changed, choice[i] = changed or best_ != choice[i], best_
+        pos = [row[c]["pos"] for row, c in zip(pdf["shapes"], choice)]
+        return pd.DataFrame({"track_id": pdf["track_id"], "label": pdf["label"], "pos": pos, "passes": turn, "converged": not changed})
+
+    return rows.groupBy("track_id").applyInPandas(settle, f"track_id {track}, label {label}, pos int, passes int, converged boolean")
+
+
 def voicing_cost(events: DataFrame, choice: DataFrame, chunk: float | None) -> DataFrame:
     """The cost of a track's voicings: uses times cost plus a tenth of the movement between neighbours.
 
