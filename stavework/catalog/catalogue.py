@@ -220,6 +220,13 @@ def video_id(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.video_id(url).alias("video_id"))
 
 
+@query("slug_for", r"""WITH s AS (SELECT page_id, url, regexp_replace(regexp_extract(regexp_replace(url, '[\\/]+$', ''), '([^\\/]*)$', 1), '\.[^.]*$', '') AS stem FROM pages),
+w AS (SELECT *, regexp_replace(regexp_replace(lower(stem), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g') AS words FROM s)
+SELECT page_id, CASE WHEN regexp_matches(url, 'youtu\.be/[A-Za-z0-9_-]{11}$') THEN lower(right(url, 11)) WHEN words = '' THEN 'song-' || substr(sha1(stem), 1, 8) ELSE words END AS slug FROM w""")
+def slug_for(spark, sf):
+    return read(spark, sf, "pages").select("page_id", T.slug_for(F.col("url")).alias("slug"))
+
+
 @query("find_run", """WITH w AS (SELECT page_id, 'https://youtu.be/v' || lpad(CAST(page_id % 50 AS VARCHAR), 10, '0') AS source FROM pages), r AS (SELECT page_id AS run, CASE WHEN page_id % 2 = 0 THEN 'https://youtu.be/' ELSE 'https://x.com/?v=' END || 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS source, 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS vid FROM pages)
 SELECT page_id, CAST(coalesce((SELECT min(run) FROM r WHERE r.source = w.source), (SELECT min(run) FROM r WHERE r.vid = right(w.source, 11))) AS DOUBLE) AS run FROM w""")
 def find_run(spark, sf):

@@ -8,7 +8,7 @@ from stavework import binding as B
 from stavework.catalog import sql as S
 from stavework.catalog.common import Registry, r3, r6
 from stavework.operators import grid as G, harmony_spans as H, intervals as I, ordered as O
-from stavework.operators.validate import grid_constraints as check_grid
+from stavework.operators.validate import grid_constraints as check_grid, level_constraints as check_levels
 from stavework.session import share
 
 query = Registry()
@@ -342,6 +342,14 @@ def note_end(spark, sf):
     return H.note_ends(beats(spark, sf).select("track_id", "event_id", "t"), B.bars(spark, sf), WEEK, DAY).select("track_id", "event_id", r6("note_end"))
 
 
+@query("level_constraints", f"""WITH {S.EV}, {S.BARS}, lv AS (SELECT DISTINCT track_id, floor(t / 86400) AS bar FROM ev), vo AS (SELECT DISTINCT track_id, floor(t / 86400) AS bar FROM ev WHERE event_type = 'error'),
+b AS (SELECT track_id, count(*) AS n FROM bars GROUP BY 1), l AS (SELECT track_id, count(*) AS c FROM lv GROUP BY 1), v AS (SELECT track_id, count(*) AS c FROM vo GROUP BY 1)
+SELECT b.track_id, 'not one loudness per bar' AS rule, coalesce(l.c, 0) AS n FROM b LEFT JOIN l USING (track_id) WHERE coalesce(l.c, 0) <> b.n UNION ALL SELECT b.track_id, 'not one vocal level per bar', v.c FROM b JOIN v USING (track_id) WHERE v.c <> b.n""")
+def level_constraints(spark, sf):
+    ev = B.events(spark, sf).select("track_id", F.floor(F.col("t") / DAY).alias("bar"), "event_type")
+    return check_levels(B.bars(spark, sf), ev.select("track_id", "bar").distinct(), ev.where("event_type = 'error'").select("track_id", "bar").distinct())
+
+
 @query("grid_constraints", f"""WITH {S.EV}, {S.BARS}, {S.SECTIONS},
 bt AS (SELECT track_id, floor(t / 3600) AS h, row_number() OVER (PARTITION BY track_id ORDER BY t, event_id) AS i FROM ev),
 v1 AS (SELECT track_id, 'beats not increasing' AS rule, count(*) AS n FROM (SELECT *, lag(h) OVER (PARTITION BY track_id ORDER BY i) AS p FROM bt) WHERE h <= p GROUP BY 1),

@@ -41,6 +41,19 @@ def grid_constraints(beats: DataFrame, downbeats: DataFrame, bars: DataFrame, se
     ])
 
 
+def level_constraints(bars: DataFrame, loudness: DataFrame, vocal: DataFrame) -> DataFrame:
+    """One loudness per bar, and either no vocal level or one per bar; `n` is how many there are instead.
+
+    `bars` (track_id, bar); `loudness` and `vocal` (track_id, ...) one row per level. A track of levels without bars breaks
+    the rule too.
+    """
+    tally = lambda df, name: df.groupBy("track_id").agg(F.count("*").alias(name))
+    c = tally(bars, "n_bars").join(tally(loudness, "loud"), KEYS, "full").join(tally(vocal, "voiced"), KEYS, "full").na.fill(0)
+    rules = F.array(F.struct(F.lit("not one loudness per bar").alias("rule"), F.col("loud").alias("n"), (F.col("loud") != F.col("n_bars")).alias("broken")),
+                    F.struct(F.lit("not one vocal level per bar").alias("rule"), F.col("voiced").alias("n"), ((F.col("voiced") > 0) & (F.col("voiced") != F.col("n_bars"))).alias("broken")))
+    return c.select("track_id", F.inline(rules)).where("broken").drop("broken")
+
+
 def slot_constraints(rows: DataFrame, slots: int) -> DataFrame:
     """Rows whose vector has not `slots` cells or whose strokes name a slot outside it."""
     out_of_range = F.exists("slots", lambda s: ~s.between(0, slots - 1))
