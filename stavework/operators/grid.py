@@ -38,7 +38,7 @@ def fill_gaps(beats: DataFrame, chunk: float | None, p: GridParams = GRID, tie:
     """Evenly spaced beats where an interval exceeds the local median by the factor.
 
     The local median reads the interval and up to eight on either side, so the rows are chunked
-    by position with an eight-row halo.
+    by position with an eight-row halo. Where it is zero, as among repeated beats, nothing is filled.
     """
     line = chunked(beats, KEYS, ["t", tie], chunk)
     placed = with_position(intervals(line, chunk, tie), KEYS, ["t", tie], chunk)
@@ -47,7 +47,7 @@ def fill_gaps(beats: DataFrame, chunk: float | None, p: GridParams = GRID, tie:
         with_halo(placed.where("gap is not null"), KEYS, "pos", p.gap_half_window)
         .withColumn("median", F.percentile("gap", 0.5).over(near)).where("_own")
     )
-    wide = local.where(F.col("gap") > p.gap_factor * F.col("median"))
+    wide = local.where((F.col("gap") > p.gap_factor * F.col("median")) & (F.col("median") > 0))
     n = F.greatest(F.lit(1), F.bround(F.col("gap") / F.col("median"), 0).cast("int") - 1)
     inserted = (
         wide.withColumn("n", n)

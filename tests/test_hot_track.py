@@ -34,6 +34,8 @@ def test_beats(beats):
     for run in (lambda c: G.fill_gaps(strict, c).withColumn("t", F.round("t", 6)), lambda c: G.double_beats(beats, c), lambda c: G.tempo(beats, c),
                 lambda c: G.thin(strict, K, "t", 1.1, c), lambda c: G.thin(strict, K, "t", 1.1, c, long_run=5)):
         same(run(None), run(7.0))
+    still = beats.select("track_id", "event_id", F.floor("t").cast("double").alias("t"))
+    assert G.fill_gaps(still.withColumn("t", F.lit(1.0)), None).where("origin <> 'detected'").count() == 0 and G.fill_gaps(still, None).count() >= still.count()
     placed = O.with_position(strict, K, ["t"], 7.0, "i").cache()
     down = placed.where("event_id % 5 = 0").select("track_id", "i")
     same(G.normalise_octave(placed.select("track_id", "i", "t"), down, 0.9, None), G.normalise_octave(placed.select("track_id", "i", "t"), down, 0.9, 7.0))
