@@ -19,7 +19,7 @@ from stavework.session import release, share
 
 SHORT, OVERLAP = 250, 200
 BUCKET_TOKENS = 2_000_000
-FRAGMENTS = 8
+FRAGMENTS, FIRST_FRAGMENTS = 8, 5
 _SHORT_SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -156,14 +156,14 @@ def _common_needed(n: Column, m: Column, percent: int) -> Column:
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: DataFrame) -> DataFrame:
-    """(cls, fragment, codes): the sets of the classes in `chosen` (cls, id, rep), cut by ranges of the order."""
+    """(cls, fragment, codes, rest): the sets of the classes in `chosen` (cls, id, rep), cut by ranges of the order; `rest` counts the codes of later fragments."""
     def run(batches):
         seen: set = set()
         step = np.uint64((1 << 64) // FRAGMENTS)
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 codes, bounds = _sets(part.column("text"), width)
-                out: list = [[], [], []]
+                out: list = [[], [], [], []]
                 for i, key in enumerate(part.column("cls").to_pylist()):
                     if key in seen:
                         continue
@@ -171,14 +171,13 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: Da
                     own = codes[bounds[i] : bounds[i + 1]]
                     cuts = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) * step)
                     for k, piece in enumerate(np.split(own, cuts)):
-                        if len(piece):
-                            out[0].append(key), out[1].append(k), out[2].append(piece.view(np.int64))
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["cls", "fragment", "codes"])
+                        out[0].append(key), out[1].append(k), out[2].append(piece.view(np.int64)), out[3].append(len(own) - (int(cuts[k]) if k < len(cuts) else len(own)))
+                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int32())], names=["cls", "fragment", "codes", "rest"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rep"), F.col(text_col).alias("text"))
     chosen = chosen.select("cls", F.col("id").alias("cid"), F.col("rep").alias("crep"))
     wanted = texts.join(chosen, texts["id"].eqNullSafe(F.col("cid")) & (F.col("rep") == F.col("crep"))).select("cls", "text")
-    return wanted.mapInArrow(run, "cls long, fragment int, codes array<long>").dropDuplicates(["cls", "fragment"])
+    return wanted.mapInArrow(run, "cls long, fragment int, codes array<long>, rest int").dropDuplicates(["cls", "fragment"])
 
 
 def _similar(n: Column, m: Column, percent: int) -> Column:
@@ -186,12 +185,22 @@ def _similar(n: Column, m: Column, percent: int) -> Column:
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v, nu, nv) that link: partial overlaps per fragment, summed per pair."""
-    left = parts.select(F.col("cls").alias("u"), "fragment", F.col("codes").alias("a"))
-    right = parts.select(F.col("cls").alias("v"), "fragment", F.col("codes").alias("b"))
-    partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).cast("long").alias("o"))
-    total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("o").alias("o"))
-    return total.where(F.col("o") * 100 >= (F.col("nu") + F.col("nv") - F.col("o")) * percent).select("u", "v")
+    """The pairs (u, v, nu, nv) that link: partial overlaps per fragment, summed per pair.
+
+    The first fragments are counted for every pair; later ones only for pairs that would still link if
+    all that is left of the smaller set were common. Every class has a row for each fragment, so no pair is lost.
+    """
+    counted = pairs.withColumn("o", F.lit(0).cast("long"))
+    for low, high in ((0, FIRST_FRAGMENTS), (FIRST_FRAGMENTS, FRAGMENTS)):
+        own = parts.where((F.col("fragment") >= low) & (F.col("fragment") < high))
+        left = own.select(F.col("cls").alias("u"), "fragment", F.col("codes").alias("a"), F.col("rest").alias("ra"))
+        right = own.select(F.col("cls").alias("v"), "fragment", F.col("codes").alias("b"), F.col("rest").alias("rb"))
+        partial = counted.withColumnRenamed("o", "before").join(left, "u").join(right, ["v", "fragment"])
+        partial = partial.select("u", "v", "nu", "nv", "before", F.least("ra", "rb").alias("rest"), F.size(F.array_intersect("a", "b")).cast("long").alias("o"))
+        summed = partial.groupBy("u", "v", "nu", "nv", "before").agg(F.sum("o").alias("o"), F.min("rest").alias("rest"))
+        at_most = F.col("before") + F.col("o") + F.col("rest")
+        counted = summed.where(at_most * 100 >= (F.col("nu") + F.col("nv") - at_most) * percent).select("u", "v", "nu", "nv", (F.col("before") + F.col("o")).alias("o"))
+    return counted.select("u", "v")
 
 
 def _likely(pairs: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
@@ -202,16 +211,30 @@ def _likely(pairs: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.size(F.array_intersect("a", "b")) >= _common_needed(F.col("nu"), F.col("nv"), percent)).select("u", "v", "nu", "nv").distinct()
 
 
-def _labelled(tops: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Posting lists (token, cls, n, comp, main): members with the component known so far and the list's commonest one, where a list holds several."""
+def postings(tops: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, level, n, after): the head tokens at which a link can first show; `after` counts the head from there to its end.
+
+    At the first common token of two heads all others they share come later, so a link that needs k common tokens shows
+    at one with k left in both heads. What the sizes in a token's list allow bounds k from below: between two sizes the
+    need is least at one of them, but for two tokens of rounding.
+    """
+    rows = tops.select("cls", "level", "n", F.size("head").alias("held"), F.posexplode("head").alias("place", "token"))
+    lists = rows.groupBy("token").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members")).where("members > 1").drop("members")
+    n, after = F.col("n"), F.col("held") - F.col("place")
+    smallest, largest = F.greatest("least", F.ceil(n * percent / 100)), F.least("most", F.floor(n * 100 / percent))
+    need = F.least(_common_needed(n, smallest, percent), _common_needed(n, largest, percent)) - 2
+    return rows.join(lists, "token").where(after >= need).select("token", "cls", "level", "n", after.alias("after"))
+
+
+def _labelled(posts: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Posting lists with the component known so far (comp) and the list's commonest one (main), where a list holds several."""
     if edges is None:
-        known = tops.withColumn("comp", F.col("cls"))
+        known = posts.withColumn("comp", F.col("cls"))
     else:
         found = components(edges)
-        known = tops.join(found, tops["cls"] == found["node"], "left").withColumn("comp", F.coalesce("component", "cls"))
-    posts = known.select("cls", "level", "n", "comp", F.explode("head").alias("token"))
-    main = posts.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    return posts.join(main, "token")
+        known = posts.join(found, posts["cls"] == found["node"], "left").select(*posts.columns, F.coalesce("component", "cls").alias("comp"))
+    main = known.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    return known.join(main, "token")
 
 
 def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -222,9 +245,9 @@ def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3)
     pair at its first common token. Pairs within a known component are never formed, so the last
     round is exact and the ones before only make it small. Pairs are counted in full only if their heads agree enough.
     """
-    edges = None
+    edges, posts = None, share(postings(tops, percent))
     for turn in range(rounds):
-        lists = share(_labelled(tops, edges))
+        lists = share(_labelled(posts, edges))
         if lists.isEmpty():
             return edges if edges is not None else lists.select(F.col("cls").alias("u"), F.col("cls").alias("v"))
         hub = lists.where("comp = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)), F.col("cls").alias("hub"), F.col("n").alias("hn"))).alias("h")).select("token", "h.hub", "h.hn")
@@ -233,15 +256,15 @@ def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3)
         found = linked(_likely(pairs, tops, percent), parts, percent)
         edges = share(found if edges is None else edges.union(found))
         release(tops.sparkSession)
-    lists = share(_labelled(tops, edges))
+    lists = share(_labelled(posts, edges))
     if lists.isEmpty():
         return edges
     full = lists.join(tops.select("cls", "level", "head"), ["cls", "level"])
-    a = full.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("head").alias("ha"))
-    b = full.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("head").alias("hb"), (F.col("comp") != F.col("main")).alias("outside"))
-    same = F.array_intersect("ha", "hb")
+    a = full.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("after").alias("fa"), F.col("head").alias("ha"))
+    b = full.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("after").alias("fb"), F.col("head").alias("hb"), (F.col("comp") != F.col("main")).alias("outside"))
+    same, need = F.array_intersect("ha", "hb"), _common_needed(F.col("na"), F.col("nb"), percent)
     once = (F.col("ca") != F.col("cb")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & _similar(F.col("na"), F.col("nb"), percent)
-    once = once & (F.size(same) >= _common_needed(F.col("na"), F.col("nb"), percent)) & (F.get(same, F.lit(0)) == F.col("token"))
+    once = once & (F.least("fa", "fb") >= need) & (F.size(same) >= need) & (F.get(same, F.lit(0)) == F.col("token"))
     pairs = a.join(b, "token").where(once)
     pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nu"),
                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv")).distinct()
