@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stavework.llm import words as W
@@ -23,12 +24,21 @@ from stavework.llm import words as W
 REPEATS, SAMPLED = 8, 2
 EDITS = 0.2
 SHORTEST = 8
-START_BYTES = 5
+START_BYTES, LEAST_STARTS = 5, 4
 BLOCK_BYTES = 4 << 20
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _PAD = np.uint64(0)
 _CACHE: dict = {}
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with each character of a script that is written without spaces as a word of its own."""
+    data, _ = W.text_buffer(texts)
+    if not ((data >= 0xE0) & (data != 0xE2)).any():  # no such script has other lead bytes; 0xE2 begins quotes and dashes
+        return texts
+    return pc.replace_substring_regex(texts.cast(pa.large_string()), UNSPACED, r" \0 ")
+
+
 def window_size(words: int) -> int:
     """Windows of an item: the largest of 6, 9, 13, 19, 28, ... that is at most three quarters of it."""
     size = SHORTEST * 3 // 4
@@ -124,7 +134,7 @@ class Index:
     """All windows of the items under all repeats, and short items whole and by halves."""
 
     def __init__(self, texts: list[str]):
-        hashes, starts, ends, first, _ = W.words(pa.array(texts, pa.string()))
+        hashes, starts, ends, first, _ = W.words(spaced(pa.array(texts, pa.string())))
         hashes = np.where(hashes == _PAD, np.uint64(1), hashes)
         self.items = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
         content = (ends - starts) >= START_BYTES
@@ -134,7 +144,7 @@ class Index:
                 size = window_size(len(words))
                 offsets = np.arange(len(words) - size + 1)
                 heavy = offsets[content[first[i] + offsets]]
-                by_size.setdefault(size, []).append((i, heavy if len(heavy) else offsets))
+                by_size.setdefault(size, []).append((i, heavy if len(heavy) >= LEAST_STARTS else offsets))
         self.sizes = []
         for size, entries in sorted(by_size.items()):
             flat, begin, owner, offset, place = [], [], [], [], 0
@@ -164,7 +174,7 @@ class Index:
 
     def matches(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         """Per text the (item, distance, first word) of each item within the edit limit, at its best place."""
-        hashes, _, _, first, _ = W.words(texts)
+        hashes, _, _, first, _ = W.words(spaced(texts))
         n = len(first) - 1
         found: list[dict] = [{} for _ in range(n)]
         if not (self.sizes or self.whole) or not len(hashes):
@@ -262,9 +272,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, distance, item_words, start_word): one row per document row and item found in it.
 
     An item is found where some part of the text is within 0.2 of its words in edit distance (words, A-Z lower-cased).
+    Windows start on words of START_BYTES bytes or more; an item with under LEAST_STARTS such starts has all its windows indexed,
+    as one edit would else take the few away.
     Each hit is exact; the search reaches the recall that tests measure, and always finds verbatim passages.
-    Items under eight words are always found, within no edit up to four words and within one up to seven; in a script
-    written without spaces a word is all that stands between two spaces.
+    Items under eight words are always found, within no edit up to four words and within one up to seven. In scripts
+    written without spaces (UNSPACED) every character is a word, in items, edits, item_words and start_word alike.
     Null, empty and blank texts match nothing; nor do null, empty and blank items. Repeated items and
     documents each give their rows; other columns are not read; empty tables give no rows.
     """
@@ -272,7 +284,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = None
     for ids, texts in item_blocks(items, item_col, item_text):
         names = F.array(*[F.lit(i) for i in ids])
-        lengths = F.array(*[F.lit(len(t.split())) for t in texts])
+        lengths = F.array(*[F.lit(int(n)) for n in np.diff(W.words(spaced(pa.array(texts, pa.string())))[3])])
         hits = base.select(id_col, F.explode(found_items(texts, "_text")).alias("m"))
         rows = hits.select(id_col, F.element_at(names, F.col("m.item") + 1).alias(item_col), F.col("m.distance").alias("distance"),
                            F.element_at(lengths, F.col("m.item") + 1).alias("item_words"), F.col("m.start_word").alias("start_word"))
