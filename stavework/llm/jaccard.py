@@ -305,3 +305,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked_rows = signed.where("n > 0").join(named, "cls").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     alone = signed.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked_rows.union(alone)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each group of near duplicates: that of the least id, of several texts under it that of the least hash.
+
+    * A document is an id with a text. Rows that share an id but not the text are documents of their own, so no text
+      is lost through another one's id; rows that share both are one, of which the least row stays (maps, which have no
+      order, compare as JSON).
+    * Rows without an id can't be named by a group and stay, as do null, empty and blank texts of any id.
+    * All columns are kept, whatever their names and types; an empty table gives no rows.
+    """
+    columns = docs.columns
+    key = F.when(F.col(f"`{id_col}`").isNotNull(), F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    kept = share(jaccard_components(keyed, "key", "text")).where("key = component_id").select("key").distinct()
+    unordered = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    order = F.struct(*[F.col("row").getField(c) for c in columns if c not in unordered], *[F.to_json(F.struct(F.col("row").getField(c))) for c in unordered])
+    single = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", order).alias("row"))
+    rows = single.select("row").union(keyed.where("key is null").select("row"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -250,3 +250,58 @@ def test_surrogates_of_european_numbers_labels_and_addresses(spark):
         assert got[i]["_entities"] == 1 and secret not in after and len(after) == len(before), (form, after)
         assert re.sub(r"[0-9A-Za-z]", "", after) == re.sub(r"[0-9A-Za-z]", "", before), (form, after)
     assert [got[100 + i]["text"] for i in range(len(same))] == same
+
+
+def test_leaks_whatever_the_length_and_the_long_words():
+    import pyarrow as pa
+    rnd = random.Random(11)
+    short = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice("0123456789")
+    for n in (8, 10, 12, 16, 20, 30, 59):
+        for long_words in (0, 1, 2, 3, 4, 6):
+            items, texts = [], []
+            for t in range(40):
+                w = [short() for _ in range(n)]
+                for p in rnd.sample(range(n - decontam.window_size(n) + 1), min(long_words, n - decontam.window_size(n) + 1)):
+                    w[p] = "long" + w[p]
+                items.append(" ".join(w))
+                for _ in range(3):
+                    e = list(w)
+                    for _ in range(int(decontam.EDITS * n)):
+                        kind, p = rnd.randrange(3), rnd.randrange(len(e))
+                        e[p : p + (kind < 2)] = ["edit"] if kind else []
+                    texts.append((t, " ".join(["before"] * 9 + e + ["after"] * 9)))
+            got = decontam.Index(items).matches(pa.array([x for _, x in texts]))
+            assert sum(any(i == t for i, _, _ in g) for (t, _), g in zip(texts, got)) >= 0.9 * len(texts), (n, long_words)
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    rnd = random.Random(4)
+    han = lambda k: "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(k))
+    items = [(k, han(20 + k)) for k in range(20)] + [(50, han(4)), (51, "a\u00a0b c\u3000d e f g h i j")]
+    texts = []
+    for k, item in items[:20]:
+        for edits in (0, 1, 3):
+            e = list(item)
+            for _ in range(edits):
+                e[rnd.randrange(len(e))] = han(1)
+            texts.append((10 * k + edits, han(30) + "".join(e) + "\u3002" + han(30)))
+    texts += [(500, han(5) + items[20][1] + han(5)), (501, "x " + items[21][1]), (502, han(200)), (503, "plain words \u201cquoted\u201d " * 5)]
+    got = decontam.contaminated(rows(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d // 10 if d < 500 else d - 450) for d, _ in texts if d < 502}
+    assert {r["item_id"]: r["item_words"] for r in got} == {**{k: 20 + k for k in range(20)}, 50: 4, 51: 8}
+
+
+def test_leaks_in_long_repeated_and_no_documents(spark):
+    item = " ".join(f"benchmark{k}" for k in range(20))
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    long = "filler words here " * 200_000 + item + " filler" * 1000
+    got = decontam.contaminated(rows(spark, [(1, long), (2, item), (2, item), (None, item), (3, "filler")]), table).collect()
+    assert sorted((str(r["doc_id"]), r["distance"]) for r in got) == [("1", 0), ("2", 0), ("2", 0), ("None", 0)]
+    assert decontam.contaminated(rows(spark, []), table).count() == 0 and decontam.without_leaks(rows(spark, []), table).count() == 0
+
+
+def test_one_of_each_group_loses_no_text(spark):
+    base, other = "one two three four five six seven", "quite another text with no copy at all"
+    got = jaccard.one_of_each_group(rows(spark, [(1, other), (1, base), (2, base), (2, base), (3, ""), (3, None), (4, ""), (None, base)]).withColumn("extra", F.create_map(F.lit("a"), "doc_id")))
+    assert got.columns == [*rows(spark, []).columns, "extra"]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([("1", other), ("1", base), ("3", ""), ("3", "None"), ("4", ""), ("None", base)])
