@@ -19,14 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates.
-
-    Rows that share an id are one document: the least of them stays. Rows without an id can't be named by a group and stay.
-    """
-    groups = share(jaccard.jaccard_components(docs))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    return single.select(*[F.col(f"row.`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates; a document is an id with a text. Rows without an id can't be named by a group and stay."""
+    return jaccard.one_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
