@@ -33,23 +33,24 @@ _NAME_WORD = r"\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)?"
 _PHONE_WORD = "phone|mobile|cell|call|fax|tel|telefon|téléphone|teléfono|telefono|portable|móvil|mobil|handy|rufnummer|whatsapp"
 _H = "[0-9A-Fa-f]{1,4}"
 _PHONES = [
-    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![ .-]?\d)",
+    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]\d{3,4}(?![ .-]?\d)",
+    r"(?<![\d+(./-])(?<!\d )(?:1[ .-])?\d{3}(?<sep>[ .-])\d{3}\k<sep>\d{4}(?![ .-]?\d)",
     r"(?<!\d)\+\d(?:(?:[ ./-]|[ ./-]?\(|\)[ ./-]?)?\d){7,14}(?!\d)",
     r"(?<![\d+(./-])0\d{1,4}(?<gap>[ .-])(?=(?:[ .-]?\d){5,10}(?!\d))\d{2,4}(?:\k<gap>\d{2,4}){2,4}(?![ .-]?\d)",
     r"(?<![\d+(./-])(?:[6-9]\d{2}(?: \d{2}){3}|[89]\d \d{3}(?: \d{2}){2})(?![ .-]?\d)",
     r"(?<![\d+(./-])(?:0\d{1,4}[ /-]|\(0\d{1,4}\)[ /-]?)\d{5,9}(?![\d.-]\d|\d)",
-    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)",
+    r"(?<![\d+(])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]\d{3,4}(?!\d)",
     rf"(?=\d{{7}})(?<=(?iu:{_PHONE_WORD})(?iu: number| me| us| no\.?| nr\.?)?(?iu: at| on| is| unter| au| al)?\s?[.:]{{0,2}}\s{{0,2}})\d{{7,15}}(?!\d)",
 ]
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)|"
     rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[0-9A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|:(?::{_H}){{1,7}})(?![\p{{L}}\p{{N}}:])",
-    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d])",
+    "card": r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?<cut>[ -])\d{4}\k<cut>\d{4}\k<cut>\d{1,4}(?:\k<cut>\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": "|".join(_PHONES),
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "secret": r"(?<![\p{L}\d])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![\p{L}\d])|(?<=[=:\s\"'])(?<=(?i:key|token|secret|passw(?:or)?d)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9/+_-]{8,}+",
+    "secret": r"(?<![\p{L}\d])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![\p{L}\d])|(?<=[=:\s\"'])(?<=(?i:key|token|secret|passw(?:or)?d)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?=[A-Za-z0-9/+_-]*(?:\d|[a-z][A-Z]))[A-Za-z0-9/+_-]{8,}+",
     "name": rf"(?<![\p{{L}}\d])(?:{_TITLE})\.? {_NAME_WORD}(?: {_NAME_WORD})?",
 }
 ANY = "|".join(PATTERNS.values())

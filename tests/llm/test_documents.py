@@ -305,3 +305,12 @@ def test_one_of_each_group_loses_no_text(spark):
     got = jaccard.one_of_each_group(rows(spark, [(1, other), (1, base), (2, base), (2, base), (3, ""), (3, None), (4, ""), (None, base)]).withColumn("extra", F.create_map(F.lit("a"), "doc_id")))
     assert got.columns == [*rows(spark, []).columns, "extra"]
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([("1", other), ("1", base), ("3", ""), ("3", "None"), ("4", ""), ("None", base)])
+
+
+def test_ordinary_numbers_and_words_stay(spark):
+    same = ["10 000 000 people", "12 000 000 euros", "scores 300 400 500", "years 1990 1995 2000", "ISBN 978-3-16-148410-0", "1914-1918 1939-1945", "RFC 2616 2818 7230", "the key: importance", "1 234 567 890 in all", "pages 100-200-300"]
+    gone = ["call 555-123-4567 now", "call 555 123 4567 now", "1.555.123.4567", "(168) 555-5254", "card 4111 1111 1111 1111", "card 4111-1111-1111-1111", "card 4111111111111111", "card 3782 822463 10005", "secret: abcdEfghi"]
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(rows(spark, list(enumerate(same + gone))), "key").collect()}
+    assert [got[i] for i in range(len(same))] == same
+    assert not set(gone) & set(got.values())
+    assert pii.replaced(rows(spark, []), "key").count() == 0
