@@ -24,7 +24,7 @@ from stavework.llm import words as W
 REPEATS, SAMPLED = 8, 2
 EDITS = 0.2
 SHORTEST = 8
-START_BYTES, LEAST_STARTS = 5, 4
+START_BYTES, LEAST_STARTS = 5, 2
 BLOCK_BYTES = 4 << 20
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _PAD = np.uint64(0)
@@ -144,7 +144,8 @@ class Index:
                 size = window_size(len(words))
                 offsets = np.arange(len(words) - size + 1)
                 heavy = offsets[content[first[i] + offsets]]
-                by_size.setdefault(size, []).append((i, heavy if len(heavy) >= LEAST_STARTS else offsets))
+                longest = np.sort(np.argsort(-(ends - starts)[first[i] + offsets], kind="stable")[:LEAST_STARTS])
+                by_size.setdefault(size, []).append((i, heavy if len(heavy) >= LEAST_STARTS else longest))
         self.sizes = []
         for size, entries in sorted(by_size.items()):
             flat, begin, owner, offset, place = [], [], [], [], 0
@@ -272,8 +273,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, distance, item_words, start_word): one row per document row and item found in it.
 
     An item is found where some part of the text is within 0.2 of its words in edit distance (words, A-Z lower-cased).
-    Windows start on words of START_BYTES bytes or more; an item with under LEAST_STARTS such starts has all its windows indexed,
-    as one edit would else take the few away.
+    Windows start on words of START_BYTES bytes or more; an item with under LEAST_STARTS such starts has the windows
+    on its LEAST_STARTS longest words indexed, as one edit would else take the few away.
     Each hit is exact; the search reaches the recall that tests measure, and always finds verbatim passages.
     Items under eight words are always found, within no edit up to four words and within one up to seven. In scripts
     written without spaces (UNSPACED) every character is a word, in items, edits, item_words and start_word alike.
