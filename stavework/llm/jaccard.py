@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stavework.llm import words as W
@@ -73,75 +74,105 @@ def _zones(texts: pa.Array, width: int, seen: set):
             yield key, 1, n, half
 
 
-def token_counts(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
-    """(token, df) of zone tokens that two or more texts hold.
+def _runs(piece: int, zones: list, buckets: int) -> pa.RecordBatch:
+    """What a piece of texts sends: a run of its distinct zone tokens for every bucket, and its own table.
 
-    Tasks count their own tokens and send sorted runs, one per range of tokens; a token that many
-    texts hold is one entry of each run.
+    A run says at which of the piece's distinct tokens it starts. The table (bucket below zero) holds class, level, set
+    size and zone size of each zone, and in the order of the tokens which zones hold them; it travels to the piece's answers.
     """
-    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
+    sizes = np.array([len(z[3]) for z in zones])
+    order = np.argsort(flat := np.concatenate([z[3] for z in zones]), kind="stable")
+    tokens, counts = np.unique(flat, return_counts=True)
+    owners = np.repeat(np.arange(len(zones), dtype=np.uint16 if len(zones) <= 1 << 16 else np.uint32), sizes)[order]
+    slots = (tokens >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(tokens), np.int64)
+    cuts = np.flatnonzero(np.diff(slots, prepend=-1)).tolist()
+    counts, n = counts.astype(np.uint32), len(cuts)
+    spans = list(zip(cuts, [*cuts[1:], len(tokens)]))
+    own = np.array([(z[0], z[1], z[2], len(z[3])) for z in zones], np.int64)
+    return pa.record_batch([
+        pa.array([*slots[cuts].tolist(), -1 - (piece + (piece >> 32)) % buckets], pa.int32()),
+        pa.array([piece] * (n + 1), pa.int64()),
+        pa.array([*cuts, 0], pa.int64()),
+        pa.array([*[tokens[a:b].tobytes() for a, b in spans], b""], pa.binary()),
+        pa.array([*[counts[a:b].tobytes() for a, b in spans], counts.tobytes()], pa.binary()),
+        pa.array([None] * n + [own.tobytes()], pa.binary()),
+        pa.array([None] * n + [owners.tobytes()], pa.binary()),
+    ], names=["bucket", "piece", "start", "tokens", "counts", "zones", "owners"])
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The runs of one bucket with the tokens that two or more zones hold: their places in the piece and counts in the corpus. Tables pass."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(["piece", "tokens", "counts", "zones", "owners"]).append_column("places", pa.array([None] * len(table), pa.binary()))
+    runs = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+    sizes = np.array([len(x) for x in runs])
+    tokens = np.concatenate(runs)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).astype(np.int64)
+    ends = np.cumsum(sizes)
+    places = np.arange(len(tokens)) - np.repeat(ends - sizes - table.column("start").to_numpy(), sizes)
+    order = np.argsort(tokens, kind="stable")
+    starts = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order[0]] ^ np.uint64(1)))
+    sums = np.add.reduceat(counts[order], starts)
+    df = np.empty(len(tokens), np.int64)
+    df[order] = np.repeat(sums, np.diff(starts, append=len(tokens)))
+    kept = np.flatnonzero(df > 1)
+    cuts = np.searchsorted(kept, np.concatenate([[0], ends]))
+    out: list = [[], [], [], []]
+    for i, piece in enumerate(table.column("piece").to_pylist()):
+        if cuts[i] < cuts[i + 1]:
+            at = kept[cuts[i] : cuts[i + 1]]
+            out[0].append(piece), out[1].append(tokens[at].tobytes()), out[2].append(df[at].tobytes()), out[3].append(places[at].astype(np.int32).tobytes())
+    none = pa.array([None] * len(out[0]), pa.binary())
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), none, none, pa.array(out[3], pa.binary())],
+                    names=["piece", "tokens", "counts", "zones", "owners", "places"])
+
+
+def _piece_heads(table: pa.Table) -> pa.Table:
+    """(cls, level, n, head) of one piece's zones, from its table and the answers to its runs."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["zones"] is not None)
+    answers = [r for r in rows if r["zones"] is None]
+    zones = np.frombuffer(own["zones"], np.int64).reshape(-1, 4)
+    read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in answers] or [np.empty(0, kind)])
+    tokens, df, places = read("tokens", np.int64), read("counts", np.int64), read("places", np.int32)
+    counts = np.frombuffer(own["counts"], np.uint32).astype(np.int64)
+    owners = np.frombuffer(own["owners"], np.uint32 if len(own["owners"]) > 2 * counts.sum() else np.uint16)
+    held = counts[places]
+    ends = np.cumsum(held)
+    at = np.repeat(np.cumsum(counts)[places] - held - (ends - held), held) + np.arange(held.sum())
+    owner, df, tokens = owners[at].astype(np.int64), np.repeat(df, held), np.repeat(tokens, held)
+    order = np.lexsort((tokens, df, owner))
+    shared = np.bincount(owner, minlength=len(zones))
+    keep = np.minimum(np.maximum(zones[:, 2] // 5 + 1 - (zones[:, 3] - shared), 0), shared)
+    firsts = np.cumsum(shared) - shared
+    some = np.flatnonzero(keep)
+    values = [tokens[order[a : a + k]] for a, k in zip(firsts[some].tolist(), keep[some].tolist())]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(keep[some])]).astype(np.int32))
+    heads = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
+    return pa.table([pa.array(zones[some, 0]), pa.array(zones[some, 1].astype(np.int32)), pa.array(zones[some, 2]), heads], names=["cls", "level", "n", "head"])
+
+
+def heads(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
+    """(cls, level, n, head): the rarest zone tokens of each text, as many as a linked text can't all lack.
 
+    Of z zone tokens at most n // 5 may be missing in a linked text, so one of the n // 5 + 1 rarest
+    is common. Tokens that one text alone holds come first in the order and are not listed.
+
+    Pieces of texts ask for the counts of their distinct tokens by bucket and get those of shared ones back, so tokens never
+    become rows and one that many texts hold is one entry of each piece. A piece is named by its place in its partition.
+    """
     def run(batches):
         seen: set = set()
+        piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in W.pieces(batch, "text", 2 * W.PIECE):
-                zones = [z[3] for z in _zones(part.column("text"), width, seen)]
-                if not zones:
-                    continue
-                tokens, counts = np.unique(np.concatenate(zones), return_counts=True)
-                slots = (tokens >> shift).astype(np.int64) if shift is not None else np.zeros(len(tokens), np.int64)
-                cuts = np.flatnonzero(np.diff(slots, prepend=-1))
-                ends = [*cuts[1:].tolist(), len(tokens)]
-                counts = counts.astype(np.uint32)
-                yield pa.record_batch([
-                    pa.array(slots[cuts].astype(np.int32)),
-                    pa.array([tokens[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)], pa.binary()),
-                ], names=["bucket", "tokens", "counts"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        starts = np.flatnonzero(np.diff(tokens, prepend=tokens[0] ^ np.uint64(1)))
-        sums = np.add.reduceat(counts[order].astype(np.int64), starts)
-        keep = sums > 1
-        return pa.table({"token": tokens[starts][keep].view(np.int64), "df": sums[keep]})
-
-    runs = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, tokens binary, counts binary")
-    return runs.groupBy("bucket").applyInArrow(merge, "token long, df long")
-
-
-def zone_rows(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(cls, zone, token) of every zone token; `zone` packs set size, zone size and level, so that rows stay narrow."""
-    def run(batches):
-        seen: set = set()
-        for batch in batches:
-            for part in W.pieces(batch, "text"):
-                rows = list(_zones(part.column("text"), width, seen))
-                if rows:
-                    sizes = np.array([len(r[3]) for r in rows])
-                    values = pa.array(np.concatenate([r[3] for r in rows]).view(np.int64))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                                           pa.array([r[2] for r in rows], pa.int64()), lists], names=["cls", "level", "n", "tokens"])
+                if zones := list(_zones(part.column("text"), width, seen)):
+                    yield _runs(piece, zones, buckets)
+                    piece += 1
 
-    arrays = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, level int, n long, tokens array<long>")
-    return arrays.select("cls", F.shiftleft("n", 33).bitwiseOR(F.shiftleft(F.size("tokens").cast("long"), 1)).bitwiseOR(F.col("level")).alias("zone"), F.explode("tokens").alias("token"))
-
-
-def heads(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(cls, level, n, head): the rarest zone tokens of each text, as many as a linked text can't all lack.
-
-    Of z zone tokens at most n // 5 may be missing in a linked text, so one of the n // 5 + 1 rarest
-    is common. Tokens that one text alone holds come first in the order and are not listed.
-    """
-    shared = rows.join(counts, "token").groupBy("cls", "zone").agg(F.collect_set(F.struct("df", "token")).alias("held"))
-    shared = shared.select("cls", "held", (F.col("zone").bitwiseAND(F.lit(1))).cast("int").alias("level"), F.shiftright("zone", 33).alias("n"), F.shiftright("zone", 1).bitwiseAND(F.lit((1 << 32) - 1)).alias("z"))
-    keep = (F.floor(F.col("n") / 5) + 1 - (F.col("z") - F.size("held"))).cast("int")
-    ordered = F.slice(F.array_sort("held"), F.lit(1), F.greatest("keep", F.lit(0)))
-    return shared.withColumn("keep", keep).where("keep > 0").select("cls", "level", "n", F.transform(ordered, lambda s: s["token"]).alias("head"))
+    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, piece long, start long, tokens binary, counts binary, zones binary, owners binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered, "piece long, tokens binary, counts binary, zones binary, owners binary, places binary")
+    return answers.groupBy("piece").applyInArrow(_piece_heads, "cls long, level int, n long, head array<long>").dropDuplicates(["cls", "level"])
 
 
 def _common_needed(n: Column, m: Column, percent: int) -> Column:
@@ -287,9 +318,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = signed.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(0, (int(total) // BUCKET_TOKENS)).bit_length()
     full = docs.where(F.col(text_col).isNotNull())
-    counts = share(token_counts(full, text_col, width, buckets))
-    release(docs.sparkSession)
-    tops = share(heads(zone_rows(full, text_col, width), counts))
+    tops = share(heads(full, text_col, width, buckets))
     release(docs.sparkSession)
     token = tops.select("cls", F.explode("head").alias("token"))
     several = token.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("token")
