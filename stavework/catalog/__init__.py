@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["rhythm", "grid", "harmony", "strums", "signal", "structure", "truth", "arrange", "catalogue", "jobs"]
+AREAS = ["rhythm", "grid", "harmony", "strums", "signal", "structure", "truth", "arrange", "catalogue", "jobs", "members"]
 
 
 def _modules():

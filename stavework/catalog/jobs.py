@@ -10,8 +10,8 @@ from stavework.catalog.arrange import CAPO, FLATOF, SFX, shapes
 from stavework.catalog.common import Registry, r3, r6
 from stavework.catalog.harmony import dims, qbars, vectors
 from stavework.catalog.signal import note_bars
-from stavework.catalog.strums import job_bars, seed
-from stavework.catalog.truth import truth_patterns
+from stavework.catalog.strums import RECORDS, job_bars, job_sql, seed
+from stavework.catalog.truth import PRINT, PS, REST, truth_patterns
 from stavework.functions import harte as H
 from stavework.operators import key as K, labels as LB
 from stavework.plans import jobs as J
@@ -116,6 +116,13 @@ def riff_job(spark, sf):
     return J.riff_job(nb, named, SEC, [67, 60, 64, 69]).select(*SEC, "unit", "candidate", r6("agreement"), r6("support"), "reason", "tab")
 
 
-@query("revote_sweep")
+def revoted(support: int) -> str:
+    """One value's run: the job at that support, its records, and the judged figures against them."""
+    printed = f"WITH {job_sql(str(support))}, {RECORDS} SELECT track_id, bar, rests, ps, pm, CASE WHEN rests THEN false ELSE coalesce(uncertain, true) END AS uncertain FROM rec"
+    return f"""SELECT track_id, {support} AS value, false_certain, false_grey, false_certain + false_grey AS errors FROM (WITH pr AS ({printed}), rng AS (WITH {REST} SELECT * FROM rng){PS.removeprefix(PRINT)}
+  SELECT track_id, count(*) FILTER (verdict = 'NO' AND certain) AS false_certain, count(*) FILTER (verdict <> 'NO' AND NOT certain) AS false_grey FROM psc GROUP BY 1)"""
+
+
+@query("revote_sweep", " UNION ALL ".join(revoted(v) for v in (2, 3)))
 def revote_sweep(spark, sf):
     return J.revote_sweep(job_bars(spark, sf), truth_patterns(spark, sf), [2, 3], "min_support", 8, seed=seed())

@@ -155,8 +155,8 @@ whole AS (SELECT {u}.track_id, {u}.section, {u}.pos, {v1}.strike, {v1}.mute FROM
 rest AS (SELECT track_id, section, me AS pos, strike, mute FROM lv UNION ALL SELECT * FROM whole)"""
 
 
-def loo(u: str = "units", v1: str = "v") -> str:
-    return LOO_SQL.format(u=u, v1=v1, vote=S.vote("lo", "lv", "track_id, section, me"))
+def loo(u: str = "units", v1: str = "v", support: str = "2") -> str:
+    return LOO_SQL.format(u=u, v1=v1, vote=S.vote("lo", "lv", "track_id, section, me", support))
 
 
 @query("majority_loo", f"""WITH {S.UNITS}, {S.vote('units', 'v')}, {loo()}
@@ -210,7 +210,7 @@ vu AS (SELECT u.track_id, u.section, u.pos, u.width, u.strike, u.mute FROM {u} u
   UNION ALL SELECT a.track_id, a.section, (a.pos - pair_pos % 2) // 2, 2 * a.width, a.strike | (b.strike << a.width), a.mute | (b.mute << a.width)
   FROM {u} a JOIN ph USING (track_id, section) JOIN {u} b ON b.track_id = a.track_id AND b.section = a.section AND b.pos = a.pos + 1
   WHERE two AND a.pos >= pair_pos % 2 AND (a.pos - pair_pos % 2) % 2 = 0),
-{S.vote('vu', 'v', support=support)}, {loo('vu', 'v').replace('lv', 'lv')},
+{S.vote('vu', 'v', support=support)}, {loo('vu', 'v', support)},
 loos AS (SELECT u.track_id, u.section, avg({S.jac('u.', 'r.')}) AS loo FROM vu u JOIN rest r USING (track_id, section, pos) GROUP BY 1, 2),
 {medoid_sql('vu', 'vm')},
 ch0 AS (SELECT ph.track_id, ph.section, two, CASE WHEN two THEN pair_pos % 2 ELSE 0 END AS phase, ph.n AS n_bars, v.n AS n_units,

@@ -30,10 +30,10 @@ def seed():
     return F.col("track_id") * 4099 + F.col("section") * 31
 
 
-def copies_sql(units: str, out: str, by: str = "track_id, section", tag: str = "(track_id * 4099 + section * 31)") -> str:
+def copies_sql(units: str, out: str, by: str = "track_id, section", tag: str = "(track_id * 4099 + section * 31)", support: str = "2") -> str:
     """CTEs ending in `out`(by, chance_p) over one-bar units with `pos`."""
     return f"""{units}_v0 AS (SELECT 1),
-{S.vote(units, units + '_v', by)},
+{S.vote(units, units + '_v', by, support)},
 {units}_ob AS (SELECT {', '.join('u.' + b.strip() for b in by.split(','))}, round(avg({S.jac('u.', 'v.')}), 9) AS ob FROM {units} u JOIN {units}_v v USING ({by}) GROUP BY ALL),
 {units}_fl AS (SELECT {by}, CAST(round_even(0.6 * median(bit_count(strike)), 0) AS INTEGER) AS fl FROM {units} GROUP BY {by}),
 {units}_h0 AS (SELECT {by}, pos, rep, bit_count(strike) AS ks, bit_count(mute) AS ms, {mix(mix(mix(f'{tag} + rep * 7919') + ' + pos * 104729'))} AS h FROM {units}, range(1000) r(rep)),
@@ -41,7 +41,7 @@ def copies_sql(units: str, out: str, by: str = "track_id, section", tag: str = "
 {units}_o AS (SELECT *, row_number() OVER (PARTITION BY {by}, pos, rep ORDER BY d, j) AS rk FROM {units}_h),
 {units}_c AS (SELECT {by}, pos, rep, bit_or(CASE WHEN rk <= ks THEN {BIT1} << j ELSE 0 END) AS strike, bit_or(CASE WHEN rk <= ms THEN {BIT1} << j ELSE 0 END) AS mute FROM {units}_o GROUP BY ALL),
 {units}_s AS (SELECT {by}, rep, slot, count(*) AS n, sum((strike >> slot) & 1) AS k, sum((mute >> slot) & 1) AS m FROM {units}_c, (SELECT CAST(x AS INTEGER) AS slot FROM range(8) t(x)) GROUP BY ALL),
-{units}_k AS (SELECT *, 3 * k > n AND k >= 2 AS kept FROM {units}_s),
+{units}_k AS (SELECT *, 3 * k > n AND k >= {support} AS kept FROM {units}_s),
 {units}_r AS (SELECT *, sum(CAST(kept AS INTEGER)) OVER (PARTITION BY {by}, rep) AS nk, row_number() OVER (PARTITION BY {by}, rep, kept ORDER BY k DESC, slot) AS rk FROM {units}_k),
 {units}_w AS (SELECT {by}, rep, bit_or(CASE WHEN kept OR rk <= fl - nk THEN {BIT1} << slot ELSE 0 END) AS strike, bit_or(CASE WHEN kept AND 2 * m > k THEN {BIT1} << slot ELSE 0 END) AS mute
   FROM {units}_r JOIN {units}_fl USING ({by}) GROUP BY ALL),
@@ -144,10 +144,11 @@ def section_offset(spark, sf):
 
 # the strum job: a bar rests when it has no strike at all, or when its day number and track say so
 RESTS = "(strike = 0 OR (track_id + bar) % 11 = 0)"
-JOB = f"""{S.QUANT}, allu AS (SELECT track_id, section, width, strike, mute, bar, {RESTS} AS rests, row_number() OVER (PARTITION BY track_id, section ORDER BY bar) - 1 AS pos FROM masks),
+def job_sql(support: str = "2") -> str:
+    return f"""{S.QUANT}, allu AS (SELECT track_id, section, width, strike, mute, bar, {RESTS} AS rests, row_number() OVER (PARTITION BY track_id, section ORDER BY bar) - 1 AS pos FROM masks),
 units AS (SELECT track_id, section, width, strike, mute, bar, row_number() OVER (PARTITION BY track_id, section ORDER BY bar) - 1 AS pos FROM allu WHERE NOT rests),
-{choose_sql()}, {copies_sql('units', 'cp')}, hb AS (SELECT track_id, section, min(pos) AS fp FROM allu WHERE NOT rests GROUP BY 1, 2),
-alls AS (SELECT a.track_id, a.section, a.pos, a.width, a.strike, a.mute FROM allu a JOIN hb USING (track_id, section)), {copies_sql('alls', 'cpa')},
+{choose_sql(support=support)}, {copies_sql('units', 'cp', support=support)}, hb AS (SELECT track_id, section, min(pos) AS fp FROM allu WHERE NOT rests GROUP BY 1, 2),
+alls AS (SELECT a.track_id, a.section, a.pos, a.width, a.strike, a.mute FROM allu a JOIN hb USING (track_id, section)), {copies_sql('alls', 'cpa', support=support)},
 own AS (SELECT u.track_id, u.section, avg({vs('u.pos')}) AS confidence, coalesce(sum(bit_count(u.strike & {halves('u.pos')[0]})) / nullif(CAST(sum(bit_count(u.strike)) AS DOUBLE), 0), 0) AS explained,
   sum(bit_count(u.strike)) / CAST(sum(u.width) AS DOUBLE) AS density, any_value(bit_count(c.strike) = c.width) AS full_vote FROM units u JOIN ch c USING (track_id, section) GROUP BY 1, 2),
 whl AS (SELECT u.track_id, u.section, avg({vs('u.pos + fp')}) AS confidence, sum(bit_count(u.strike)) / CAST(sum(u.width) AS DOUBLE) AS density FROM alls u JOIN hb USING (track_id, section) JOIN ch c USING (track_id, section) GROUP BY 1, 2),
@@ -157,6 +158,9 @@ job AS (SELECT track_id, section, c.unit, c.candidate, own.confidence, own.expla
   FROM ch c JOIN own USING (track_id, section) JOIN whl USING (track_id, section) JOIN cp USING (track_id, section) JOIN cpa USING (track_id, section))"""
 
 
+JOB = job_sql()
+
+
 def job_bars(spark, sf):
     return bars_of(spark, sf).withColumn("rests", (F.col("strike") == 0) | ((F.col("track_id") + F.col("bar")) % 11 == 0))
 
@@ -169,9 +173,12 @@ def strums_job(spark, sf):
                     R.printed(F.col("strike"), F.col("mute"), F.col("slots_per_bar") * F.col("unit")).alias("printed"))
 
 
-@query("bar_records", f"""WITH {JOB}, hf AS (SELECT track_id, section, min(bar) AS fb FROM allu WHERE NOT rests GROUP BY 1, 2),
+RECORDS = f"""hf AS (SELECT track_id, section, min(bar) AS fb FROM allu WHERE NOT rests GROUP BY 1, 2),
 rec AS (SELECT a.track_id, a.section, a.bar, a.rests, j.unit, j.uncertain, coalesce(CASE WHEN a.rests THEN 0 WHEN (a.bar - fb) % j.unit = 1 THEN (j.strike >> 8) & 255 ELSE j.strike & 255 END, 0) AS ps,
-  coalesce(CASE WHEN a.rests THEN 0 WHEN (a.bar - fb) % j.unit = 1 THEN (j.mute >> 8) & 255 ELSE j.mute & 255 END, 0) AS pm FROM allu a LEFT JOIN hf USING (track_id, section) LEFT JOIN job j USING (track_id, section))
+  coalesce(CASE WHEN a.rests THEN 0 WHEN (a.bar - fb) % j.unit = 1 THEN (j.mute >> 8) & 255 ELSE j.mute & 255 END, 0) AS pm FROM allu a LEFT JOIN hf USING (track_id, section) LEFT JOIN job j USING (track_id, section))"""
+
+
+@query("bar_records", f"""WITH {JOB}, {RECORDS}
 SELECT track_id, bar, rests, CASE WHEN rests THEN false ELSE coalesce(uncertain, true) END AS uncertain, {S.printed('ps', 'pm', '8')} AS printed FROM rec""")
 def bar_records(spark, sf):
     bars = share(job_bars(spark, sf))

@@ -73,7 +73,7 @@ def _copies(bars: DataFrame, width: int) -> DataFrame:
 
 def _vote(rows: DataFrame, width: int, p: VoteParams) -> DataFrame:
     """The topped vote of each row's slot totals k0.., m0.. as `v_strike`, `v_mute`."""
-    kept = [(F.col(f"k{j}") * p.strike_share_inverse > F.col("n")) & (F.col(f"k{j}") >= p.min_slot_support) for j in range(width)]
+    kept = [(F.col(f"k{j}") * p.strike_share_inverse > F.col("n")) & (F.col(f"k{j}") >= F.col("support")) for j in range(width)]
     rows = rows.select("*", *[c.alias(f"_f{j}") for j, c in enumerate(kept)])
     missing = F.col("floor") - sum((F.col(f"_f{j}").cast("int") for j in range(width)), F.lit(0))
     rows = rows.withColumn("_missing", missing)
@@ -94,14 +94,14 @@ def _np_mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 15)
 
 
-def _at_least(pdf: pd.DataFrame, width: int, shuffles: int, inverse: int, support: int) -> int:
+def _at_least(pdf: pd.DataFrame, width: int, shuffles: int, inverse: int) -> int:
     """How many copies of one small group agree with their own vote at least as the group does.
 
     The same draw as `_copies`, over arrays of (copy, bar, slot).
     """
     pdf = pdf.sort_values("pos")
     pos, seed = pdf["pos"].to_numpy(np.int64), int(pdf["seed"].iloc[0])
-    floor, observed, n = int(pdf["floor"].iloc[0]), float(pdf["observed"].iloc[0]), len(pdf)
+    floor, support, observed, n = int(pdf["floor"].iloc[0]), int(pdf["support"].iloc[0]), float(pdf["observed"].iloc[0]), len(pdf)
     slots = np.arange(width, dtype=np.int64)
     k = ((pdf["strike"].to_numpy(np.int64)[:, None] >> slots) & 1).sum(1)[None, :, None]
     m = ((pdf["mute"].to_numpy(np.int64)[:, None] >> slots) & 1).sum(1)[None, :, None]
@@ -127,11 +127,11 @@ def _at_least(pdf: pd.DataFrame, width: int, shuffles: int, inverse: int, suppor
 
 def _local_count(ready: DataFrame, keys: Sequence[str], width: int, p: VoteParams) -> DataFrame:
     """Groups of few bars: one group per call, all its copies drawn in memory slices."""
-    shuffles, inverse, support, names = p.chance_shuffles, p.strike_share_inverse, p.min_slot_support, list(keys)
+    shuffles, inverse, names = p.chance_shuffles, p.strike_share_inverse, list(keys)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[names].iloc[:1].copy()
-        out["at_least"] = _at_least(pdf, width, shuffles, inverse, support)
+        out["at_least"] = _at_least(pdf, width, shuffles, inverse)
         return out
 
     schema = StructType([*[ready.schema[k] for k in keys], StructField("at_least", LongType())])
@@ -145,7 +145,7 @@ def _folded_count(ready: DataFrame, keys: Sequence[str], width: int, p: VotePara
     by = [*keys, "rep"]
     slot = [(bit(F.col("strike"), F.lit(j)), bit(F.col("mute"), F.lit(j))) for j in range(width)]
     reps = F.sequence(F.lit(0), F.lit(p.chance_shuffles - 1))
-    copies = _copies(ready.withColumn("rep", F.explode(reps)), width).groupBy(*by, "floor", "observed", "strike", "mute").agg(
+    copies = _copies(ready.withColumn("rep", F.explode(reps)), width).groupBy(*by, "floor", "support", "observed", "strike", "mute").agg(
         F.count("*").alias("c"))
     w = Window.partitionBy(*by)
     rows = copies.select(
@@ -160,21 +160,23 @@ def _folded_count(ready: DataFrame, keys: Sequence[str], width: int, p: VotePara
 
 def chance_p(
     units: DataFrame, width: int, keys: Sequence[str] = SECTION, p: VoteParams = VOTE,
-    local_bars: int = LOCAL_BARS, seed: Column | None = None,
+    local_bars: int = LOCAL_BARS, seed: Column | None = None, min_support: Column | int | None = None,
 ) -> DataFrame:
     """(b + 1) / (shuffles + 1), b the copies whose own-vote agreement is at least the group's.
 
-    `units` are one-bar units of one slot count. Groups over `local_bars` bars take the folding path;
+    `units` are one-bar units of one slot count; `min_support` may be a column of the keys. Groups over `local_bars` bars take the folding path;
     the two give the same numbers.
     """
-    vote = section_vote(units, keys, p)
+    vote = section_vote(units, keys, p, min_support)
+    support = p.min_slot_support if min_support is None else min_support
     observed = vote_figures(units, vote, keys).select(*keys, F.round("confidence", 9).alias("observed"))
     floors = density_floor(strike_histogram(units, keys), keys, p)
     sizes = units.groupBy(*keys).agg(F.count("*").alias("_size"))
     drawn_from = F.xxhash64(*keys) if seed is None else seed
     dims = observed.join(floors, list(keys)).join(sizes, list(keys))
     ready = units.select(
-        *keys, "pos", "width", "strike", "mute", drawn_from.cast("long").bitwiseAND(F.lit(MASK31)).alias("seed")
+        *keys, "pos", "width", "strike", "mute", drawn_from.cast("long").bitwiseAND(F.lit(MASK31)).alias("seed"),
+        (support if isinstance(support, Column) else F.lit(support)).cast("int").alias("support"),
     ).join(dims, list(keys))
     ready = share(ready)
     counted = _local_count(ready.where(F.col("_size") <= local_bars).drop("_size"), keys, width, p)
@@ -186,13 +188,13 @@ def chance_p(
 
 def structure_test(
     units: DataFrame, figures: DataFrame, width: int, keys: Sequence[str] = SECTION, p: VoteParams = VOTE,
-    seed: Column | None = None,
+    seed: Column | None = None, min_support: Column | int | None = None,
 ) -> DataFrame:
     """structured, chance_p (null for a full vote) and density.
 
     `figures` (keys, density, full_vote) describes the printed vote; a full vote is judged by density.
     """
     tested = units.join(figures.where("not full_vote").select(*keys), list(keys), "left_semi")
-    out = figures.join(chance_p(tested, width, keys, p, seed=seed), list(keys), "left")
+    out = figures.join(chance_p(tested, width, keys, p, seed=seed, min_support=min_support), list(keys), "left")
     ok = F.when(F.col("full_vote"), F.col("density") >= p.full_vote_density).otherwise(F.col("chance_p") <= p.chance_alpha)
     return out.select(*keys, "density", "full_vote", "chance_p", ok.alias("structured"))

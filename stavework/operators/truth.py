@@ -150,21 +150,21 @@ def flag_scores(ranges: DataFrame, records: DataFrame, patterns: DataFrame) -> D
                     ((F.col("n") - F.col("hits")) / F.col("n")).alias("baseline_not_riff"), (F.col("hits") / F.col("n")).alias("baseline_riff"))
 
 
-def pattern_scores(truth: DataFrame, records: DataFrame) -> DataFrame:
+def pattern_scores(truth: DataFrame, records: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each judged range against the printed row of its first bar that holds.
 
     `truth` (track_id, line, start, end, verdict, figure array), `records` (track_id, bar, width,
-    p_strike, p_mute, rests, uncertain). A two-bar figure is read in the printed rows' phase.
+    p_strike, p_mute, rests, uncertain). A two-bar figure is read in the printed rows' phase. `keys` names a track's run, in both tables.
     """
-    bars = truth.select("track_id", "line", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("bar"))
-    holds = bars.join(records.where("not rests").select("track_id", "bar"), ["track_id", "bar"]).groupBy("track_id", "line").agg(F.min("bar").alias("held"))
-    t = truth.join(holds, ["track_id", "line"], "left").withColumn("first", F.coalesce("held", "start"))
+    bars = truth.select(*keys, "line", "start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("bar"))
+    holds = bars.join(records.where("not rests").select(*keys, "bar"), [*keys, "bar"]).groupBy(*keys, "line").agg(F.min("bar").alias("held"))
+    t = truth.join(holds, [*keys, "line"], "left").withColumn("first", F.coalesce("held", "start"))
     two = F.size("figure") == 2
     turned = F.when(two & ((F.col("first") - F.col("start")) % 2 == 1), F.reverse("figure")).otherwise(F.col("figure"))
     t = t.withColumn("figure", turned)
-    rec = records.select("track_id", "bar", "width", "p_strike", "p_mute", "uncertain")
-    a = t.join(rec.withColumnsRenamed({"bar": "first", "p_strike": "s1", "p_mute": "m1"}), ["track_id", "first"], "left").withColumn("next", F.col("first") + 1)
-    a = a.join(rec.select("track_id", F.col("bar").alias("next"), F.col("p_strike").alias("s2"), F.col("p_mute").alias("m2")), ["track_id", "next"], "left")
+    rec = records.select(*keys, "bar", "width", "p_strike", "p_mute", "uncertain")
+    a = t.join(rec.withColumnsRenamed({"bar": "first", "p_strike": "s1", "p_mute": "m1"}), [*keys, "first"], "left").withColumn("next", F.col("first") + 1)
+    a = a.join(rec.select(*keys, F.col("bar").alias("next"), F.col("p_strike").alias("s2"), F.col("p_mute").alias("m2")), [*keys, "next"], "left")
     two = F.size("figure") == 2
     fits = F.col("figure").isNotNull() & F.forall("figure", lambda x: F.length(x) == F.col("width")) & F.col("s1").isNotNull() & (~two | F.col("s2").isNotNull())
     text = F.array_join("figure", "")
@@ -173,7 +173,7 @@ def pattern_scores(truth: DataFrame, records: DataFrame) -> DataFrame:
     ps, pm = both(F.col("s1"), F.col("s2")), both(F.col("m1"), F.col("m2"))
     fs, fm = mask_where(text, "DUx"), mask_where(text, "x")
     return a.select(
-        "track_id", "line", "verdict", "first",
+        *keys, "line", "verdict", "first",
         F.when(fits, agreement(ps, pm, fs, fm)).alias("jaccard"),
         F.when(fits, swap_distance(ps, fs, F.length(text))).alias("swap"),
         F.coalesce(~F.col("uncertain"), F.lit(False)).alias("certain"),

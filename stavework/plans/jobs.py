@@ -87,19 +87,14 @@ def revote_sweep(
 ) -> DataFrame:
     """False certain plus false grey per track and value of a vote constant, every section re-voted.
 
-    The constant is a column of the groups, so all values are one job.
+    The constant is a column of the groups, so all values are one job and one scoring.
     """
     spread = share(W.over_values(bars, [float(v) for v in values]).withColumn("value", F.col("value").cast("int")))
     keys = ["value_index", "value", "track_id", "section"]
     moved = {constant: F.col("value")}
     voted = share(strums.vote_sections(spread, width, keys, p, seed=seed, **moved))
-    records = share(strums.bar_records(spread, voted, keys))
-    scored = []
-    for i, v in enumerate(values):  # a short list of values
-        at = records.where(F.col("value_index") == i)
-        s = T.pattern_scores(truth, at).withColumn("value", F.lit(v))
-        scored.append(T.false_certainty(s, ["track_id", "value"]))
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
+    judged = W.over_values(truth, [float(v) for v in values]).withColumn("value", F.col("value").cast("int"))
+    run = ["value_index", "value", "track_id"]
+    scores = T.pattern_scores(judged, share(strums.bar_records(spread, voted, keys)), run)
+    out = T.false_certainty(scores, run).drop("value_index")
     return out.withColumn("errors", F.col("false_certain") + F.col("false_grey"))

@@ -43,8 +43,8 @@ def vote_sections(
     full = F.bit_count("v_strike") == F.col("unit") * F.col("slots_per_bar")
     flags = votes.select(*keys, full.alias("full_vote"))
     repeat = V.bar_repeat(held, keys)
-    test = chance.structure_test(held, own.select(*keys, "density").join(flags, list(keys)), width, keys, p, seed)
-    test_all = chance.structure_test(every, whole.select(*keys, "density").join(flags, list(keys)), width, keys, p, seed)
+    test = chance.structure_test(held, own.select(*keys, "density").join(flags, list(keys)), width, keys, p, seed, min_support)
+    test_all = chance.structure_test(every, whole.select(*keys, "density").join(flags, list(keys)), width, keys, p, seed, min_support)
     out = chosen.join(own, list(keys)).join(repeat, list(keys))
     out = out.join(test.select(*keys, "chance_p", "structured"), list(keys))
     out = out.join(whole.select(*keys, F.col("confidence").alias("confidence_all")), list(keys))
