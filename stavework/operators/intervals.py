@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+# Spans spread over buckets take many times the bytes of the file they were read from, by which Spark judges whether a
+# table is small enough to send to every task by way of the driver. So these joins always sort both sides.
+SORTED = "merge"
 
 
 def point_in_span(
@@ -35,7 +38,7 @@ def point_in_span(
     )
     on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*keys, BUCKET]]
     on += [F.col(f"p.{point}") >= F.col(f"s.{lo}") - slack, F.col(f"p.{point}") < F.col(f"s.{hi}") - slack]
-    joined = left.alias("p").join(right.alias("s"), on, how)
+    joined = left.alias("p").join(right.alias("s").hint(SORTED), on, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop(BUCKET)
     return joined.select(
@@ -69,7 +72,7 @@ def overlap(
     end = F.least(F.col(f"l.{l_span[1]}"), F.col(f"r.{r_span[1]}"))
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, BUCKET]]
     on += [end - start > min_overlap, F.floor(start / width) == F.col(f"l.{BUCKET}")]
-    return a.join(b, on).select(
+    return a.join(b.hint(SORTED), on).select(
         *[F.col(f"l.{c}") for c in left.columns],
         *[F.col(f"r.{c}") for c in right.columns if c not in keys],
         (end - start).alias("overlap"),
@@ -90,7 +93,7 @@ def within(
     ).alias("r")
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, BUCKET]]
     on.append(F.abs(F.col(f"l.{l_point}") - F.col(f"r.{r_point}")) <= radius)
-    joined = a.join(b, on, how)
+    joined = a.join(b.hint(SORTED), on, how)
     if how in ("left_semi", "left_anti"):
         return joined.drop(BUCKET)
     return joined.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stavework.operators import quantise as Q, votes as V
 from stavework.operators.harmony_spans import merge_onsets
 from stavework.params import SIGNAL, SignalParams
-from stavework.session import share
+from stavework.session import share_rows
 
 
 def _reading(onsets: DataFrame, bars: DataFrame, bucket: float, name: str) -> DataFrame:
@@ -39,10 +39,10 @@ def gate_sections(
     `silent` (track_id, bar, silent) marks bars whose extra onsets do not count; `song_fit`
     (track_id, grid_fit).
     """
-    bars = share(bars)
+    bars = share_rows(bars)
     kept = Q.later_bar(Q.onset_to_shifted_bar(extra, bars, bucket)).join(silent.where("not silent"), ["track_id", "bar"], "left_semi")
     usable = extra.join(kept.select("track_id", "onset_id"), ["track_id", "onset_id"], "left_semi")
-    union = share(merge_onsets(base, usable, radius))
+    union = share_rows(merge_onsets(base, usable, radius))
     before, after = _reading(base, bars, bucket, "b"), _reading(union, bars, bucket, "a")
     d = before.join(after, V.SECTION).join(song_fit, ["track_id"], "left").join(bars.select(*V.SECTION, "width").distinct(), V.SECTION)
     reason = (
