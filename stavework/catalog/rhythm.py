@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stavework import binding as B
 from stavework.catalog import sql as S
 from stavework.functions import rhythm as R
-from stavework.session import share
+from stavework.session import share_rows
 from stavework.operators import quantise as Q, votes as V
 
 DAY = B.DAY
@@ -31,7 +31,7 @@ def r6(c, name=None):
 
 
 def bars_of(spark: SparkSession, sf: str) -> DataFrame:
-    return share(Q.quantise(B.onsets(spark, sf), B.bars(spark, sf), DAY))
+    return share_rows(Q.quantise(B.onsets(spark, sf), B.bars(spark, sf), DAY))
 
 
 @query("onset_to_bar", f"""WITH {S.ONSETS}, {S.BARS}

@@ -9,7 +9,7 @@ from stavework.catalog import sql as S
 from stavework.catalog.common import Registry, r6
 from stavework.operators import harmony_spans as H, intervals as I, riff as RF, signal as G
 from stavework.operators.ordered import with_position
-from stavework.session import share
+from stavework.session import share, share_rows
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -185,7 +185,7 @@ def note_bars(spark, sf):
     pitched = own.join(B.onsets(spark, sf).select("onset_id", "zcr"), "onset_id").withColumn(
         "note", (F.col("slot") * RF.SCALE + 60 + F.col("zcr").cast("int") % 4).cast("long"))
     per_bar = pitched.groupBy("track_id", "bar").agg(F.array_sort(F.collect_list("note")).alias("notes"))  # one per slot
-    return share(bars.join(per_bar, ["track_id", "bar"], "left").select(
+    return share_rows(bars.join(per_bar, ["track_id", "bar"], "left").select(
         *SEC, "bar", "width", F.coalesce("notes", F.array().cast("array<bigint>")).alias("notes")))
 
 

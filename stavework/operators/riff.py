@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stavework.operators import votes as V
 from stavework.params import SIGNAL, VOTE, SignalParams, VoteParams
-from stavework.session import share
+from stavework.session import share_rows
 
 SECTION = V.SECTION
 SCALE = 1000
@@ -83,13 +83,13 @@ def choose_riff(note_bars: DataFrame, keys: Sequence[str] = SECTION, p: VotePara
 
     `note_bars` (keys, bar, width, notes). Unit and phase come from the bars' rhythm alone.
     """
-    units = share(V.units_of_bars(note_bars, keys))
+    units = share_rows(V.units_of_bars(note_bars, keys))
     shape = units.withColumn("strike", F.aggregate(_slots(F.col("notes")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(V.one_at(x)))
                              ).withColumn("mute", F.lit(0).cast("long"))
-    sums = share(V.agreement_sums(shape, keys))
-    phases = share(V.unit_and_phase(V.medoid(sums, keys), V.best_pair(shape, sums, keys), keys, p))
+    sums = share_rows(V.agreement_sums(shape, keys))
+    phases = share_rows(V.unit_and_phase(V.medoid(sums, keys), V.best_pair(shape, sums, keys), keys, p))
     one = units.join(phases.where("unit = 1").select(*keys), list(keys), "left_semi").select(*keys, "pos", "width", "notes")
-    voted = share(one.unionByName(note_pairs(units, phases.where("unit = 2"), keys)))
+    voted = share_rows(one.unionByName(note_pairs(units, phases.where("unit = 2"), keys)))
     med = V.medoid(V.agreement_sums(voted, keys, ["notes"], note_agreement), keys, ["notes"])
     out = riff_majority(voted, keys).join(riff_loo(voted, keys), list(keys)).join(
         med.select(*keys, "score_medoid", "medoid_notes"), list(keys)).join(phases.select(*keys, "unit", "phase", F.col("width").alias("slots")), list(keys))

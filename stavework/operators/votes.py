@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from stavework.functions.rhythm import agreement, bit, one_at, rotate_half, shl, slot_list
 from stavework.operators.ordered import with_neighbour, with_position
 from stavework.params import VOTE, VoteParams
-from stavework.session import share
+from stavework.session import share_rows
 
 SECTION = ["track_id", "section"]
 BAR_CHUNK = 4096
@@ -297,9 +297,9 @@ def choose_pattern(
     min_support: Column | int | None = None, min_pairs: Column | int | None = None,
 ) -> DataFrame:
     """The printed pattern per group: the topped majority, or the medoid when it is clearly better."""
-    units = share(units_of_bars(bars, keys))
-    sums = share(agreement_sums(units, keys))
-    phases = share(unit_and_phase(medoid(sums, keys), best_pair(units, sums, keys), keys, p, min_pairs))
+    units = share_rows(units_of_bars(bars, keys))
+    sums = share_rows(agreement_sums(units, keys))
+    phases = share_rows(unit_and_phase(medoid(sums, keys), best_pair(units, sums, keys), keys, p, min_pairs))
     return choose_from(units, phases, keys, p, min_support)
 
 
@@ -307,8 +307,8 @@ def choose_from(
     units: DataFrame, phases: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE,
     min_support: Column | int | None = None,
 ) -> DataFrame:
-    voted = share(voted_units(units, phases, keys))
-    votes = share(section_vote(voted, keys, p, min_support))
+    voted = share_rows(voted_units(units, phases, keys))
+    votes = share_rows(section_vote(voted, keys, p, min_support))
     med = medoid(agreement_sums(voted, keys), keys).select(
         *keys, F.col("score_medoid").alias("med_score"), F.col("medoid_strike").alias("med_strike"),
         F.col("medoid_mute").alias("med_mute"),
@@ -354,9 +354,9 @@ def candidate_margin(units: DataFrame, phases: DataFrame, chosen: DataFrame, key
             F.col("mean_agreement").alias("score"))
         return major.unionByName(top)
 
-    sums = share(agreement_sums(units, keys))
-    pairs = share(pair_units(units, phases.where("unit = 2"), keys))
-    pair_sums = share(agreement_sums(pairs, keys))
+    sums = share_rows(agreement_sums(units, keys))
+    pairs = share_rows(pair_units(units, phases.where("unit = 2"), keys))
+    pair_sums = share_rows(agreement_sums(pairs, keys))
     twos = phases.where("unit = 2").select(*keys)
     voted = two_best(sums, keys).join(twos, list(keys), "left_anti").unionByName(two_best(pair_sums, keys))
     named = F.when(F.col("place") == 1, "bar_best").otherwise("bar_second")

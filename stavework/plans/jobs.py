@@ -12,7 +12,7 @@ from stavework.operators import arrange as A, fill as L, grid as G, harmony_span
 from stavework.operators.ordered import with_position
 from stavework.params import SIGNAL, VOTE, VoteParams
 from stavework.plans import strums
-from stavework.session import share
+from stavework.session import share, share_rows
 
 KEYS = ["track_id"]
 
@@ -71,7 +71,7 @@ def riff_job(note_bars: DataFrame, named: DataFrame, keys: Sequence[str], tuning
 
     `note_bars` (keys, bar, width, notes), `named` (keys, named_share).
     """
-    c = share(RF.choose_riff(note_bars, keys).join(named, list(keys)))
+    c = share_rows(RF.choose_riff(note_bars, keys).join(named, list(keys)))
     reason = RF.riff_gate(F.col("agreement"), F.col("support"), F.col("named_share"), F.lit(True), SIGNAL)
     notes = c.select(*keys, F.explode("notes").alias("note")).select(*keys, F.floor(F.col("note") / RF.SCALE).alias("slot"), F.pmod("note", F.lit(RF.SCALE)).cast("int").alias("midi"))
     shifts = notes.groupBy(*keys).agg(*RF.shift_counts(F.col("midi"))).select(*keys, RF.octave_shift().alias("shift"))
@@ -89,12 +89,12 @@ def revote_sweep(
 
     The constant is a column of the groups, so all values are one job and one scoring.
     """
-    spread = share(W.over_values(bars, [float(v) for v in values]).withColumn("value", F.col("value").cast("int")))
+    spread = share_rows(W.over_values(bars, [float(v) for v in values]).withColumn("value", F.col("value").cast("int")))
     keys = ["value_index", "value", "track_id", "section"]
     moved = {constant: F.col("value")}
-    voted = share(strums.vote_sections(spread, width, keys, p, seed=seed, **moved))
+    voted = share_rows(strums.vote_sections(spread, width, keys, p, seed=seed, **moved))
     judged = W.over_values(truth, [float(v) for v in values]).withColumn("value", F.col("value").cast("int"))
     run = ["value_index", "value", "track_id"]
-    scores = T.pattern_scores(judged, share(strums.bar_records(spread, voted, keys)), run)
+    scores = T.pattern_scores(judged, share_rows(strums.bar_records(spread, voted, keys)), run)
     out = T.false_certainty(scores, run).drop("value_index")
     return out.withColumn("errors", F.col("false_certain") + F.col("false_grey"))
