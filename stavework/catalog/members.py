@@ -11,7 +11,7 @@ from stavework.catalog.grid import trailing_silent_bars
 from stavework.catalog.strums import HALF, JOB, RESTS, halves, job_bars, vs
 from stavework.functions import rhythm as R
 from stavework.plans import members as P
-from stavework.session import share
+from stavework.session import share_rows
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -36,7 +36,7 @@ PLANNED = "CASE WHEN {m} = 2 THEN 0 ELSE {m} END"
 
 def job(spark, sf):
     planned = F.when(F.col("section") == 2, 0).otherwise(F.col("section"))
-    members = share(B.sections(spark, sf).select("track_id", planned.alias("section"), F.col("section").alias("member"), "start_bar", "end_bar"))
+    members = share_rows(B.sections(spark, sf).select("track_id", planned.alias("section"), F.col("section").alias("member"), "start_bar", "end_bar"))
     riffs = members.where("(track_id + member) % 5 = 0")
     seed = F.col("track_id") * 4099 + F.col("member") * 31
     return P.member_job(job_bars(spark, sf).drop("section"), members, trailing_silent_bars(spark, sf), riffs, 8, seed=seed)

@@ -11,7 +11,7 @@ from stavework.catalog.rhythm import bars_of, choose_sql, medoid_sql, pair_sql
 from stavework.functions import rhythm as R
 from stavework.operators import chance as C, harmony_spans as H, members as M, quantise as Q, recall, riff as RF, signal as G, votes as V
 from stavework.plans import strums as P
-from stavework.session import share
+from stavework.session import share_rows
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -51,7 +51,7 @@ def copies_sql(units: str, out: str, by: str = "track_id, section", tag: str = "
 
 @query("permutation_test", f"""WITH {S.UNITS}, {copies_sql('units', 'cp')} SELECT track_id, section, round(chance_p, 6) AS chance_p FROM cp""")
 def permutation_test(spark, sf):
-    return C.chance_p(share(V.units_of_bars(bars_of(spark, sf))), 8, seed=seed()).select(*SEC, r6("chance_p"))
+    return C.chance_p(share_rows(V.units_of_bars(bars_of(spark, sf))), 8, seed=seed()).select(*SEC, r6("chance_p"))
 
 
 @query("structure_test", f"""WITH {S.UNITS}, {copies_sql('units', 'cp')}, f AS (SELECT u.track_id, u.section, sum(bit_count(u.strike)) / CAST(sum(u.width) AS DOUBLE) AS density, bool_and(bit_count(v.strike) = 8) AS full_vote
@@ -59,7 +59,7 @@ def permutation_test(spark, sf):
 SELECT track_id, section, round(density, 6) AS density, full_vote, round(CASE WHEN NOT full_vote THEN chance_p END, 6) AS chance_p, CASE WHEN full_vote THEN density >= 0.6 ELSE chance_p <= 0.05 END AS structured
 FROM f JOIN cp USING (track_id, section)""")
 def structure_test(spark, sf):
-    units = share(V.units_of_bars(bars_of(spark, sf)))
+    units = share_rows(V.units_of_bars(bars_of(spark, sf)))
     fig = V.vote_figures(units, V.section_vote(units))
     return C.structure_test(units, fig, 8, seed=seed()).select(*SEC, r6("density"), "full_vote", r6("chance_p"), "structured")
 
@@ -96,10 +96,10 @@ ps AS (SELECT track_id, section, max(score) FILTER (same) AS own FROM mk GROUP B
 rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, section ORDER BY round(score, 9) DESC, o) AS r FROM mk WHERE NOT same) WHERE r = 1)
 SELECT ps.track_id, ps.section, round(own - score, 6) AS margin, CASE WHEN score IS NOT NULL THEN {S.cells('strike', 'mute', 'width')} END AS rival FROM ps LEFT JOIN rv USING (track_id, section)""")
 def candidate_top2(spark, sf):
-    units = share(V.units_of_bars(bars_of(spark, sf)))
-    sums = share(V.agreement_sums(units))
-    phases = share(V.unit_and_phase(V.medoid(sums), V.best_pair(units, sums)))
-    chosen = share(V.choose_from(units, phases))
+    units = share_rows(V.units_of_bars(bars_of(spark, sf)))
+    sums = share_rows(V.agreement_sums(units))
+    phases = share_rows(V.unit_and_phase(V.medoid(sums), V.best_pair(units, sums)))
+    chosen = share_rows(V.choose_from(units, phases))
     c = V.candidate_margin(units, phases, chosen)
     rival = F.when(F.col("rival_width").isNotNull(), R.cells(F.col("rival_strike"), F.col("rival_mute"), F.coalesce("rival_width", F.lit(1))))
     return c.select(*SEC, r6("margin"), rival.alias("rival"))
@@ -133,7 +133,7 @@ SELECT ofs.track_id, o AS "offset", round({S.jac('(w.strike & 255)', HALF.format
 FROM ofs JOIN ch w ON w.track_id = ofs.track_id AND w.section = 2 JOIN ch c ON c.track_id = ofs.track_id AND c.section = 0""")
 def section_offset(spark, sf):
     bars = bars_of(spark, sf)
-    ch = share(V.choose_pattern(bars))
+    ch = share_rows(V.choose_pattern(bars))
     longest = ch.where("section = 0").select("track_id", "unit", F.col("strike").alias("v_strike"), F.col("mute").alias("v_mute"))
     units = V.units_of_bars(bars.where("section = 2"))
     ofs = M.section_offset(units, longest, ["track_id"])
@@ -181,7 +181,7 @@ rec AS (SELECT a.track_id, a.section, a.bar, a.rests, j.unit, j.uncertain, coale
 @query("bar_records", f"""WITH {JOB}, {RECORDS}
 SELECT track_id, bar, rests, CASE WHEN rests THEN false ELSE coalesce(uncertain, true) END AS uncertain, {S.printed('ps', 'pm', '8')} AS printed FROM rec""")
 def bar_records(spark, sf):
-    bars = share(job_bars(spark, sf))
+    bars = share_rows(job_bars(spark, sf))
     rec = P.bar_records(bars, P.vote_sections(bars, 8, seed=seed()))
     return rec.select("track_id", "bar", "rests", "uncertain", R.printed(F.col("p_strike"), F.col("p_mute"), F.col("width")).alias("printed"))
 
@@ -219,11 +219,11 @@ def recall_gate(spark, sf):
     from stavework.catalog.grid import levels
     from stavework.operators.ordered import exact_median
     ev = B.events(spark, sf)
-    on = share(ev.select("track_id", F.col("event_id").alias("onset_id"), "t", "event_type"))
+    on = share_rows(ev.select("track_id", F.col("event_id").alias("onset_id"), "t", "event_type"))
     base = on.where("event_type not in ('view', 'click')").drop("event_type")
     extra = on.where("event_type in ('view', 'click')").drop("event_type")
     bars = B.bars(spark, sf)
-    lv = share(levels(spark, sf))
+    lv = share_rows(levels(spark, sf))
     silent = lv.join(exact_median(lv, SEC, "rms", "m"), SEC).select("track_id", "bar", (F.col("rms") < 0.25 * F.col("m")).alias("silent"))
     fit = Q.grid_fit(base, bars, DAY)
     return recall.gate_sections(base, extra, bars, silent, fit, 3600.0, DAY).select(*SEC, "accepted", r6("before"), r6("after"), "reason")

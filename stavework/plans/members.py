@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stavework.operators import members as M, votes as V
 from stavework.params import VOTE, VoteParams
 from stavework.plans import strums
-from stavework.session import share
+from stavework.session import share_rows
 
 SECTION = ["track_id", "section"]
 MEMBER = ["track_id", "section", "member"]
@@ -48,7 +48,7 @@ def printed_votes(bars: DataFrame, members: DataFrame, voted: DataFrame, riffs:
     names = ["unit", "strike", "mute", "confidence", "chance_p", "uncertain"]
     longest = longest_members(members)
     header = votes.join(longest, SECTION).where("member = longest").select(*SECTION, "longest", *[F.col(c).alias(f"s_{c}") for c in names])
-    both = share(votes.join(header, SECTION, "left"))
+    both = share_rows(votes.join(header, SECTION, "left"))
     others = both.where("member <> longest")
     held = V.units_of_bars(bars.where("analysed and not rests").join(others.select(*MEMBER), MEMBER, "left_semi"), MEMBER)
     fits = M.section_offset(held, others.select(*MEMBER, F.col("s_unit").alias("unit"), F.col("s_strike").alias("v_strike"), F.col("s_mute").alias("v_mute")), MEMBER)
@@ -90,7 +90,7 @@ def member_job(
     bars: DataFrame, members: DataFrame, trailing: DataFrame, riffs: DataFrame, width: int, p: VoteParams = VOTE, seed: Column | None = None, **moved: Column,
 ) -> tuple[DataFrame, DataFrame]:
     """(bar records, section patterns) of all tracks; `bars` (track_id, bar, width, strike, mute, rests)."""
-    members = share(members)
-    spread = share(member_bars(bars, members, trailing))
-    voted = share(vote_members(spread, width, p, seed, **moved))
+    members = share_rows(members)
+    spread = share_rows(member_bars(bars, members, trailing))
+    voted = share_rows(vote_members(spread, width, p, seed, **moved))
     return member_records(spread, printed_votes(spread, members, voted, riffs, p)), section_patterns(members, voted)

@@ -11,7 +11,7 @@ from stavework.functions.rhythm import rotate_half
 from stavework.operators import chance, members, votes as V
 from stavework.operators.ordered import with_position
 from stavework.params import VOTE, VoteParams
-from stavework.session import share
+from stavework.session import share_rows
 
 
 def vote_sections(
@@ -24,12 +24,12 @@ def vote_sections(
     `bars` (keys, bar, width, strike, mute, rests). Constants may be columns of the keys, so one job
     re-votes a whole sweep. A section with no holding bar prints nothing and has no row.
     """
-    bars = share(bars)
-    held = share(V.units_of_bars(bars.where("not rests"), keys))
-    every = share(V.units_of_bars(bars, keys))
-    sums = share(V.agreement_sums(held, keys))
-    phases = share(V.unit_and_phase(V.medoid(sums, keys), V.best_pair(held, sums, keys), keys, p, min_pairs))
-    chosen = share(V.choose_from(held, phases, keys, p, min_support))
+    bars = share_rows(bars)
+    held = share_rows(V.units_of_bars(bars.where("not rests"), keys))
+    every = share_rows(V.units_of_bars(bars, keys))
+    sums = share_rows(V.agreement_sums(held, keys))
+    phases = share_rows(V.unit_and_phase(V.medoid(sums, keys), V.best_pair(held, sums, keys), keys, p, min_pairs))
+    chosen = share_rows(V.choose_from(held, phases, keys, p, min_support))
     votes = chosen.select(*keys, "unit", "slots_per_bar", F.col("strike").alias("v_strike"), F.col("mute").alias("v_mute"))
     own = members.member_figures(held, votes, keys)
     # over all bars the two-bar vote is read from the first holding bar's parity

@@ -89,3 +89,16 @@ def test_swap_distance(spark):
     df = spark.createDataFrame([(masks(a)[0], masks(b)[0], w) for a, b, w in cases], "a bigint, b bigint, want bigint")
     got = df.select(R.swap_distance(F.col("a"), F.col("b"), F.lit(8)).alias("d"), "want").collect()
     assert all(r["d"] == r["want"] for r in got)
+
+
+def test_chance_of_groups_cut_by_batches(spark, sections):
+    p = VoteParams(chance_shuffles=60)
+    units = V.units_of_bars(bars(spark, sections)).cache()
+    drawn = C.chance_p(units, 8, p=p)
+    assert "FlatMapGroupsInPandas" not in drawn._jdf.queryExecution().executedPlan().toString()  # a call per group costs more than its draws
+    whole = sorted(map(tuple, drawn.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(map(tuple, C.chance_p(units, 8, p=p).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
