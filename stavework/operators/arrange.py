@@ -147,14 +147,18 @@ def select_voicings(events: DataFrame, shapes: DataFrame, chunk: float | None =
     """
     cost = shape_cost(F.col("frets"), F.col("fingers"), F.col("base_fret"), F.col("barres"))
     absolute = F.transform("frets", lambda f: F.when(f <= 0, f).otherwise(f + F.col("base_fret") - 1))
-    held = F.array_sort(F.collect_list(F.struct("pos", cost.alias("cost"), absolute.alias("at"))))
+    # of shapes alike in cost and frets only the first can be chosen, so a label has as many as the fretboard allows
+    alike = shapes.groupBy("root", "suffix", cost.alias("cost"), absolute.alias("at")).agg(F.min(F.struct("pos"))["pos"].alias("pos"))
+    held = F.array_sort(F.collect_list(F.struct("pos", "cost", "at")))
     root, suffix = shape_key(F.col("label"))
     labels = events.select("label").distinct().withColumn("root", root).withColumn("suffix", suffix)
-    known = share(labels.join(shapes.groupBy("root", "suffix").agg(held.alias("shapes")), ["root", "suffix"]).select("label", "shapes"))
+    known = share(labels.join(alike.groupBy("root", "suffix").agg(held.alias("shapes")), ["root", "suffix"]).select("label", "shapes"))
     played = share(events.join(known.select("label"), "label", "left_semi").select("track_id", "start", "event", "label"))
     used = played.groupBy("track_id", "label").agg(F.count("*").alias("uses"), F.min(F.struct("start", "event")).alias("first"))
     after = transitions(played, chunk).groupBy("track_id", "label").agg(F.collect_list(F.struct("next_label", "times")).alias("after"))
-    rows = used.join(known, "label").join(after, ["track_id", "label"], "left")
+    # the shapes join when a track's rows are together: moved with every row they would outweigh all else
+    together = used.join(after, ["track_id", "label"], "left").repartition("track_id")
+    rows = together.join(F.broadcast(known), "label")
     rows = rows.select("track_id", "label", "uses", F.col("first.start").alias("start"), F.col("first.event").alias("event"), "shapes", "after")
     track, label, event = (rows.schema[c].dataType.simpleString() for c in ("track_id", "label", "event"))
 
