@@ -3,8 +3,10 @@
 The global order of shingles is cut into fragments by hash. Candidates come from one half of the
 order only: a linked pair may differ in a fifth of its shingles, so it must agree within the half,
 and there on one of each text's rarest few. Overlaps are then counted fragment by fragment and
-summed per pair. Texts with equal sets are one class; classes already known to be connected are
-never compared again, so a large group of near copies costs stars, not all its pairs.
+summed per pair, for pairs whose sketches do not rule a link out: a sketch holds the parity of the
+codes per slot, and two sets differ by at least as many codes as their sketches by bits. Texts with
+equal sets are one class; classes already known to be connected are never compared again, so a large
+group of near copies costs stars, not all its pairs.
 """
 
 from __future__ import annotations
@@ -54,8 +56,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> D
     return rows.mapInArrow(run, f"id {kind}, n long, cls long, rep long")
 
 
+def _sketch(codes: np.ndarray) -> np.ndarray:
+    """The parity of the codes in each of twice to four times as many slots, 64 to a word; one of half the slots is the exclusive or of its halves."""
+    slots = max(64, 1 << (2 * len(codes) - 1).bit_length())
+    odd = np.bincount((codes & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _zones(texts: pa.Array, width: int, seen: set):
-    """For each new set, its candidate zone: all codes of a short text, those of the lower half of the order of a long one."""
+    """For each new set, its candidate zone and sketch: all codes of a short text, those of the lower half of the order of a long one."""
     codes, bounds = _sets(texts, width)
     keys, sizes = _class_keys(codes, bounds).view(np.int64), np.diff(bounds)
     upper = codes >= np.uint64(1 << 63)
@@ -65,20 +74,22 @@ def _zones(texts: pa.Array, width: int, seen: set):
             continue
         seen.add(key)
         own = codes[bounds[i] : bounds[i + 1]]
+        sketch = _sketch(own)
         if n < SHORT:
-            yield key, 0, n, np.sort(W.mix(own ^ _SHORT_SALT))
+            yield key, 0, n, np.sort(W.mix(own ^ _SHORT_SALT)), sketch
         if n >= OVERLAP:
             half = own[~upper[bounds[i] : bounds[i + 1]]]
             if len(half) <= n // 5:
                 raise ValueError("a text has too few shingles in the lower half of the order")
-            yield key, 1, n, half
+            yield key, 1, n, half, sketch
 
 
 def _runs(piece: int, zones: list, buckets: int) -> pa.RecordBatch:
     """What a piece of texts sends: a run of its distinct zone tokens for every bucket, and its own table.
 
     A run says at which of the piece's distinct tokens it starts. The table (bucket below zero) holds class, level, set
-    size and zone size of each zone, and in the order of the tokens which zones hold them; it travels to the piece's answers.
+    size, zone size and words of the sketch of each zone, then the sketches, and in the order of the tokens which zones hold
+    them; it travels to the piece's answers.
     """
     sizes = np.array([len(z[3]) for z in zones])
     order = np.argsort(flat := np.concatenate([z[3] for z in zones]), kind="stable")
@@ -88,7 +99,7 @@ def _runs(piece: int, zones: list, buckets: int) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(slots, prepend=-1)).tolist()
     counts, n = counts.astype(np.uint32), len(cuts)
     spans = list(zip(cuts, [*cuts[1:], len(tokens)]))
-    own = np.array([(z[0], z[1], z[2], len(z[3])) for z in zones], np.int64)
+    own = np.array([(z[0], z[1], z[2], len(z[3]), len(z[4])) for z in zones], np.int64)
     return pa.record_batch([
         pa.array([*slots[cuts].tolist(), -1 - (piece + (piece >> 32)) % buckets], pa.int32()),
         pa.array([piece] * (n + 1), pa.int64()),
@@ -96,14 +107,15 @@ def _runs(piece: int, zones: list, buckets: int) -> pa.RecordBatch:
         pa.array([*[tokens[a:b].tobytes() for a, b in spans], b""], pa.binary()),
         pa.array([*[counts[a:b].tobytes() for a, b in spans], counts.tobytes()], pa.binary()),
         pa.array([None] * n + [own.tobytes()], pa.binary()),
+        pa.array([None] * n + [np.concatenate([z[4] for z in zones]).tobytes()], pa.binary()),
         pa.array([None] * n + [owners.tobytes()], pa.binary()),
-    ], names=["bucket", "piece", "start", "tokens", "counts", "zones", "owners"])
+    ], names=["bucket", "piece", "start", "tokens", "counts", "zones", "sketches", "owners"])
 
 
 def _answered(table: pa.Table) -> pa.Table:
     """The runs of one bucket with the tokens that two or more zones hold: their places in the piece and counts in the corpus. Tables pass."""
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["piece", "tokens", "counts", "zones", "owners"]).append_column("places", pa.array([None] * len(table), pa.binary()))
+        return table.select(["piece", "tokens", "counts", "zones", "sketches", "owners"]).append_column("places", pa.array([None] * len(table), pa.binary()))
     runs = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
     sizes = np.array([len(x) for x in runs])
     tokens = np.concatenate(runs)
@@ -123,16 +135,16 @@ def _answered(table: pa.Table) -> pa.Table:
             at = kept[cuts[i] : cuts[i + 1]]
             out[0].append(piece), out[1].append(tokens[at].tobytes()), out[2].append(df[at].tobytes()), out[3].append(places[at].astype(np.int32).tobytes())
     none = pa.array([None] * len(out[0]), pa.binary())
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), none, none, pa.array(out[3], pa.binary())],
-                    names=["piece", "tokens", "counts", "zones", "owners", "places"])
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), none, none, none, pa.array(out[3], pa.binary())],
+                    names=["piece", "tokens", "counts", "zones", "sketches", "owners", "places"])
 
 
 def _piece_heads(table: pa.Table) -> pa.Table:
-    """(cls, level, n, head) of one piece's zones, from its table and the answers to its runs."""
+    """(cls, level, n, head, sketch) of one piece's zones, from its table and the answers to its runs."""
     rows = table.to_pylist()
     own = next(r for r in rows if r["zones"] is not None)
     answers = [r for r in rows if r["zones"] is None]
-    zones = np.frombuffer(own["zones"], np.int64).reshape(-1, 4)
+    zones = np.frombuffer(own["zones"], np.int64).reshape(-1, 5)
     read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in answers] or [np.empty(0, kind)])
     tokens, df, places = read("tokens", np.int64), read("counts", np.int64), read("places", np.int32)
     counts = np.frombuffer(own["counts"], np.uint32).astype(np.int64)
@@ -149,11 +161,17 @@ def _piece_heads(table: pa.Table) -> pa.Table:
     values = [tokens[order[a : a + k]] for a, k in zip(firsts[some].tolist(), keep[some].tolist())]
     offsets = pa.array(np.concatenate([[0], np.cumsum(keep[some])]).astype(np.int32))
     heads = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
-    return pa.table([pa.array(zones[some, 0]), pa.array(zones[some, 1].astype(np.int32)), pa.array(zones[some, 2]), heads], names=["cls", "level", "n", "head"])
+    ends = np.cumsum(zones[:, 4])
+    words = np.frombuffer(own["sketches"], np.int64)
+    kept = [words[b - k : b] for b, k in zip(ends[some].tolist(), zones[some, 4].tolist())]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(zones[some, 4])]).astype(np.int32))
+    sketches = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*kept, np.empty(0, np.int64)])))
+    columns = [pa.array(zones[some, 0]), pa.array(zones[some, 1].astype(np.int32)), pa.array(zones[some, 2]), heads, sketches]
+    return pa.table(columns, names=["cls", "level", "n", "head", "sketch"])
 
 
 def heads(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
-    """(cls, level, n, head): the rarest zone tokens of each text, as many as a linked text can't all lack.
+    """(cls, level, n, head, sketch): the rarest zone tokens of each text, as many as a linked text can't all lack.
 
     Of z zone tokens at most n // 5 may be missing in a linked text, so one of the n // 5 + 1 rarest
     is common. Tokens that one text alone holds come first in the order and are not listed.
@@ -170,9 +188,13 @@ def heads(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame
                     yield _runs(piece, zones, buckets)
                     piece += 1
 
-    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, piece long, start long, tokens binary, counts binary, zones binary, owners binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "piece long, tokens binary, counts binary, zones binary, owners binary, places binary")
-    return answers.groupBy("piece").applyInArrow(_piece_heads, "cls long, level int, n long, head array<long>").dropDuplicates(["cls", "level"])
+    asked = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, piece long, start long, tokens binary, counts binary, zones binary, sketches binary, owners binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered, "piece long, tokens binary, counts binary, zones binary, sketches binary, owners binary, places binary")
+    return answers.groupBy("piece").applyInArrow(_piece_heads, "cls long, level int, n long, head array<long>, sketch array<long>").dropDuplicates(["cls", "level"])
+
+
+def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
 
 
 def _common_needed(n: Column, m: Column, percent: int) -> Column:
@@ -181,11 +203,24 @@ def _common_needed(n: Column, m: Column, percent: int) -> Column:
     A linked pair has o = ceil(p (n + m) / (1 + p)) shingles in common, so n - o of one text are missing in the other. A head holds
     n // 5 + 1 tokens with those of one text alone; of the head that ends first in the order, all tokens but the missing ones are in the other.
     """
-    o = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    o = _overlap_needed(n, m, percent)
     one = lambda x: F.floor(x / 5) + 1 - (x - o)
     return F.greatest(F.least(one(n), one(m)), F.lit(1))
 
 
+def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
+    """Whether the sketches in columns `a` and `b`, of sets of similar sizes n and m, leave a link possible.
+
+    Codes of both sets cancel out, so the sketches differ by at most as many bits as the sets by codes. Sizes that may link
+    lie a quarter apart at most, so one sketch has at most twice the words of the other and is folded once.
+    """
+    words = F.least(F.size(a), F.size(b))
+    halves = lambda c: F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda c: F.when(F.size(c) > words, halves(c)).otherwise(F.col(c))
+    bits = F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return bits <= n + m - 2 * _overlap_needed(n, m, percent)
+
+
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: DataFrame) -> DataFrame:
     """(cls, fragment, codes, rest): the sets of the classes in `chosen` (cls, id, rep), cut by ranges of the order; `rest` counts the codes of later fragments."""
     def run(batches):
@@ -235,11 +270,12 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, tops: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) with sizes whose heads share as many tokens as those of linked texts must."""
-    left = tops.select(F.col("cls").alias("u"), "level", F.col("n").alias("nu"), F.col("head").alias("a"))
-    right = tops.select(F.col("cls").alias("v"), "level", F.col("n").alias("nv"), F.col("head").alias("b"))
+    """Pairs (u, v) with sizes whose sketches are as near, and whose heads share as many tokens, as those of linked texts must."""
+    left = tops.select(F.col("cls").alias("u"), "level", F.col("n").alias("nu"), F.col("head").alias("a"), F.col("sketch").alias("su"))
+    right = tops.select(F.col("cls").alias("v"), "level", F.col("n").alias("nv"), F.col("head").alias("b"), F.col("sketch").alias("sv"))
     joined = pairs.join(left, "u").join(right, ["v", "level"])
-    return joined.where(F.size(F.array_intersect("a", "b")) >= _common_needed(F.col("nu"), F.col("nv"), percent)).select("u", "v", "nu", "nv").distinct()
+    nu, nv = F.col("nu"), F.col("nv")
+    return joined.where(_may_link("su", "sv", nu, nv, percent) & (F.size(F.array_intersect("a", "b")) >= _common_needed(nu, nv, percent))).select("u", "v", "nu", "nv").distinct()
 
 
 def postings(tops: DataFrame, percent: int) -> DataFrame:
@@ -290,12 +326,12 @@ def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3)
     lists = share(_labelled(posts, edges))
     if lists.isEmpty():
         return edges
-    full = lists.join(tops.select("cls", "level", "head"), ["cls", "level"])
-    a = full.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("after").alias("fa"), F.col("head").alias("ha"))
-    b = full.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("after").alias("fb"), F.col("head").alias("hb"), (F.col("comp") != F.col("main")).alias("outside"))
+    full = lists.join(tops.select("cls", "level", "head", "sketch"), ["cls", "level"])
+    a = full.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("after").alias("fa"), F.col("head").alias("ha"), F.col("sketch").alias("sa"))
+    b = full.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("after").alias("fb"), F.col("head").alias("hb"), F.col("sketch").alias("sb"), (F.col("comp") != F.col("main")).alias("outside"))
     same, need = F.array_intersect("ha", "hb"), _common_needed(F.col("na"), F.col("nb"), percent)
     once = (F.col("ca") != F.col("cb")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & _similar(F.col("na"), F.col("nb"), percent)
-    once = once & (F.least("fa", "fb") >= need) & (F.size(same) >= need) & (F.get(same, F.lit(0)) == F.col("token"))
+    once = once & (F.least("fa", "fb") >= need) & _may_link("sa", "sb", F.col("na"), F.col("nb"), percent) & (F.size(same) >= need) & (F.get(same, F.lit(0)) == F.col("token"))
     pairs = a.join(b, "token").where(once)
     pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nu"),
                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv")).distinct()

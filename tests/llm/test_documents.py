@@ -66,6 +66,42 @@ def test_jaccard_repeats_and_null_ids(spark):
     assert jaccard.jaccard_components(rows(spark, []).where("false")).count() == 0
 
 
+def test_jaccard_sketches_differ_by_no_more_than_the_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 2, 31, 32, 33, 100, 128, 129, 500, 2000):
+        for extra, lost in ((0, 0), (n // 10, n // 10), (n // 4, 0), (n // 16, n // 8), (n // 3, n // 3)):
+            codes = rng.integers(0, 1 << 64, n + extra, np.uint64, endpoint=False)
+            a, b = codes[:n], codes[lost:]
+            pairs.append((len(pairs), len(a), len(b), extra + lost, jaccard._sketch(a).tolist(), jaccard._sketch(b).tolist()))
+    table = spark.createDataFrame(pairs, "i int, n long, m long, d long, a array<long>, b array<long>")
+    got = table.select("n", "m", "d", jaccard._may_link("a", "b", F.col("n"), F.col("m"), 80).alias("may")).collect()
+    for r in got:
+        common = (r["n"] + r["m"] - r["d"]) // 2
+        links = 100 * common >= 80 * (r["n"] + r["m"] - common)
+        assert r["may"] or not links, r
+        assert not r["may"] or r["n"] < 500 or r["d"] < 0.6 * r["n"], r
+
+
+def test_jaccard_counts_few_pairs_that_do_not_link(spark, monkeypatch):
+    """Texts about 0.6 alike share many rare shingles and link with none; they were counted in full, pair by pair."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(500)]
+    texts = []
+    for k in range(24):
+        own = list(base)
+        for at in rnd.sample(range(500), 15):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        texts.append((k, " ".join(own)))
+    seen, full = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda pairs, parts, percent: seen.append(pairs.count()) or full(pairs, parts, percent))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(rows(spark, texts)).collect()}
+    assert got == plain_components(texts)
+    assert sum(seen) <= 12, seen
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     out = quality.quality_scores(docs, labels)
