@@ -21,7 +21,7 @@ from stavework.llm.graph import components
 from stavework.session import release, share
 
 SHORT, OVERLAP = 250, 200
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 FRAGMENTS, FIRST_FRAGMENTS = 8, 5
 _SHORT_SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -183,7 +183,7 @@ def heads(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame
         seen: set = set()
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in W.pieces(batch, "text", 2 * W.PIECE):
+            for part in W.pieces(batch, "text"):
                 if zones := list(_zones(part.column("text"), width, seen)):
                     yield _runs(piece, zones, buckets)
                     piece += 1
