@@ -17,7 +17,12 @@ KEYS = ["track_id"]
 
 def chorded_energy_reference(events: DataFrame, bars: DataFrame, energy: DataFrame, bucket: float) -> DataFrame:
     """Median energy of the bars holding a chord; null when none does or it is silent."""
-    hits = over_bars(events.where(~H.is_no_chord(F.col("label"))), bars, bucket).select("track_id", "bar").distinct()
+    return reference_of(over_bars(events.where(~H.is_no_chord(F.col("label"))), bars, bucket), energy)
+
+
+def reference_of(over: DataFrame, energy: DataFrame) -> DataFrame:
+    """`chorded_energy_reference` from the events over each bar, found before."""
+    hits = over.where(~H.is_no_chord(F.col("label"))).select("track_id", "bar").distinct()
     med = exact_median(energy.join(hits, ["track_id", "bar"], "left_semi"), KEYS, "energy", "reference")
     return med.select("track_id", F.when(F.col("reference") > 0, F.col("reference")).alias("reference"))
 
@@ -76,7 +81,7 @@ def fill_silent_bars(
     split = share(split_at_bars(events, bars, bucket))
     over = share(over_bars(split, bars.select("track_id", "bar", "start", "end"), bucket))
     quiet = over.groupBy("track_id", "bar", "bar_start", "bar_end").agg(F.bool_and(F.col("label") == "N").alias("all_n")).where("all_n")
-    reference = chorded_energy_reference(split, bars, energy, bucket)
+    reference = reference_of(over, energy)
     loud = quiet.join(energy, ["track_id", "bar"]).join(reference, KEYS).where(F.col("energy") >= p.fill_min_energy * F.col("reference"))
     match = best_matches(chroma.join(loud.select("track_id", "bar"), ["track_id", "bar"], "left_semi"), song_chords(split))
     fills = share(loud.join(match, ["track_id", "bar"]).where(

@@ -59,13 +59,12 @@ def overlap(
     """Pairs whose spans overlap by more than `min_overlap`, with the overlap in `overlap`.
 
     Both sides are copied into their buckets; a pair is kept only in the bucket of its later
-    start, so it appears once.
+    start, so it appears once. That start lies more than `min_overlap` before the end, so a span that
+    ends on a bucket's edge needs no copy beyond it.
     """
     def spread(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        return df.where(F.col(hi) > F.col(lo)).withColumn(
-            BUCKET,
-            F.explode(F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor(F.col(hi) / width).cast("long"))),
-        )
+        first, last = (F.floor(c / width).cast("long") for c in (F.col(lo), F.col(hi) - min_overlap))
+        return df.where(F.col(hi) > F.col(lo)).withColumn(BUCKET, F.explode(F.sequence(first, F.greatest(first, last))))
 
     a, b = spread(left, *l_span).alias("l"), spread(right, *r_span).alias("r")
     start = F.greatest(F.col(f"l.{l_span[0]}"), F.col(f"r.{r_span[0]}"))
