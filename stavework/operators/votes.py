@@ -57,39 +57,50 @@ def density_floor(hist: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams
     )
 
 
-def is_kept(p: VoteParams = VOTE, min_support: Column | int | None = None) -> Column:
+def is_kept(slot: Column, p: VoteParams = VOTE, min_support: Column | int | None = None) -> Column:
     support = p.min_slot_support if min_support is None else min_support
-    return (F.col("k") * p.strike_share_inverse > F.col("n")) & (F.col("k") >= support)
+    return (slot["k"] * p.strike_share_inverse > slot["n"]) & (slot["k"] >= support)
+
+
+def slots_of(counts: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+    """The slot counts of a group as one row, in the array `slots`."""
+    return counts.groupBy(*keys).agg(F.collect_list(F.struct("width", "slot", "n", "k", "m")).alias("slots"))
 
 
 def vote_of(
-    counts: DataFrame, by: Sequence[str], p: VoteParams = VOTE, min_support: Column | int | None = None
+    groups: DataFrame, by: Sequence[str], p: VoteParams = VOTE, min_support: Column | int | None = None
 ) -> DataFrame:
-    """The topped vote per group of slot counts carrying `floor` (0 for the plain majority).
+    """The topped vote per row carrying `slots` and `floor` (0 for the plain majority).
 
     Slots struck in over a third of the units are kept (muted when most strikes are); then the
-    highest-rate free slots, the earlier on a tie, fill up to the floor. A group here has at most
-    `width` rows, so its window is small whatever the group's size was.
+    highest-rate free slots, the earlier on a tie, fill up to the floor. A vote is worked out within its
+    row, so however many votes a task gives, it sorts and holds no slots as rows.
     """
-    whole = Window.partitionBy(*by)
-    free_first = whole.orderBy("kept", F.col("k").desc(), "slot")
-    ranked = (
-        counts.withColumn("kept", is_kept(p, min_support))
-        .withColumn("rank", F.row_number().over(free_first))
-        .withColumn("n_kept", F.count_if("kept").over(whole))
-    )
-    struck = F.col("kept") | (F.col("rank") <= F.col("floor") - F.col("n_kept"))
-    muted = F.col("kept") & (F.col("m") * 2 > F.col("k"))
-    return ranked.groupBy(*by, "width").agg(
-        F.first("n").alias("n"),
-        F.bit_or(F.when(struck, one_at(F.col("slot"))).otherwise(_zero())).alias("vote_strike"),
-        F.bit_or(F.when(muted, one_at(F.col("slot"))).otherwise(_zero())).alias("vote_mute"),
+    def ranked(s: Column) -> Column:
+        return F.struct(is_kept(s, p, min_support).alias("kept"), (-s["k"]).alias("less"), s["slot"].alias("slot"), s["width"].alias("width"),
+                        s["n"].alias("n"), (s["m"] * 2 > s["k"]).alias("muted"))
+
+    def marked(s: Column, place: Column) -> Column:
+        struck = s["kept"] | (place < F.col("floor") - F.col("n_kept"))
+        return F.struct(s["width"].alias("width"), s["n"].alias("n"), F.when(struck, one_at(s["slot"])).otherwise(_zero()).alias("strike"),
+                        F.when(s["kept"] & s["muted"], one_at(s["slot"])).otherwise(_zero()).alias("mute"))
+
+    def mask(name: str) -> Column:
+        return F.aggregate("slots", _zero(), lambda acc, s: acc.bitwiseOR(F.when(s["width"] == F.col("width"), s[name]).otherwise(_zero())))
+
+    free_first = groups.withColumn("slots", F.array_sort(F.transform("slots", ranked)))
+    free_first = free_first.withColumn("n_kept", F.size(F.filter("slots", lambda s: s["kept"])))
+    voted = free_first.withColumn("slots", F.transform("slots", marked))
+    voted = voted.select(*by, "slots", F.explode(F.array_distinct(F.transform("slots", lambda s: s["width"]))).alias("width"))
+    return voted.select(
+        *by, "width", F.filter("slots", lambda s: s["width"] == F.col("width"))[0]["n"].alias("n"),
+        mask("strike").alias("vote_strike"), mask("mute").alias("vote_mute"),
     )
 
 
 def section_majority(units: DataFrame, keys: Sequence[str] = SECTION, p: VoteParams = VOTE) -> DataFrame:
     """The plain slot majority, without topping up."""
-    return vote_of(slot_counts(units, keys).withColumn("floor", F.lit(0)), keys, p)
+    return vote_of(slots_of(slot_counts(units, keys), keys).withColumn("floor", F.lit(0)), keys, p)
 
 
 def section_vote(
@@ -97,7 +108,7 @@ def section_vote(
 ) -> DataFrame:
     """Per group: n, width and the topped vote as `vote_strike`, `vote_mute`."""
     floors = density_floor(strike_histogram(units, keys), keys, p)
-    return vote_of(slot_counts(units, keys).join(floors, list(keys)), keys, p, min_support)
+    return vote_of(slots_of(slot_counts(units, keys), keys).join(floors, list(keys)), keys, p, min_support)
 
 
 def vote_figures(units: DataFrame, votes: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
@@ -218,14 +229,18 @@ def majority_loo(
         .where("c > 0")
     )
     floors = density_floor(others, [*keys, "own"], p)
-    counts = slot_counts(units, keys)
     pats = units.groupBy(*keys, "strike", "mute").agg(F.count("*").alias("c"))
-    lone = F.col("n") == 1
+
+    def without(s: Column) -> Column:
+        lone = s["n"] == 1
+        return F.struct(
+            s["width"].alias("width"), s["slot"].alias("slot"), F.when(lone, s["n"]).otherwise(s["n"] - 1).alias("n"),
+            *[F.when(lone, s[c]).otherwise(s[c] - bit(F.col(mask), s["slot"])).alias(c) for c, mask in (("k", "strike"), ("m", "mute"))],
+        )
+
     left = (
-        pats.withColumn("own", F.bit_count("strike").cast("int")).join(floors, [*keys, "own"]).join(counts, list(keys))
-        .withColumn("k", F.when(lone, F.col("k")).otherwise(F.col("k") - bit(F.col("strike"), F.col("slot"))))
-        .withColumn("m", F.when(lone, F.col("m")).otherwise(F.col("m") - bit(F.col("mute"), F.col("slot"))))
-        .withColumn("n", F.when(lone, F.col("n")).otherwise(F.col("n") - 1))
+        pats.withColumn("own", F.bit_count("strike").cast("int")).join(floors, [*keys, "own"])
+        .join(slots_of(slot_counts(units, keys), keys), list(keys)).withColumn("slots", F.transform("slots", without))
     )
     rest = vote_of(left, [*keys, "strike", "mute", "c"], p, min_support)
     j = agreement(F.col("strike"), F.col("mute"), F.col("vote_strike"), F.col("vote_mute"))

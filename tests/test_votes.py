@@ -102,3 +102,19 @@ def test_chance_of_groups_cut_by_batches(spark, sections):
         assert sorted(map(tuple, C.chance_p(units, 8, p=p).collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_votes_sort_no_slots(spark, sections):
+    """A vote is worked out within its row: left-out votes of many patterns would be sorted eight rows each."""
+    units = V.units_of_bars(bars(spark, sections)).cache()
+    for votes in (V.majority_loo(units), V.section_vote(units)):
+        plan = votes._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS rank" not in plan and "row_number" not in plan.split("InMemoryRelation")[0]
+
+
+def test_vote_of_groups_with_units_of_two_widths(spark):
+    rows = [(1, 0, w, *masks(t)) for w, t in ((4, "S---"), (4, "S-x-"), (2, "SS"))]
+    df = spark.createDataFrame(rows, "track_id long, section int, width int, strike long, mute long")
+    counts = V.slots_of(V.slot_counts(df)).withColumn("floor", F.lit(2))
+    got = sorted((r["width"], r["n"], r["vote_strike"], r["vote_mute"]) for r in V.vote_of(counts, SEC, min_support=1).collect())
+    assert got == [(2, 1, 0b11, 0), (4, 2, 0b101, 0b100)]
