@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ TRIAD_NOTES = {"maj": [0, 4, 7], "min": [0, 3, 7], "dim": [0, 3, 6], "sus4": [0,
 GRAMMAR = r"^([A-G][#b]*)(?::([A-Za-z0-9#]*))?(?:\(([^)]*)\))?(?:/([#b]*\d+))?$"
 
 
+class Parts(NamedTuple):
+    """The parts of a label as columns."""
+
+    root: Column
+    quality: Column
+    degrees: Column
+    bass: Column
+
+
 def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -46,6 +57,22 @@ def bass(label: Column) -> Column:
     return F.when(root(label).isNotNull(), F.coalesce(F.nullif(F.regexp_extract(label, GRAMMAR, 4), F.lit("")), F.lit("1")))
 
 
+def parts_of(label: Column) -> Parts:
+    return Parts(root(label), quality(label), degrees(label), bass(label))
+
+
+def with_parts(df: DataFrame) -> tuple[DataFrame, Parts]:
+    """The parts of the column `label` read once a row, for functions that name them often, as columns to be dropped after."""
+    label = F.col("label")
+    df = df.withColumns({"_root": root(label), "_quality": F.regexp_extract(label, GRAMMAR, 2), "_degrees": degrees(label), "_bass": F.regexp_extract(label, GRAMMAR, 4)})
+    named = F.col("_root").isNotNull()
+    df = df.withColumns({
+        "_quality": F.when(named, F.when(F.col("_quality") == "", "maj").otherwise(F.col("_quality"))),
+        "_bass": F.when(named, F.when(F.col("_bass") == "", "1").otherwise(F.col("_bass"))),
+    })
+    return df, Parts(*[F.col(f"_{name}") for name in Parts._fields])
+
+
 def is_valid(label: Column) -> Column:
     known = literal_map({q: True for q in [*TRIAD, "5"]})
     return is_no_chord(label) | (root(label).isNotNull() & F.coalesce(F.try_element_at(known, quality(label)), F.lit(False)))
@@ -63,20 +90,22 @@ def spelled(pc: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SHARPS]), (F.pmod(pc, F.lit(12)) + 1).cast("int"))
 
 
-def triad_quality(label: Column) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(TRIAD), quality(label)), F.lit("maj"))
+def triad_quality(label: Column, parts: Parts | None = None) -> Column:
+    return F.coalesce(F.try_element_at(literal_map(TRIAD), (parts or parts_of(label)).quality), F.lit("maj"))
 
 
-def to_triad(label: Column) -> Column:
+def to_triad(label: Column, parts: Parts | None = None) -> Column:
     """No chord and power chords stay; any other quality on a valid root becomes its triad, an unreadable one the major triad."""
     lead = F.nullif(F.regexp_extract(label, r"^([A-G][#b]*)(?:[:/].*)?$", 1), F.lit(""))
-    own = F.when(is_no_chord(label) | (quality(label) == "5"), label).when(root(label).isNotNull(), F.concat(root(label), F.lit(":"), triad_quality(label)))
+    p = parts or parts_of(label)
+    own = F.when(is_no_chord(label) | (p.quality == "5"), label).when(p.root.isNotNull(), F.concat(p.root, F.lit(":"), triad_quality(label, p)))
     return F.coalesce(own, F.concat(lead, F.lit(":maj")), label)
 
 
-def plain_major_root(label: Column) -> Column:
-    plain = (quality(label) == "maj") & (degrees(label) == "") & (bass(label) == "1")
-    return F.when(~is_no_chord(label) & plain, root(label))
+def plain_major_root(label: Column, parts: Parts | None = None) -> Column:
+    p = parts or parts_of(label)
+    plain = (p.quality == "maj") & (p.degrees == "") & (p.bass == "1")
+    return F.when(~is_no_chord(label) & plain, p.root)
 
 
 def transpose(label: Column, semitones: Column) -> Column:
@@ -96,18 +125,23 @@ def template(label: Column) -> Column:
     notes = F.element_at(F.create_map(*[
         x for q, n in TRIAD_NOTES.items() for x in (F.lit(q), F.array(*[F.lit(i) for i in n]))
     ]), triad_quality(label))
-    bins = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array_contains(notes, F.pmod(i - pc, F.lit(12))).cast("double"))
+    # an array of one row holds root and notes, so that they are read once and not for every bin
+    once = F.array(F.struct(pc.alias("pc"), notes.alias("notes")))
+    bins = F.transform(once, lambda x: F.transform(
+        F.sequence(F.lit(0), F.lit(11)), lambda i: F.array_contains(x["notes"], F.pmod(i - x["pc"], F.lit(12))).cast("double")))[0]
     return F.when(~is_no_chord(label) & is_valid(label), bins)
 
 
 def parsed(events: DataFrame) -> DataFrame:
     """Events with root pitch class, quality, triad and the plain-major flag; null where no chord."""
-    chord = ~is_no_chord(F.col("label")) & root(F.col("label")).isNotNull()
-    return events.withColumns({
-        "pc": F.when(chord, pitch_class(root(F.col("label")))),
-        "quality": F.when(chord, quality(F.col("label"))),
-        "triad": to_triad(F.col("label")),
-        "triad_q": F.when(chord, F.when(quality(F.col("label")) == "5", "5").otherwise(triad_quality(F.col("label")))),
-        "plain": F.coalesce(plain_major_root(F.col("label")).isNotNull(), F.lit(False)),
+    read, p = with_parts(events)
+    label = F.col("label")
+    chord = ~is_no_chord(label) & p.root.isNotNull()
+    return read.withColumns({
+        "pc": F.when(chord, pitch_class(p.root)),
+        "quality": F.when(chord, p.quality),
+        "triad": to_triad(label, p),
+        "triad_q": F.when(chord, F.when(p.quality == "5", "5").otherwise(triad_quality(label, p))),
+        "plain": F.coalesce(plain_major_root(label, p).isNotNull(), F.lit(False)),
         "dur": F.col("end") - F.col("start"),
-    })
+    }).drop(*[f"_{name}" for name in Parts._fields])

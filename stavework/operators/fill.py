@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +47,8 @@ def song_chords(events: DataFrame) -> DataFrame:
     """One label per triad, the longest held (the first on a tie), with its template."""
     known = events.where(~H.is_no_chord(F.col("label")) & H.is_valid(F.col("label")))
     held = known.groupBy("track_id", "label").agg(F.sum(F.col("end") - F.col("start")).alias("held"))
-    held = held.withColumn("triad", H.to_triad(F.col("label")))
+    held, parts = H.with_parts(held)
+    held = held.withColumn("triad", H.to_triad(F.col("label"), parts))
     return held.groupBy("track_id", "triad").agg(F.max_by("label", F.struct(F.round("held", 6), F.col("label"))).alias("label")).withColumn(
         "template", H.template(F.col("label")))
 
@@ -55,12 +59,15 @@ def best_matches(chroma: DataFrame, chords: DataFrame) -> DataFrame:
     `chroma` (track_id, bar, chroma array of 12). A track has at most 60 triads, so the pairs per
     bar are few; flat chroma has no match.
     """
-    pairs = chroma.where(F.array_max("chroma") > F.array_min("chroma")).join(chords, KEYS)
-    total = F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x)
-    square = F.aggregate("chroma", F.lit(0.0), lambda a, x: a + x * x)
-    ones = F.aggregate("template", F.lit(0.0), lambda a, x: a + x)
-    cross = F.aggregate(F.zip_with("chroma", "template", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = pairs.select("track_id", "bar", "label", total.alias("x"), square.alias("xx"), ones.alias("y"), cross.alias("xy"))
+    def total(term: Callable[[int], Column]) -> Column:
+        return reduce(lambda acc, i: acc + term(i), range(12), F.lit(0.0))
+
+    c, t = (lambda i: F.get("chroma", F.lit(i))), (lambda i: F.get("template", F.lit(i)))
+    # what one side alone gives is summed before the join
+    left = chroma.where(F.array_max("chroma") > F.array_min("chroma")).select(
+        "track_id", "bar", "chroma", total(c).alias("x"), total(lambda i: c(i) * c(i)).alias("xx"))
+    pairs = left.join(chords.select("track_id", "label", "template", total(t).alias("y")), KEYS)
+    pairs = pairs.select("track_id", "bar", "label", "x", "xx", "y", total(lambda i: c(i) * t(i)).alias("xy"))
     corr = (F.col("xy") - F.col("x") * F.col("y") / 12) / F.sqrt(
         (F.col("xx") - F.col("x") * F.col("x") / 12) * (F.col("y") - F.col("y") * F.col("y") / 12))
     w = Window.partitionBy("track_id", "bar").orderBy(F.round("corr", 9).desc(), F.col("label").desc())
