@@ -22,6 +22,7 @@ from stavework.session import release, share
 
 SHORT, OVERLAP = 250, 200
 BUCKET_TOKENS = 1_000_000
+SLICE = 1 << 20  # bytes of text whose words and shingles a worker holds at once
 FRAGMENTS, FIRST_FRAGMENTS = 8, 5
 _SHORT_SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -46,7 +47,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> D
     """(id, n, cls, rep): set size, class key and a hash of the text, one row per document."""
     def run(batches):
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", SLICE):
                 codes, bounds = _sets(part.column("text"), width)
                 yield pa.record_batch([part.column("id"), pa.array(np.diff(bounds)), pa.array(_class_keys(codes, bounds).view(np.int64)), part.column("rep")],
                                       names=["id", "n", "cls", "rep"])
@@ -84,6 +85,11 @@ def _zones(texts: pa.Array, width: int, seen: set):
             yield key, 1, n, half, sketch
 
 
+def _piece_zones(texts: pa.Array, width: int, seen: set) -> list:
+    """The zones of a piece, whose words and shingles are held for one slice of it at a time."""
+    return [zone for part in W.slices(texts, SLICE) for zone in _zones(part, width, seen)]
+
+
 def _runs(piece: int, zones: list, buckets: int) -> pa.RecordBatch:
     """What a piece of texts sends: a run of its distinct zone tokens for every bucket, and its own table.
 
@@ -184,7 +190,7 @@ def heads(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in W.pieces(batch, "text"):
-                if zones := list(_zones(part.column("text"), width, seen)):
+                if zones := _piece_zones(part.column("text"), width, seen):
                     yield _runs(piece, zones, buckets)
                     piece += 1
 
@@ -208,8 +214,8 @@ def _common_needed(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(F.least(one(n), one(m)), F.lit(1))
 
 
-def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
-    """Whether the sketches in columns `a` and `b`, of sets of similar sizes n and m, leave a link possible.
+def _apart(a: str, b: str) -> Column:
+    """By how many bits the sketches in columns `a` and `b`, of sets of similar sizes, differ.
 
     Codes of both sets cancel out, so the sketches differ by at most as many bits as the sets by codes. Sizes that may link
     lie a quarter apart at most, so one sketch has at most twice the words of the other and is folded once.
@@ -217,8 +223,12 @@ def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
     words = F.least(F.size(a), F.size(b))
     halves = lambda c: F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))
     fold = lambda c: F.when(F.size(c) > words, halves(c)).otherwise(F.col(c))
-    bits = F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return bits <= n + m - 2 * _overlap_needed(n, m, percent)
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
+    """Whether the sketches of sets of sizes n and m leave a link possible."""
+    return _apart(a, b) <= n + m - 2 * _overlap_needed(n, m, percent)
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: DataFrame) -> DataFrame:
@@ -227,7 +237,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: Da
         seen: set = set()
         step = np.uint64((1 << 64) // FRAGMENTS)
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", SLICE):
                 codes, bounds = _sets(part.column("text"), width)
                 out: list = [[], [], [], []]
                 for i, key in enumerate(part.column("cls").to_pylist()):
@@ -304,13 +314,36 @@ def _labelled(posts: DataFrame, edges: DataFrame | None) -> DataFrame:
     return known.join(main, "token")
 
 
+def _nearest_first(pairs: DataFrame, edges: DataFrame, parts: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """`edges` and the links among `pairs` (u, v, nu, nv, apart) that connect what all of these would.
+
+    Each class is first compared with the one whose sketch is nearest, `rounds` times; pairs that these links have put into
+    one component are not counted. So a group of near copies that no list's commonest component holds costs about
+    its classes, not its pairs; pairs that stay between components are all counted.
+    """
+    for _ in range(rounds):
+        pair = F.struct((F.col("apart") / (F.col("nu") + F.col("nv"))).alias("share"), "u", "v", "nu", "nv")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("end"), pair.alias("pair"))
+        nearest = share(ends.groupBy("end").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v", "pair.nu", "pair.nv").distinct())
+        if nearest.isEmpty():
+            return edges
+        edges = share(edges.union(linked(nearest, parts, percent)))
+        found = share(components(edges))
+        for side in ("u", "v"):
+            known = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            pairs = pairs.join(known, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        pairs = share(pairs.where("cu <> cv").drop("cu", "cv").join(nearest.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "nu", "nv", "apart"))
+    return share(edges.union(linked(pairs.drop("apart"), parts, percent)))
+
+
 def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3) -> DataFrame:
     """Verified links (u, v) that connect exactly the classes that all links connect.
 
     `rounds` times each posting list compares its members with one member of its commonest component;
     the last round compares every member outside that component with all of other components, each
     pair at its first common token. Pairs within a known component are never formed, so the last
-    round is exact and the ones before only make it small. Pairs are counted in full only if their heads agree enough.
+    round is exact and the ones before only make it small. Pairs are counted in full only if their heads agree enough,
+    the nearest first.
     """
     edges, posts = None, share(postings(tops, percent))
     for turn in range(rounds):
@@ -334,8 +367,8 @@ def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3)
     once = once & (F.least("fa", "fb") >= need) & _may_link("sa", "sb", F.col("na"), F.col("nb"), percent) & (F.size(same) >= need) & (F.get(same, F.lit(0)) == F.col("token"))
     pairs = a.join(b, "token").where(once)
     pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nu"),
-                         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv")).distinct()
-    return share(edges.union(linked(pairs, parts, percent)))
+                         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv"), _apart("sa", "sb").alias("apart"))
+    return _nearest_first(share(pairs.groupBy("u", "v", "nu", "nv").agg(F.min("apart").alias("apart"))), edges, parts, percent, rounds)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -350,3 +350,34 @@ def test_ordinary_numbers_and_words_stay(spark):
     assert [got[i] for i in range(len(same))] == same
     assert not set(gone) & set(got.values())
     assert pii.replaced(rows(spark, []), "key").count() == 0
+
+
+def test_jaccard_workers_hold_a_slice_of_words(monkeypatch):
+    import pyarrow as pa
+
+    held, whole = [], jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda texts, width: held.append(sum(len(t) for t in texts.to_pylist())) or whole(texts, width))
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(9000)) for i in range(40)])
+    zones = jaccard._piece_zones(texts, 5, set())
+    assert max(held) < 1.2 * jaccard.SLICE and sum(held) == sum(len(t) for t in texts.to_pylist()) > 2 * jaccard.SLICE
+    assert [z[:3] for z in zones] == [z[:3] for z in jaccard._zones(texts, 5, set())] and len(zones) == 40
+
+
+def test_jaccard_counts_no_pairs_within_a_known_component(spark, monkeypatch):
+    """Two groups whose classes all link within, and never between: all 66 pairs of a group were counted before."""
+    counted, schema = [], "u long, v long, nu long, nv long, apart int"
+
+    def linked(pairs, parts, percent):
+        rows = pairs.select("u", "v").collect()
+        counted.extend(map(tuple, rows))
+        return pairs.where("u div 100 = v div 100").select("u", "v")
+
+    monkeypatch.setattr(jaccard, "linked", linked)
+    group = lambda g: [100 * g + i for i in range(12)]
+    pairs = [(u, v, 300, 300, (u * v) % 7) for g in (1, 2) for u in group(g) for v in group(g) if u < v]
+    between = [(u, v, 300, 300, 9) for u in group(1)[:3] for v in group(2)[:2]]
+    none = spark.createDataFrame([], "u long, v long")
+    edges = jaccard._nearest_first(spark.createDataFrame(pairs + between, schema), none, None, 80, 3)
+    found = {r["node"]: r["component"] for r in jaccard.components(edges).collect()}
+    assert {x: found[x] for x in group(1) + group(2)} == {x: 100 * (x // 100) for x in group(1) + group(2)}
+    assert len(counted) == len(set(counted)) < 60 and {p[:2] for p in between} <= set(counted)
