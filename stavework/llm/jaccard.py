@@ -24,6 +24,7 @@ SHORT, OVERLAP = 250, 200
 BUCKET_TOKENS = 1_000_000
 SLICE = 1 << 20  # bytes of text whose words and shingles a worker holds at once
 FRAGMENTS, FIRST_FRAGMENTS = 8, 5
+SLOTS, SLOTS_A_TEXT, RANGES = 1 << 25, 32, 1 << 10
 _SHORT_SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -231,29 +232,66 @@ def _may_link(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
     return _apart(a, b) <= n + m - 2 * _overlap_needed(n, m, percent)
 
 
+def _slots(id_: str, rep: str, slots: int) -> list[Column]:
+    """The three slots of a text."""
+    return [F.pmod(F.xxhash64(id_, rep, F.lit(k)), F.lit(slots)) for k in range(3)]
+
+
+def marked_slots(chosen: DataFrame, slots: int) -> bytes:
+    """A bit per slot: whether it is one of a text of `chosen` (id, rep). Ranges of slots are put together in tasks."""
+    width = slots // min(RANGES, slots // 8)
+
+    def merge(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("slot").to_numpy(zero_copy_only=False)
+            for k in np.unique(at // width).tolist():
+                found.setdefault(k, np.zeros(width, bool))[at[at // width == k] % width] = True
+        for k, marks in found.items():
+            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["part", "bits"])
+
+    dealt = chosen.select(F.explode(F.array(*_slots("id", "rep", slots))).alias("slot")).repartition(F.expr(f"slot div {width}"))
+    out = bytearray(slots // 8)
+    for row in dealt.mapInArrow(merge, "part long, bits binary").collect():
+        out[row["part"] * width // 8 : (row["part"] + 1) * width // 8] = row["bits"]
+    return bytes(out)
+
+
 def segments(docs: DataFrame, id_col: str, text_col: str, width: int, chosen: DataFrame) -> DataFrame:
-    """(cls, fragment, codes, rest): the sets of the classes in `chosen` (cls, id, rep), cut by ranges of the order; `rest` counts the codes of later fragments."""
+    """(cls, fragment, codes, rest): the sets of the classes in `chosen` (cls, id, rep), cut by ranges of the order; `rest` counts the codes of later fragments.
+
+    Texts are not shuffled to be chosen: each task passes those whose slots are all marked by the chosen ones, and classes
+    that pass by chance are dropped by their keys. The slots take at most SLOTS bits however large the corpus; when it
+    outgrows them more sets travel to be dropped, which changes no row.
+    """
+    slots = min(max(1 << 16, 1 << (chosen.count() * SLOTS_A_TEXT - 1).bit_length()), SLOTS)
+    bits = marked_slots(chosen, slots)
+
     def run(batches):
         seen: set = set()
         step = np.uint64((1 << 64) // FRAGMENTS)
+        marks = np.frombuffer(bits, np.uint8)
         for batch in batches:
+            slot = np.stack([batch.column(f"slot{k}").to_numpy(zero_copy_only=False) for k in range(3)])
+            batch = batch.filter(pa.array((marks[slot >> 3] << (slot & 7).astype(np.uint8) & 128).all(axis=0)))
             for part in W.pieces(batch, "text", SLICE):
                 codes, bounds = _sets(part.column("text"), width)
+                keys, sizes = _class_keys(codes, bounds).view(np.int64).tolist(), np.diff(bounds)
                 out: list = [[], [], [], []]
-                for i, key in enumerate(part.column("cls").to_pylist()):
-                    if key in seen:
+                for i in np.flatnonzero(sizes).tolist():
+                    if keys[i] in seen:
                         continue
-                    seen.add(key)
+                    seen.add(keys[i])
                     own = codes[bounds[i] : bounds[i + 1]]
                     cuts = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) * step)
                     for k, piece in enumerate(np.split(own, cuts)):
-                        out[0].append(key), out[1].append(k), out[2].append(piece.view(np.int64)), out[3].append(len(own) - (int(cuts[k]) if k < len(cuts) else len(own)))
+                        out[0].append(keys[i]), out[1].append(k), out[2].append(piece.view(np.int64)), out[3].append(len(own) - (int(cuts[k]) if k < len(cuts) else len(own)))
                 yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.int32())], names=["cls", "fragment", "codes", "rest"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rep"), F.col(text_col).alias("text"))
-    chosen = chosen.select("cls", F.col("id").alias("cid"), F.col("rep").alias("crep"))
-    wanted = texts.join(chosen, texts["id"].eqNullSafe(F.col("cid")) & (F.col("rep") == F.col("crep"))).select("cls", "text")
-    return wanted.mapInArrow(run, "cls long, fragment int, codes array<long>, rest int").dropDuplicates(["cls", "fragment"])
+    texts = texts.select("text", *[slot.alias(f"slot{k}") for k, slot in enumerate(_slots("id", "rep", slots))])
+    found = texts.mapInArrow(run, "cls long, fragment int, codes array<long>, rest int")
+    return found.join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls", "fragment"])
 
 
 def _similar(n: Column, m: Column, percent: int) -> Column:
@@ -328,11 +366,12 @@ def _nearest_first(pairs: DataFrame, edges: DataFrame, parts: DataFrame, percent
         if nearest.isEmpty():
             return edges
         edges = share(edges.union(linked(nearest, parts, percent)))
-        found = share(components(edges))
+        found = components(edges)
         for side in ("u", "v"):
             known = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
             pairs = pairs.join(known, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         pairs = share(pairs.where("cu <> cv").drop("cu", "cv").join(nearest.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "nu", "nv", "apart"))
+        release(pairs.sparkSession)
     return share(edges.union(linked(pairs.drop("apart"), parts, percent)))
 
 
@@ -368,7 +407,9 @@ def links(tops: DataFrame, parts: DataFrame, percent: int = 80, rounds: int = 3)
     pairs = a.join(b, "token").where(once)
     pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nu"),
                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nv"), _apart("sa", "sb").alias("apart"))
-    return _nearest_first(share(pairs.groupBy("u", "v", "nu", "nv").agg(F.min("apart").alias("apart"))), edges, parts, percent, rounds)
+    pairs = share(pairs.groupBy("u", "v", "nu", "nv").agg(F.min("apart").alias("apart")))
+    release(pairs.sparkSession)
+    return _nearest_first(pairs, edges, parts, percent, rounds)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -396,6 +437,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = share(segments(full, id_col, text_col, width, share(reps)))
     release(docs.sparkSession)
     found = components(links(tops, parts, percent))
+    release(docs.sparkSession)
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
     classes = classes.join(found, classes["cls"] == found["node"], "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     groups = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -419,6 +461,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     keyed = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
     kept = share(jaccard_components(keyed, "key", "text")).where("key = component_id").select("key").distinct()
+    release(docs.sparkSession)
     unordered = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
     order = F.struct(*[F.col("row").getField(c) for c in columns if c not in unordered], *[F.to_json(F.struct(F.col("row").getField(c))) for c in unordered])
     single = keyed.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", order).alias("row"))
