@@ -9,11 +9,11 @@ from stavework.catalog import grid as GR, harmony as HA, sql as S
 from stavework.catalog.arrange import CAPO, FLATOF, SFX, shapes
 from stavework.catalog.common import Registry, r3, r6
 from stavework.catalog.harmony import dims, qbars, vectors
-from stavework.catalog.signal import note_bars
+from stavework.catalog.signal import notes, pitch_frames, riff_flags
 from stavework.catalog.strums import RECORDS, job_bars, job_sql, seed
 from stavework.catalog.truth import PRINT, PS, REST, truth_patterns
 from stavework.functions import harte as H
-from stavework.operators import key as K, labels as LB
+from stavework.operators import key as K, labels as LB, quantise as Q
 from stavework.plans import jobs as J
 from stavework.session import share
 
@@ -111,9 +111,11 @@ def harmony_job(spark, sf):
 
 @query("riff_job")
 def riff_job(spark, sf):
-    nb = note_bars(spark, sf)
-    named = nb.groupBy(*SEC).agg(F.avg((F.size("notes") > 0).cast("double")).alias("named_share"))
-    return J.riff_job(nb, named, SEC, [67, 60, 64, 69]).select(*SEC, "unit", "candidate", r6("agreement"), r6("support"), "reason", "tab")
+    bars = B.bars(spark, sf)
+    strokes = Q.slot_owners(B.onsets(spark, sf), bars, B.DAY)
+    own = share(notes(spark, sf).withColumn("section", B.section_of(F.floor(F.col("t") / B.DAY))).where("section is not null"))
+    job = J.riff_job(bars, strokes, pitch_frames(B.events(spark, sf)), riff_flags(spark, sf, own, SEC), SEC, [67, 60, 64, 69], B.DAY, 72.0, 36.0)
+    return job.select(*SEC, "unit", "candidate", r6("agreement"), r6("support"), "reason", "tab")
 
 
 def revoted(support: int) -> str:

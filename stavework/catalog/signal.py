@@ -107,14 +107,17 @@ nn AS (SELECT o.track_id, o.event_id, any_value(o.t) AS t, any_value(o.k) AS k,
 notes AS (SELECT o.track_id, o.event_id, o.t, nn.note, CASE WHEN o.k % 5 <> 0 THEN o.k % 12 END AS root FROM on0 o LEFT JOIN nn USING (track_id, event_id))"""
 
 
+def pitch_frames(ev):
+    return ev.select("track_id", F.col("t").alias("ft"), F.when(F.col("event_type") != "signup", 40 + F.col("k") * 0.5).alias("midi"))
+
+
 def notes(spark, sf):
     ev = share(B.events(spark, sf))
     on = share(with_position(ev.select("track_id", F.col("event_id").alias("onset_id"), "t", "k"), KEYS, ["t", "onset_id"], B.EVENT_CHUNK))
     third = on.select("track_id", (F.col("pos") - 3).alias("pos"), F.col("t").alias("then"))  # the third event after each onset
     on = on.join(third, ["track_id", "pos"], "left")
     on = on.withColumn("note_end", F.least(F.coalesce("then", F.col("t") + 86400), F.col("t") + 86400)).drop("then", "pos")
-    fr = ev.select("track_id", F.col("t").alias("ft"), F.when(F.col("event_type") != "signup", 40 + F.col("k") * 0.5).alias("midi"))
-    return G.name_notes(on, fr, B.DAY, 72.0, 36.0).withColumn("root", F.when(F.col("k") % 5 != 0, F.col("k") % 12))
+    return G.name_notes(on, pitch_frames(ev), B.DAY, 72.0, 36.0).withColumn("root", F.when(F.col("k") % 5 != 0, F.col("k") % 12))
 
 
 @query("note_naming", f"WITH {NOTES} SELECT track_id, event_id AS onset_id, CAST(note AS DOUBLE) AS note FROM notes")
@@ -130,15 +133,20 @@ def note_shares(spark, sf):
     return s.select("track_id", r6("pitch_change"), r6("root_share"), r6("named_share"))
 
 
+def riff_flags(spark, sf, named, by):
+    """(by, riff) of each group of named notes: its own pitch changes, the chroma of the track's label, every seventh track gated."""
+    from stavework.operators.rules import is_riff
+    s = G.note_shares(named, by, ["t", "onset_id"], B.EVENT_CHUNK).withColumn("label", F.col("track_id") % 10)
+    f = features(spark, sf).withColumnRenamed("track_id", "label")
+    flag = is_riff(F.col("entropy") - 0.1, F.col("single_share") + 0.2, F.col("pitch_change"), F.col("track_id") % 7 == 0)
+    return s.join(f, "label", "left").select(*by, flag.alias("riff"))
+
+
 @query("riff_flag", f"""WITH {NOTES}, l AS (SELECT *, lag(note) OVER (PARTITION BY track_id ORDER BY t, event_id) AS b FROM notes), s AS (SELECT track_id, sum(CASE WHEN note <> b THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (note IS NOT NULL AND b IS NOT NULL), 0) AS pc FROM l GROUP BY 1),
 {RIFF}
 SELECT s.track_id, coalesce(entropy - 0.1 <= 0.82 AND single_share + 0.2 >= 0.45 AND pc >= 0.26, false) AND s.track_id % 7 <> 0 AS riff FROM s LEFT JOIN f ON f.track_id = s.track_id % 10""")
 def riff_flag(spark, sf):
-    from stavework.operators.rules import is_riff
-    s = G.note_shares(share(notes(spark, sf)), KEYS, ["t", "onset_id"], B.EVENT_CHUNK).withColumn("label", F.col("track_id") % 10)
-    f = features(spark, sf).withColumnRenamed("track_id", "label")
-    flag = is_riff(F.col("entropy") - 0.1, F.col("single_share") + 0.2, F.col("pitch_change"), F.col("track_id") % 7 == 0)
-    return s.join(f, "label", "left").select("track_id", flag.alias("riff"))
+    return riff_flags(spark, sf, share(notes(spark, sf)), KEYS)
 
 
 DECAY = f"""{S.EV}, st AS (SELECT track_id, event_id, t, lead(t) OVER (PARTITION BY track_id ORDER BY t, event_id) AS nt FROM ev),
@@ -169,7 +177,7 @@ def section_rings(spark, sf):
     return G.section_rings(d, SEC).select(*SEC, "rings", r6("median_db"))
 
 
-# note bars: the slot owners that strike, with a pitch from their k
+# note bars of the vote's own queries: the slot owners that strike, with a pitch from their k (the riff job names its notes)
 NB = f"""{S.QUANT}, nt AS (SELECT track_id, section, bar, slot, CAST(slot * 1000 + 60 + CAST(zcr AS INTEGER) % 4 AS BIGINT) AS note FROM owners WHERE NOT muted),
 nb AS (SELECT b.track_id, b.section, b.bar, coalesce(list_sort(list(note) FILTER (note IS NOT NULL)), []) AS notes, row_number() OVER (PARTITION BY b.track_id, b.section ORDER BY b.bar) - 1 AS pos FROM bars b LEFT JOIN nt ON nt.track_id = b.track_id AND nt.bar = b.bar GROUP BY 1, 2, 3),
 jn AS (SELECT a.track_id, a.section, a.pos, b.pos AS bpos, CASE WHEN len(list_distinct(list_concat(list_transform(a.notes, lambda x: x // 1000), list_transform(b.notes, lambda x: x // 1000)))) = 0 THEN 1.0

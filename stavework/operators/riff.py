@@ -10,8 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stavework.operators import votes as V
+from stavework.operators import signal as G, votes as V
 from stavework.params import SIGNAL, VOTE, SignalParams, VoteParams
 from stavework.session import share_rows
 
@@ -23,6 +24,32 @@ def _slots(notes: Column) -> Column:
     return F.transform(notes, lambda x: F.floor(x / SCALE))
 
 
+def note_bars(
+    bars: DataFrame, strokes: DataFrame, frames: DataFrame, bucket: float, skip_in: float, skip_out: float, keys: Sequence[str] = SECTION, p: SignalParams = SIGNAL,
+) -> DataFrame:
+    """Every bar with the pitches named at its strokes as `notes`, and the number of its `strokes`.
+
+    `bars` (keys, bar, start, end, width), `strokes` (track_id, bar, slot): one per struck or muted slot, none where a bar
+    rests; `frames` (track_id, ft, midi): the pitch track, null where unvoiced. A note lasts from its slot to the next
+    stroke of the bar or the bar's end; a stroke whose frames name no pitch has no note.
+    """
+    bar = ["track_id", "bar"]
+    placed = strokes.select(*bar, "slot").join(bars.select(*bar, "start", "end", "width").hint("merge"), bar)
+    placed = placed.withColumn("t", F.col("start") + F.col("slot") * ((F.col("end") - F.col("start")) / F.col("width")))
+    following = F.lead("t").over(Window.partitionBy(*bar).orderBy("slot"))
+    timed = placed.select(*bar, "slot", "t", F.least(F.coalesce(following, "end"), "end").alias("note_end"))
+    named = G.name_notes(timed, frames, bucket, skip_in, skip_out, p, ["bar", "slot"])
+    note = F.col("slot") * SCALE + F.col("note")  # one per slot, null where unnamed
+    heard = named.groupBy(*bar).agg(F.array_sort(F.collect_list(note.cast("long"))).alias("notes"), F.count("*").alias("strokes"))
+    return bars.join(heard.hint("merge"), bar, "left").select(
+        *keys, "bar", "width", F.coalesce("notes", F.array().cast("array<bigint>")).alias("notes"), F.coalesce("strokes", F.lit(0)).alias("strokes"))
+
+
+def named_share(note_bars: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
+    """The share of a group's strokes whose pitch was named; 0 without strokes."""
+    return note_bars.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.size("notes")), F.sum("strokes")), F.lit(0.0)).alias("named_share"))
+
+
 def note_agreement(left: str, right: str) -> Column:
     """Over slots where either has a note: 1 for the same pitch, else 0; 1 when neither has any."""
     a, b = F.col(f"{left}notes"), F.col(f"{right}notes")

@@ -78,19 +78,21 @@ def riff_features(chroma: Column) -> tuple[Column, Column]:
     return F.when(peak <= 0, F.lit(1.0)).otherwise(entropy), F.when(peak <= 0, F.lit(False)).otherwise(single)
 
 
-def name_notes(onsets: DataFrame, frames: DataFrame, bucket: float, skip_in: float, skip_out: float, p: SignalParams = SIGNAL) -> DataFrame:
+def name_notes(
+    onsets: DataFrame, frames: DataFrame, bucket: float, skip_in: float, skip_out: float, p: SignalParams = SIGNAL, ids: Sequence[str] = ("onset_id",),
+) -> DataFrame:
     """The half-even median pitch of each onset's frames; null under half voiced.
 
-    `onsets` (track_id, onset_id, t, note_end), `frames` (track_id, ft, midi). A note's frames are few,
+    `onsets` (track_id, ids, t, note_end), `frames` (track_id, ft, midi). A note's frames are few,
     and the median is over integer-cent pitches at most a note long.
     """
     windows = onsets.withColumn("lo", F.col("t") + skip_in).withColumn("hi", F.col("note_end") - skip_out)
-    inside = point_in_span(frames, windows.select("track_id", "onset_id", "lo", "hi"), KEYS, "ft", "lo", "hi", bucket)
-    notes = inside.groupBy("track_id", "onset_id").agg(
+    inside = point_in_span(frames, windows.select(*KEYS, *ids, "lo", "hi"), KEYS, "ft", "lo", "hi", bucket)
+    notes = inside.groupBy(*KEYS, *ids).agg(
         F.count("*").alias("n"), F.count("midi").alias("voiced"), F.percentile("midi", 0.5).alias("median")
     )
     named = F.when(F.col("voiced") / F.col("n") >= p.note_voiced_min, F.bround("median", 0).cast("int"))
-    return onsets.join(notes.select("track_id", "onset_id", named.alias("note")), ["track_id", "onset_id"], "left")
+    return onsets.join(notes.select(*KEYS, *ids, named.alias("note")), [*KEYS, *ids], "left")
 
 
 def note_shares(notes: DataFrame, by: Sequence[str], order: Sequence[str], chunk: float | None) -> DataFrame:

@@ -66,20 +66,25 @@ def arrange_job(events: DataFrame, shapes: DataFrame, bar_seconds: float, easy:
         "track_id", "event", "label", "capo", "played", A.display_name(F.col("played")).alias("name"), F.coalesce("passing", F.lit(False)).alias("passing"))
 
 
-def riff_job(note_bars: DataFrame, named: DataFrame, keys: Sequence[str], tuning: Sequence[int]) -> DataFrame:
-    """Per group: the riff, why it may not print, and its tab as `slot:string:fret` text.
+def riff_job(
+    bars: DataFrame, strokes: DataFrame, frames: DataFrame, flags: DataFrame, keys: Sequence[str], tuning: Sequence[int],
+    bucket: float, skip_in: float, skip_out: float,
+) -> DataFrame:
+    """Per group: the riff of the pitches named at its strokes, why it may not print, and its tab as `slot:string:fret` text.
 
-    `note_bars` (keys, bar, width, notes), `named` (keys, named_share).
+    `bars`, `strokes` and `frames` as `RF.note_bars` reads them; `flags` (keys, riff): the riff test of each group, false for one without a row.
     """
-    c = share_rows(RF.choose_riff(note_bars, keys).join(named, list(keys)))
-    reason = RF.riff_gate(F.col("agreement"), F.col("support"), F.col("named_share"), F.lit(True), SIGNAL)
+    note_bars = share_rows(RF.note_bars(bars, strokes, frames, bucket, skip_in, skip_out, keys))
+    tested = share_rows(RF.named_share(note_bars, keys).join(flags, list(keys), "left").withColumn("riff", F.coalesce("riff", F.lit(False))))
+    c = share_rows(RF.choose_riff(note_bars.drop("strokes"), keys).join(tested, list(keys)))
+    reason = RF.riff_gate(F.col("agreement"), F.col("support"), F.col("named_share"), F.col("riff"), SIGNAL)
     notes = c.select(*keys, F.explode("notes").alias("note")).select(*keys, F.floor(F.col("note") / RF.SCALE).alias("slot"), F.pmod("note", F.lit(RF.SCALE)).cast("int").alias("midi"))
     shifts = notes.groupBy(*keys).agg(*RF.shift_counts(F.col("midi"))).select(*keys, RF.octave_shift().alias("shift"))
     at = notes.join(shifts, list(keys)).withColumn("at", RF.string_fret(RF.into_range(F.col("midi") + 12 * F.col("shift")), tuning))
     cell = F.concat_ws(":", F.col("slot"), F.col("at.string"), F.col("at.fret"))
     tab = at.groupBy(*keys, "shift").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", cell.alias("c")))), lambda x: x["c"]), " ").alias("tab"))
     out = c.withColumn("reason", reason).join(tab, list(keys), "left")
-    return out.select(*keys, "unit", "candidate", "agreement", "support", "reason", F.when(F.col("reason").isNull(), F.col("tab")).alias("tab"))
+    return out.select(*keys, "unit", "candidate", "agreement", "support", "named_share", "reason", F.when(F.col("reason").isNull(), F.col("tab")).alias("tab"))
 
 
 def revote_sweep(
